@@ -90,6 +90,7 @@ def _block_search(queries: DataFrame, points: DataFrame, label: str, need: int,
         .withColumn("_psub", F.pmod(F.xxhash64(F.lit("p"), "_vid"), F.col("_pb")).cast("int"))
         .withColumn("_qsub", F.explode(F.sequence(F.lit(0), F.col("_qb") - one)))
         .select(label, "_cell", "_qsub", "_psub", "_vid", "_ids", "_vec")
+        .toDF("p_class", "p_cell", "p_qsub", "p_psub", "p_vid", "p_ids", "p_vec")
     )
     schema = T.StructType(
         [
@@ -108,9 +109,9 @@ def _block_search(queries: DataFrame, points: DataFrame, label: str, need: int,
         if q.num_rows == 0 or p.num_rows == 0:
             return fields.empty_table()
         qid = q.column("_vid").to_numpy()
-        ids = p.column("_ids").to_pylist()
-        firsts = p.column("_vid").to_numpy()
-        r, c, d = nearest(_matrix(q.column("_vec")), _matrix(p.column("_vec")), firsts, need)
+        ids = p.column("p_ids").to_pylist()
+        firsts = p.column("p_vid").to_numpy()
+        r, c, d = nearest(_matrix(q.column("_vec")), _matrix(p.column("p_vec")), firsts, need)
         copies = np.array([len(i) for i in ids])
         times = copies[c]
         nid = np.concatenate([ids[i] for i in c]) if len(c) else np.empty(0, "int64")
@@ -124,8 +125,8 @@ def _block_search(queries: DataFrame, points: DataFrame, label: str, need: int,
             schema=fields,
         )
 
-    keys = [label, "_cell", "_qsub", "_psub"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
+    blocked = left.groupBy(label, "_cell", "_qsub", "_psub")
+    return blocked.cogroup(right.groupBy("p_class", "p_cell", "p_qsub", "p_psub")).applyInArrow(search, schema)
 
 
 def _choose_pivots(points: DataFrame, label: str, width: int, cell_rows: int, max_cells: int, seed: int):

@@ -10,10 +10,12 @@ from skewlens.functions.vectors import as_doubles, lerp
 from skewlens.operators.neighbors import CELL_ROWS, knn
 from skewlens.operators.ordering import expand_counts, hash_ordinals
 from skewlens.operators.sampling import pick_by_position
-from skewlens.session import pin, stage
+from skewlens.session import bounded_rows, pin, stage
 
 #: Neighbours considered per row.
 K_NEIGHBORS = 5
+#: Classes that may grow in one call (their list becomes a scan filter).
+MAX_GROWING = 10_000
 
 
 def augmentation_plan(df: DataFrame, label: str, targets: DataFrame | dict, k: int = K_NEIGHBORS) -> DataFrame:
@@ -55,12 +57,16 @@ def synthesize(
     """The synthetic rows only: ``(label, draw, base_id, neighbor_id, lambda, vec)``.
 
     Draws take a row of the class and one of its k neighbours with replacement and a
-    position between the two. Neighbours are searched only for rows that were drawn
-    and only in classes that grow.
+    position between the two. Only the rows of growing classes leave the scan (the class
+    list is pushed down to it), and neighbours are searched only for rows that were drawn.
     """
     plan = augmentation_plan(df, label, targets, k).where(F.col("n_new") > 0)
-    rows = df.join(plan.select(label), label, "left_semi").select(
-        label, F.col(key).cast("long").alias("_key"), as_doubles(vec).alias("_vec")
+    growing = [r[0] for r in bounded_rows(plan.select(label), MAX_GROWING, "classes to augment")]
+    rows = stage(
+        df.where(F.col(label).isin(growing)).select(
+            label, F.col(key).cast("long").alias("_key"), as_doubles(vec).alias("_vec")
+        ),
+        "minority",
     )
     draws = (
         expand_counts(plan.select(label, "n", "n_new"), "n_new", "draw")

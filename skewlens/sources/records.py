@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skewlens.session import stage
 from skewlens.sources.schema import record_schema
 
 
@@ -21,3 +23,9 @@ def read_records(
 
 def write_records(df: DataFrame, path: str) -> None:
     df.write.options(header="false").csv(path)
+
+
+def with_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
+    """Give records without a key a stable one: numbered per input split, then written
+    once, so later passes read the same numbers."""
+    return stage(df.withColumn(out, F.monotonically_increasing_id()), "records")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from skewlens.catalog.registry import query, table
 from skewlens.functions.vectors import as_doubles
 from skewlens.operators import profile
+from skewlens.session import local_table
 
 EVENT_CATEGORY = {"view": "browse", "click": "browse", "signup": "convert", "purchase": "convert"}
 CATEGORY_SQL = (
@@ -14,7 +15,7 @@ CATEGORY_SQL = (
 
 
 def event_dim(spark):
-    return spark.createDataFrame(list(EVENT_CATEGORY.items()), "event_type string, category string")
+    return local_table(spark, list(EVENT_CATEGORY.items()), "event_type string, category string")
 
 
 @query(f"""
@@ -144,7 +145,7 @@ def train_test_distribution(spark, sf_dir):
 def class_counts_dense(spark, sf_dir):
     """Counts per known class, among them one the data does not have."""
     names = ["click", "error", "purchase", "refund", "signup", "view"]
-    dim = spark.createDataFrame([(n,) for n in names], "event_type string")
+    dim = local_table(spark, [(n,) for n in names], "event_type string")
     out = profile.class_counts_percent(table(spark, sf_dir, "events"), "event_type", dim)
     return out.withColumn("pct", F.round("pct", 6))
 

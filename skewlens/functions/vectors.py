@@ -14,13 +14,22 @@ def as_doubles(vec: Column | str) -> Column:
     return _col(vec).cast("array<double>")
 
 
+#: Elements written out one by one, which stay inside generated code; beyond that a
+#: lambda over the positions keeps the expression short.
+UNROLL = 256
+
+
+def indicators(value: Column, choices: list) -> Column:
+    """One element per choice: 1.0 where the value equals it, else 0.0."""
+    hit = lambda choice: F.when(choice == value, F.lit(1.0)).otherwise(F.lit(0.0))
+    if len(choices) <= UNROLL:
+        return F.array(*[hit(F.lit(c)) for c in choices])
+    return F.transform(F.array(*[F.lit(c) for c in choices]), lambda c: hit(c))
+
+
 def one_hot(code: Column | str, size: int) -> Column:
     """k-vector with a single 1.0 at the code; all zeros when the code is null."""
-    code = _col(code)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.when(i == code, F.lit(1.0)).otherwise(F.lit(0.0)),
-    )
+    return indicators(_col(code), list(range(size)))
 
 
 def condition(vec: Column | str, code: Column | str, size: int) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skewlens.functions.vectors import indicators
 from skewlens.operators.profile import feature_value_counts
 from skewlens.session import bounded_rows, pin
 
@@ -35,12 +36,9 @@ def _onehot_blocks(vocab: DataFrame) -> list[tuple[str, list[str]]]:
 
 def onehot_column(vocab: DataFrame) -> Column:
     """Dense block for the training vocabulary; unseen or null values give zeros."""
-    def block(feature: str, values: list[str]) -> Column:
-        held = F.col(feature).cast("string")
-        known = F.array(*[F.lit(v) for v in values])
-        return F.transform(known, lambda v: F.when(v == held, F.lit(1.0)).otherwise(F.lit(0.0)))
-
-    parts = [block(feature, values) for feature, values in _onehot_blocks(vocab)]
+    parts = [
+        indicators(F.col(feature).cast("string"), values) for feature, values in _onehot_blocks(vocab)
+    ]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 
 from skewlens.functions.hashing import hash_uniform, noise_vector
 from skewlens.functions.vectors import as_doubles, lerp
-from skewlens.operators.neighbors import _matrix
+from skewlens.operators.neighbors import _matrix, rows_by_class
 from skewlens.operators.ordering import expand_counts, hash_ordinals
-from skewlens.session import bounded_rows
+from skewlens.session import bounded_rows, local_table
 
 #: Bytes of network weights a task may be given.
 WEIGHT_BYTES = 256 * 1024 * 1024
@@ -169,9 +169,8 @@ def moments(df: DataFrame, label: str, vec: str) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             x = _matrix(pa.chunked_array([batch.column("_vec")]))
-            keys = np.array(batch.column(label).to_pylist(), dtype=object)
-            for key in dict.fromkeys(keys.tolist()):
-                part = x[keys == key]
+            for key, mine in rows_by_class(batch.column(label)):
+                part = x[mine]
                 add = (len(part), part.sum(axis=0), part.T @ part)
                 old = held.get(key)
                 held[key] = add if old is None else tuple(a + b for a, b in zip(old, add))
@@ -308,7 +307,7 @@ def weights_from_rule(spark, shapes: list[tuple], rule) -> DataFrame:
                 (number, activation, with_label, unit, float(rule(number, unit, -1)),
                  [float(rule(number, unit, i)) for i in range(inputs)])
             )
-    return spark.createDataFrame(rows, WEIGHTS_SCHEMA)
+    return local_table(spark, rows, WEIGHTS_SCHEMA)
 
 
 def network_summary(weights: DataFrame) -> DataFrame:

@@ -34,6 +34,16 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def rows_by_class(column: pa.Array):
+    """(class, row numbers) for every class of an Arrow column."""
+    coded = column.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    starts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    for at, key in enumerate(coded.dictionary.to_pylist()):
+        yield key, order[starts[at] : starts[at + 1]]
+
+
 def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, need: int):
     """Row and point indices and distances of the ``need`` nearest points per query,
     ordered by (query, distance, id)."""
@@ -109,12 +119,13 @@ def _block_search(queries: DataFrame, points: DataFrame, label: str, need: int,
         if q.num_rows == 0 or p.num_rows == 0:
             return fields.empty_table()
         qid = q.column("_vid").to_numpy()
-        ids = p.column("p_ids").to_pylist()
         firsts = p.column("p_vid").to_numpy()
         r, c, d = nearest(_matrix(q.column("_vec")), _matrix(p.column("p_vec")), firsts, need)
-        copies = np.array([len(i) for i in ids])
-        times = copies[c]
-        nid = np.concatenate([ids[i] for i in c]) if len(c) else np.empty(0, "int64")
+        ids = p.column("p_ids").combine_chunks()
+        offsets = ids.offsets.to_numpy()
+        times = np.diff(offsets)[c]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        nid = ids.values.to_numpy()[np.repeat(offsets[c], times) + within]
         r, d = np.repeat(r, times), np.repeat(d, times)
         order = np.lexsort((nid, d, r))
         r, d, nid = r[order], d[order], nid[order]
@@ -174,9 +185,9 @@ def _assign_cells(points: DataFrame, label: str, pivots: dict) -> DataFrame:
             cell, dist = np.zeros(n, "int32"), np.zeros(n)
             if n:
                 vectors = _matrix(pa.chunked_array([batch.column("_vec")]))
-                labels = np.array(batch.column(label).to_pylist(), dtype=object)
-                for key in set(labels.tolist()) & pivots.keys():
-                    mine = np.nonzero(labels == key)[0]
+                for key, mine in rows_by_class(batch.column(label)):
+                    if key not in pivots:
+                        continue
                     for s in range(0, len(mine), 256):
                         part = mine[s : s + 256]
                         away = _distances(vectors[part], pivots[key])
@@ -204,12 +215,12 @@ def _route_onward(queries: DataFrame, label: str, pivots: dict, reach: dict) ->
             if batch.num_rows == 0:
                 continue
             vectors = _matrix(pa.chunked_array([batch.column("_vec")]))
-            labels = np.array(batch.column(label).to_pylist(), dtype=object)
             own = batch.column("_cell").to_numpy()
             theta = batch.column("_theta").to_numpy() * (1 + 1e-9) + 1e-9
             rows, cells = [], []
-            for key in set(labels.tolist()) & pivots.keys():
-                mine = np.nonzero(labels == key)[0]
+            for key, mine in rows_by_class(batch.column(label)):
+                if key not in pivots:
+                    continue
                 for s in range(0, len(mine), 256):
                     part = mine[s : s + 256]
                     away = _distances(vectors[part], pivots[key])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewlens.functions.hashing import hash_hex
-from skewlens.session import pin
+from skewlens.session import local_table, pin
 
 #: Hex digits per level: 16**3 = 4096 buckets.
 DIGITS = 3
@@ -22,14 +22,6 @@ BUCKET_ROWS = 8192
 HEX_LENGTH = 32
 
 
-def same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    """Null-safe equality on ``cols`` (null classes keep their rows)."""
-    condition = F.lit(True)
-    for c in cols:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
-
-
 def with_digest(df: DataFrame, key: list[str], seed: int, tag: str, out: str = "_hash") -> DataFrame:
     return df.withColumn(out, hash_hex(seed, tag, *key))
 
@@ -41,65 +33,74 @@ def _bucket_counts(df: DataFrame, group: list[str], digest: str, digits: int) ->
 
 
 def hash_cutoffs(
-    df: DataFrame, group: str, digest: str, quotas: DataFrame, histogram: DataFrame | None = None
+    df: DataFrame, group: list[str], digest: str, quotas: DataFrame, histogram: DataFrame | None = None
 ) -> DataFrame:
-    """Digest of the quota-th row of every group: ``(group, cutoff)``.
+    """Digest of the quota-th row of every group: ``(group..., cutoff)``.
 
-    ``quotas`` is ``(group, quota)`` with quota >= 1. Rows with ``digest <= cutoff``
+    ``quotas`` is ``(group..., quota)`` with quota >= 1. Rows with ``digest <= cutoff``
     are then exactly the first ``quota`` rows of the group, so a selection is a filter
     and the rows themselves are never moved. Each pass counts buckets (map-side) and
     keeps the one bucket per group that holds the quota; the next pass looks only
     inside it, until it is small enough to be ranked.
     """
-    state = quotas.select(
-        group, F.lit("").alias("_prefix"), F.col("quota").cast("long").alias("_left")
-    )
-    digits = 0
-    inside = df.select(group, digest)
+    digits, parent = DIGITS, None
+    rows = df.select(*group, digest)
+    state = quotas.select(*group, F.col("quota").cast("long").alias("_left"))
+    buckets = histogram if histogram is not None else _bucket_counts(rows, group, digest, digits)
     while True:
-        digits += DIGITS
-        if digits > HEX_LENGTH:
-            raise ValueError("row key is not unique: equal digests cannot be split")
-        if digits == DIGITS and histogram is not None:
-            buckets = histogram
-        else:
-            buckets = _bucket_counts(inside, [group], digest, digits)
-        buckets = buckets.alias("b").join(
-            state.select(F.col(group).alias("_g"), "_prefix", "_left").alias("s"),
-            F.col(f"b.{group}").eqNullSafe(F.col("_g"))
-            & F.col("_bucket").startswith(F.col("_prefix")),
-        )
-        running = Window.partitionBy(group).orderBy("_bucket")
-        state = pin(
-            buckets.withColumn("_upto", F.sum("_n").over(running))
-            .where((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left")))
-            .select(
-                F.col(f"b.{group}").alias(group),
-                F.col("_bucket").alias("_prefix"),
-                (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"),
-                "_n",
-            ),
-            name="cut-buckets",
-        )
+        state = _cut_bucket(buckets, group, state, digits, parent)
         largest = state.agg(F.max("_n")).head()[0]
-        cut = state.select(F.col(group).alias("_g"), "_prefix", "_left")
-        inside = df.select(group, digest).join(
-            cut,
-            F.col(group).eqNullSafe(F.col("_g"))
-            & (F.substring(digest, 1, digits) == F.col("_prefix")),
-        )
+        inside = _join_state(rows, group, state, F.substring(digest, 1, digits))
         if largest is None or largest <= BUCKET_ROWS:
             break
-        inside = inside.select(group, digest)
-    place = Window.partitionBy(group).orderBy(digest)
+        parent, digits = digits, digits + DIGITS
+        if digits > HEX_LENGTH:
+            raise ValueError("row key is not unique: equal digests cannot be split")
+        buckets = _bucket_counts(inside.select(*group, digest), group, digest, digits)
+    place = Window.partitionBy(*group, "_prefix").orderBy(digest)
     return pin(
         inside.withColumn("_rank", F.row_number().over(place))
         .where(F.col("_rank") == F.col("_left"))
-        .select(group, F.col(digest).alias("cutoff")),
+        .select(*group, F.col(digest).alias("cutoff")),
         name="cutoffs",
     )
 
 
+def _join_state(rows: DataFrame, group: list[str], state: DataFrame, prefix: Column) -> DataFrame:
+    """Rows of each group whose digest starts with the group's current prefix."""
+    renamed = state.select(*[F.col(g).alias(f"_s_{g}") for g in group], "_prefix", "_left")
+    match = prefix == F.col("_prefix")
+    for g in group:
+        match = match & F.col(g).eqNullSafe(F.col(f"_s_{g}"))
+    return rows.join(renamed, match).drop(*[f"_s_{g}" for g in group])
+
+
+def _cut_bucket(
+    buckets: DataFrame, group: list[str], state: DataFrame, digits: int, parent: int | None
+) -> DataFrame:
+    """The bucket of each group in which its remaining quota ends, with the rows still
+    to take there."""
+    if parent is not None:
+        placed = _join_state(buckets, group, state, F.substring("_bucket", 1, parent)).drop("_prefix")
+    elif group:
+        renamed = state.select(*[F.col(g).alias(f"_s_{g}") for g in group], "_left")
+        match = None
+        for g in group:
+            same = F.col(g).eqNullSafe(F.col(f"_s_{g}"))
+            match = same if match is None else match & same
+        placed = buckets.join(renamed, match)
+    else:
+        placed = buckets.withColumn("_left", F.lit(state.head()["_left"]))
+    running = Window.partitionBy(*group).orderBy("_bucket")
+    before = F.col("_upto") - F.col("_n")
+    return pin(
+        placed.withColumn("_upto", F.sum("_n").over(running))
+        .where((F.col("_upto") >= F.col("_left")) & (before < F.col("_left")))
+        .select(*group, F.col("_bucket").alias("_prefix"), (F.col("_left") - before).alias("_left"), "_n"),
+        name="cut-buckets",
+    )
+
+
 def _offsets(counts: DataFrame, group: list[str], digits: int) -> DataFrame:
     """Rows ahead of every bucket. Windows span one parent bucket, at most 4096 rows."""
     inner = Window.partitionBy(*group, "_parent").orderBy("_bucket")
@@ -167,14 +168,13 @@ def first_in_order(
     df: DataFrame, key: list[str], n: int, seed: int = 42, tag: str = "order"
 ) -> DataFrame:
     """The first ``n`` rows of the shuffled order, as a filter on the digest."""
-    hashed = with_digest(df, key, seed, tag).withColumn("_all", F.lit(0))
-    histogram = pin(_bucket_counts(hashed, ["_all"], "_hash", DIGITS), name="buckets")
+    hashed = with_digest(df, key, seed, tag)
+    histogram = pin(_bucket_counts(hashed, [], "_hash", DIGITS), name="buckets")
     available = histogram.agg(F.sum("_n")).head()[0] or 0
     if n >= available:
         return df
-    spark = df.sparkSession
-    quotas = spark.createDataFrame([(0, int(n))], "_all int, quota long")
-    cut = hash_cutoffs(hashed, "_all", "_hash", quotas, histogram).head()
+    quotas = local_table(df.sparkSession, [(int(n),)], "quota long")
+    cut = hash_cutoffs(hashed, [], "_hash", quotas, histogram).head()
     return hashed.where(F.col("_hash") <= F.lit(cut["cutoff"])).select(*df.columns)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skewlens.functions.vectors import first_k
-from skewlens.session import bounded_rows, pin
+from skewlens.session import bounded_rows, local_table, pin
 
 N_BINS = 20
 
@@ -44,7 +44,7 @@ def column_roles(df: DataFrame, categorical: list[str], excluded: list[str]) ->
         (c, i, "categorical" if c in categorical else "numerical")
         for i, c in enumerate(c for c in df.columns if c not in excluded)
     ]
-    return spark.createDataFrame(rows, "feature string, position int, role string")
+    return local_table(spark, rows, "feature string, position int, role string")
 
 
 def numerical_columns(df: DataFrame, categorical: list[str], excluded: list[str]) -> list[str]:
@@ -132,7 +132,7 @@ def class_counts(df: DataFrame, col: str, classes: DataFrame) -> DataFrame:
 
 def class_counts_percent(df: DataFrame, col: str, classes: DataFrame) -> DataFrame:
     counts = class_counts(df, col, classes)
-    total = df.join(classes, col, "left_semi").agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", F.try_divide(F.col("n") * 100.0, total))
 
 
@@ -241,9 +241,12 @@ def describe(df: DataFrame, cols: list[str], probs: tuple = (0.25, 0.5, 0.75)) -
                          a=q[2 * j], b=q[2 * j + 1], min=first[f"min{i}"], max=first[f"max{i}"])
                 )
     _settle_brackets(values, wanted)
-    quantiles = _ranked_quantiles(values, wanted)
+    # A bracket of one value needs no ranking: both ranks fall on that value.
+    tied = [(w["col"], w["pi"], w["a"]) for w in wanted if w["a"] == w["b"]]
+    quantiles = _ranked_quantiles(values, [w for w in wanted if w["a"] != w["b"]], tied, len(probs))
 
-    stats = df.sparkSession.createDataFrame(
+    stats = local_table(
+        df.sparkSession,
         [
             (c, i, int(first[f"n{i}"]), first[f"mean{i}"], first[f"std{i}"], first[f"min{i}"], first[f"max{i}"])
             for i, c in enumerate(cols)
@@ -298,11 +301,18 @@ def _settle_brackets(values: DataFrame, wanted: list[dict]) -> None:
         todo = again
 
 
-def _ranked_quantiles(values: DataFrame, wanted: list[dict]) -> DataFrame:
+def _ranked_quantiles(values: DataFrame, wanted: list[dict], tied: list[tuple], n_probs: int) -> DataFrame:
+    """``(feature, _q0, _q1, ...)`` from the brackets, plus the values already known."""
     spark = values.sparkSession
-    probs = sorted({w["pi"] for w in wanted})
-    if not wanted:
-        return spark.createDataFrame([], "feature string, " + ", ".join(f"_q{j} double" for j in range(3)))
+    found = local_table(spark, tied, "feature string, pi int, q double")
+    if wanted:
+        found = found.unionByName(_rank_inside(values, wanted))
+    return found.groupBy("feature").agg(
+        *[F.max(F.when(F.col("pi") == j, F.col("q"))).alias(f"_q{j}") for j in range(n_probs)]
+    )
+
+
+def _rank_inside(values: DataFrame, wanted: list[dict]) -> DataFrame:
     hits = [
         F.when(
             F.col(w["col"]).between(w["a"], w["b"]),
@@ -315,16 +325,18 @@ def _ranked_quantiles(values: DataFrame, wanted: list[dict]) -> DataFrame:
         for w in wanted
     ]
     inside = (
-        values.select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
+        values.where(F.coalesce(*hits).isNotNull())
+        .select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
         .groupBy("h.feature", "h.pi", "h.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranks = spark.createDataFrame(
+    ranks = local_table(
+        values.sparkSession,
         [(w["col"], w["pi"], w["below"], w["lo"], w["hi"], w["frac"]) for w in wanted],
         "feature string, pi int, below long, lo long, hi long, frac double",
     )
     running = Window.partitionBy("feature", "pi").orderBy("value")
-    placed = inside.withColumn("upto", F.sum("n").over(running)).join(F.broadcast(ranks), ["feature", "pi"])
+    placed = inside.withColumn("upto", F.sum("n").over(running)).join(ranks, ["feature", "pi"])
     upto = F.col("below") + F.col("upto")
     from_ = upto - F.col("n")
     holds = lambda rank: (from_ <= F.col(rank)) & (F.col(rank) < upto)
@@ -333,9 +345,8 @@ def _ranked_quantiles(values: DataFrame, wanted: list[dict]) -> DataFrame:
         F.max(F.when(holds("hi"), F.col("value"))).alias("v_hi"),
         F.max("frac").alias("frac"),
     )
-    value = F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))
-    return both.groupBy("feature").agg(
-        *[F.max(F.when(F.col("pi") == j, value)).alias(f"_q{j}") for j in probs]
+    return both.select(
+        "feature", "pi", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q")
     )
 
 

@@ -58,7 +58,7 @@ def stratified_split(
     histogram = pin(_bucket_counts(hashed, [label], "_hash", DIGITS), name="buckets")
     counts = histogram.groupBy(label).agg(F.sum("_n").alias("n"))
     quotas = pin(split_quotas(counts, label, test_size).where(F.col("quota") > 0), name="quotas")
-    cuts = hash_cutoffs(hashed, label, "_hash", quotas, histogram)
+    cuts = hash_cutoffs(hashed, [label], "_hash", quotas, histogram)
     cuts = cuts.select(F.col(label).alias("_g"), "cutoff")
     train, held = names
     return hashed.join(cuts, F.col(label).eqNullSafe(F.col("_g")), "left").select(

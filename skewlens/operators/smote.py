@@ -10,7 +10,7 @@ from skewlens.functions.vectors import as_doubles, lerp
 from skewlens.operators.neighbors import CELL_ROWS, knn
 from skewlens.operators.ordering import expand_counts, hash_ordinals
 from skewlens.operators.sampling import pick_by_position
-from skewlens.session import bounded_rows, pin, stage
+from skewlens.session import bounded_rows, local_table, pin, stage
 
 #: Neighbours considered per row.
 K_NEIGHBORS = 5
@@ -27,7 +27,7 @@ def augmentation_plan(df: DataFrame, label: str, targets: DataFrame | dict, k: i
     spark = df.sparkSession
     if isinstance(targets, dict):
         kind = df.schema[label].dataType.simpleString()
-        targets = spark.createDataFrame(list(targets.items()), f"`{label}` {kind}, target long")
+        targets = local_table(spark, list(targets.items()), f"`{label}` {kind}, target long")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     plan = pin(
         targets.select(label, F.col("target").cast("long").alias("target"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skewlens.operators import profile, sampling, smote
 from skewlens.operators.ordering import first_batches
 from skewlens.sources.bundle import read_bundle, read_params, write_bundle
+from skewlens.session import local_table
 
 
 def audit_sampling(
@@ -48,7 +49,7 @@ def augment_bundle(
     Returns counts before and after."""
     classes = read_params(spark, source, "classes")
     train = read_bundle(spark, source, ["train"]).select(key, "label_idx", "features")
-    names = spark.createDataFrame(list(wanted.items()), f"{category} string, target long")
+    names = local_table(spark, list(wanted.items()), f"{category} string, target long")
     targets = names.join(classes, category).select("label_idx", "target")
     full = smote.augment(train, key, "label_idx", "features", targets, k, seed).withColumn("split", F.lit("train"))
     rest = read_bundle(spark, source).where("split <> 'train'").select(key, "label_idx", "features", "split")

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Rows a fitted table (class counts, vocabulary, scaler, cut-offs) may have to be
 #: carried by the driver. Larger ones stay distributed as a written table.
@@ -78,3 +80,13 @@ def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows")
     return rows
+
+
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows from the driver as a local relation: no job, exact size."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema=schema)

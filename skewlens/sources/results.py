@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from skewlens.session import local_table
 
 RUNS_SCHEMA = (
     "run_id string, kind string, epoch int, params map<string,string>, losses map<string,double>"
@@ -45,7 +46,7 @@ def append_run(
     spark: SparkSession, path: str, run_id: str, kind: str, epoch: int, params: dict, losses: dict
 ) -> None:
     row = (run_id, kind, epoch, {k: str(v) for k, v in params.items()}, {k: float(v) for k, v in losses.items()})
-    append_runs(spark.createDataFrame([row], RUNS_SCHEMA), path)
+    append_runs(local_table(spark, [row], RUNS_SCHEMA), path)
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from skewlens.session import local_table
 
 # Column names and types of a record, in file order.
 RECORD_DDL = """
@@ -51,4 +52,4 @@ def category_of() -> dict[str, str]:
 
 def label_dim(spark: SparkSession) -> DataFrame:
     """(label, category)."""
-    return spark.createDataFrame(list(category_of().items()), "label string, category string")
+    return local_table(spark, list(category_of().items()), "label string, category string")

@@ -20,9 +20,14 @@ from skewlens.functions.hashing import hash_hex
 from skewlens.functions.vectors import as_doubles
 from skewlens.session import pin, stage
 
+#: Rows a Voronoi cell should hold, and how many cells' worth of rows a class needs
+#: before cutting it up pays for itself.
 CELL_ROWS = 4096
+WORTH_CUTTING = 8
+#: Rows of either side that meet in one task.
 BLOCK_ROWS = 4096
-MAX_CELLS = 256
+#: Cells a class may have. A tuning bound only: crowded cells are cut into blocks.
+MAX_CELLS = 2048
 #: Bytes of pivot vectors a task may be given.
 PIVOT_BYTES = 64 * 1024 * 1024
 #: Candidate pairs whose exact distance is computed at once.
@@ -141,8 +146,9 @@ def _block_search(queries: DataFrame, points: DataFrame, label: str, need: int,
 
 
 def _choose_pivots(points: DataFrame, label: str, width: int, cell_rows: int, max_cells: int, seed: int):
-    """{class: pivot matrix} for the classes larger than one cell."""
-    counts = points.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell_rows)
+    """{class: pivot matrix} for the classes that are worth cutting into cells."""
+    counts = points.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.where(F.col("_n") > cell_rows * WORTH_CUTTING)
     cells = pin(
         counts.select(label, F.least(F.ceil(F.col("_n") / cell_rows), F.lit(max_cells)).alias("_cells")),
         name="cells",
@@ -167,8 +173,12 @@ def _choose_pivots(points: DataFrame, label: str, width: int, cell_rows: int, ma
     return {key: np.array([v for _, v in sorted(rows)]) for key, rows in found.items()}
 
 
-def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(((vectors[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+def _pivot_distances(vectors: np.ndarray, rows: np.ndarray, pivots: np.ndarray):
+    """(row numbers, distance to every pivot) in pieces of bounded memory."""
+    step = max(1, 4_000_000 // pivots.size)
+    for s in range(0, len(rows), step):
+        part = rows[s : s + step]
+        yield part, np.sqrt(((vectors[part][:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
 
 
 def _assign_cells(points: DataFrame, label: str, pivots: dict) -> DataFrame:
@@ -188,9 +198,7 @@ def _assign_cells(points: DataFrame, label: str, pivots: dict) -> DataFrame:
                 for key, mine in rows_by_class(batch.column(label)):
                     if key not in pivots:
                         continue
-                    for s in range(0, len(mine), 256):
-                        part = mine[s : s + 256]
-                        away = _distances(vectors[part], pivots[key])
+                    for part, away in _pivot_distances(vectors, mine, pivots[key]):
                         cell[part] = away.argmin(axis=1)
                         dist[part] = away.min(axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -221,9 +229,7 @@ def _route_onward(queries: DataFrame, label: str, pivots: dict, reach: dict) ->
             for key, mine in rows_by_class(batch.column(label)):
                 if key not in pivots:
                     continue
-                for s in range(0, len(mine), 256):
-                    part = mine[s : s + 256]
-                    away = _distances(vectors[part], pivots[key])
+                for part, away in _pivot_distances(vectors, mine, pivots[key]):
                     home = away[np.arange(len(part)), own[part]]
                     bound = np.maximum(away - reach[key][None, :], (away - home[:, None]) / 2)
                     open_ = bound <= theta[part][:, None]

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skewlens.operators import smote
+from skewlens.operators import neighbors, smote
 from skewlens.operators.neighbors import knn
 
 
@@ -41,7 +41,14 @@ def clusters(n, dim, seed, copies=True):
     return ids, labels, x
 
 
-@pytest.mark.parametrize("cell_rows,block_rows", [(4096, 4096), (4096, 40), (30, 4096), (30, 25)])
+def test_parameters_reach_the_cell_path():
+    """The small cell sizes used below do cut the classes of these fixtures."""
+    _, labels, _ = clusters(500, 5, 3)
+    assert (labels == "small").sum() - 500 // 3 < 12 * neighbors.WORTH_CUTTING < (labels == "big").sum() - 500 // 3
+    assert (clusters(300, 4, 8, copies=False)[1] == "small").sum() > 5 * neighbors.WORTH_CUTTING
+
+
+@pytest.mark.parametrize("cell_rows,block_rows", [(4096, 4096), (4096, 40), (12, 4096), (12, 25)])
 def test_matches_brute_force(spark, cell_rows, block_rows):
     """One cell, many blocks, many cells, and both; a third of the rows are copies."""
     ids, labels, x = clusters(500, 5, 3)
@@ -55,7 +62,7 @@ def test_unclustered_high_dimension(spark):
     rng = np.random.default_rng(9)
     ids, x = np.arange(300), rng.normal(size=(300, 24))
     labels = np.array(["a"] * 300)
-    got = knn(frame(spark, ids, labels, x), "id", "c", "v", 4, cell_rows=40).collect()
+    got = knn(frame(spark, ids, labels, x), "id", "c", "v", 4, cell_rows=20).collect()
     check(got, brute(ids, labels, x, 4))
 
 
@@ -63,7 +70,7 @@ def test_query_subset_sees_all_candidates(spark):
     ids, labels, x = clusters(300, 3, 4)
     df = frame(spark, ids, labels, x)
     some = df.where(F.col("id") % 4 == 0).select("c", "id")
-    got = knn(df, "id", "c", "v", 3, queries=some, cell_rows=50).collect()
+    got = knn(df, "id", "c", "v", 3, queries=some, cell_rows=10).collect()
     want = {key: v for key, v in brute(ids, labels, x, 3).items() if key[0] % 4 == 0}
     check(got, want)
 
@@ -87,7 +94,7 @@ def test_smote_stays_on_segments(spark):
     ids, labels, x = clusters(300, 4, 8, copies=False)
     df = frame(spark, ids, labels, x)
     n_small = int((labels == "small").sum())
-    new = smote.synthesize(df, "id", "c", "v", {"small": n_small + 80}, cell_rows=20).collect()
+    new = smote.synthesize(df, "id", "c", "v", {"small": n_small + 80}, cell_rows=5).collect()
     assert len(new) == 80 and {r["c"] for r in new} == {"small"}
     where = {int(i): r for i, r in zip(ids, x)}
     cls = {int(i): c for i, c in zip(ids, labels)}

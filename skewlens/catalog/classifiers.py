@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from skewlens.catalog.generation import latent_generator
 from skewlens.catalog.neighbors import vectors
 from skewlens.catalog.registry import query
+from skewlens.functions.vectors import sigmoid
 from skewlens.operators import metrics, scoring
 from skewlens.operators.sampling import stratified_split
 from skewlens.session import stage
@@ -57,3 +58,27 @@ def two_sample_test(spark, sf_dir):
     fake = stage(latent_generator(spark, sf_dir), "generated")
     scores = scoring.two_sample_scores(vectors(spark, sf_dir), fake, "label", "features", 10)
     return scoring.two_sample_summary(scores, "label")
+
+
+@query("""
+    WITH e AS (SELECT label, (embedding[2] > 0)::INT AS t, round(1 / (1 + exp(-(embedding[1]::DOUBLE + embedding[2]::DOUBLE))), 6) AS s,
+                      1 / (1 + exp(-(embedding[1]::DOUBLE + embedding[2]::DOUBLE))) AS p FROM embeddings),
+    g AS (SELECT label, s, sum(t) AS pos, sum(1 - t) AS neg FROM e GROUP BY 1, 2),
+    r AS (SELECT *, sum(neg) OVER (PARTITION BY label ORDER BY s) - neg AS below FROM g),
+    a AS (SELECT label, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg))::DOUBLE AS auc FROM r GROUP BY 1),
+    m AS (SELECT label, count(*) AS n, avg(p) FILTER (WHERE t = 1) AS pr, avg(p) FILTER (WHERE t = 0) AS pg,
+                 avg(((p >= 0.5)::INT = t)::INT) AS acc FROM e GROUP BY 1)
+    SELECT label, n, round(pr, 6) AS p_real_on_real, round(pg, 6) AS p_real_on_generated, round(acc, 6) AS accuracy,
+           round(auc, 6) AS auc FROM m JOIN a USING (label)
+""")
+def score_separation(spark, sf_dir):
+    """The two-sample summary of a score the table itself carries."""
+    scores = vectors(spark, sf_dir).select(
+        "label",
+        (F.col("features")[1] > 0).cast("int").alias("target"),
+        sigmoid(F.col("features")[0] + F.col("features")[1]).alias("p_real"),
+    )
+    out = scoring.two_sample_summary(scores, "label")
+    for c in ("p_real_on_real", "p_real_on_generated", "accuracy", "auc"):
+        out = out.withColumn(c, F.round(c, 6))
+    return out

@@ -6,7 +6,7 @@ from skewlens.catalog.registry import query, sql_split, table
 from skewlens.functions.vectors import condition
 from skewlens.operators import encode
 from skewlens.operators.sampling import stratified_split
-from skewlens.session import fresh_path
+from skewlens.session import fresh_path, stage
 from skewlens.sources import bundle, records
 
 ITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -73,6 +73,19 @@ def inverse_standardize(spark, sf_dir):
     return back.select(*ITEM_KEY, *[F.round(c, 4).alias(c) for c in NUMERIC])
 
 
+@query("""
+    SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders
+""")
+def stored_scaler(spark, sf_dir):
+    """Scaler parameters written, read back and used to restore the original units."""
+    orders = table(spark, sf_dir, "orders")
+    params = encode.fit_scaler(orders, ["o_totalprice"])
+    scaled = encode.apply_scaler(orders, params, "_z").select("o_orderkey", "o_totalprice_z")
+    stored = stage(params, "scaler")
+    back = encode.invert_scaler(scaled, stored, "_z")
+    return back.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
 @query(
     "WITH s AS (SELECT "
     + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMERIC)

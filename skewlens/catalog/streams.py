@@ -51,6 +51,19 @@ def stream_sliding_distribution(spark, sf_dir):
     return _naive(_windows(spark, sf_dir, "1 day", "12 hours"))
 
 
+@query("""
+    SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type,
+           count(*) AS n FROM events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2, 3
+""")
+def stream_closed_windows(spark, sf_dir):
+    """Class counts per day, each written once when the watermark has passed the day."""
+    counts = balance.window_counts(file_stream(spark, sf_dir, "events"), "ts", "event_type", "1 day")
+    path, checkpoint = fresh_path(spark, "closed"), fresh_path(spark, "closed-state")
+    balance.write_rows(counts, path, checkpoint).awaitTermination()
+    return _naive(spark.read.schema(counts.schema).parquet(path))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_running_counts(spark, sf_dir):
     return _run(spark, balance.running_counts(file_stream(spark, sf_dir, "events"), "event_type"), ["event_type"])

@@ -15,10 +15,14 @@ from skewlens.functions.hashing import hash_uniform, noise_vector
 from skewlens.functions.vectors import as_doubles, lerp
 from skewlens.operators.neighbors import _matrix, rows_by_class
 from skewlens.operators.ordering import expand_counts, hash_ordinals
-from skewlens.session import bounded_rows, local_table
+from skewlens.session import local_table
 
 #: Bytes of network weights a task may be given.
 WEIGHT_BYTES = 256 * 1024 * 1024
+#: Bytes of moment matrices a task holds before it passes them on.
+HELD_BYTES = 64 * 1024 * 1024
+#: Elements a vector may have for a full covariance (32 MB).
+MAX_DIM = 2048
 #: Samples drawn from one model row at a time.
 SAMPLE_CHUNK = 4096
 
@@ -174,7 +178,7 @@ def moments(df: DataFrame, label: str, vec: str) -> DataFrame:
                 add = (len(part), part.sum(axis=0), part.T @ part)
                 old = held.get(key)
                 held[key] = add if old is None else tuple(a + b for a, b in zip(old, add))
-                if len(held) >= 64:
+                if len(held) * x.shape[1] ** 2 * 8 > HELD_BYTES:
                     yield from release()
         yield from release()
 
@@ -212,6 +216,9 @@ def fit_latent(df: DataFrame, label: str, vec: str, k: int = 8, shrinkage: float
     ``shrinkage / (shrinkage + n)``, so a class with fewer rows than dimensions borrows
     its shape from all classes.
     """
+    width = df.select(F.size(vec)).head()
+    if width is not None and width[0] > MAX_DIM:
+        raise ValueError(f"covariances of {width[0]} elements are too large; at most {MAX_DIM}")
     classes = class_covariances(df, label, vec)
     pooled_row = classes.agg(
         F.sum("n").alias("n"), Summarizer.sum(array_to_vector(F.col("scatter"))).alias("s")
@@ -317,7 +324,3 @@ def network_summary(weights: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("units"),
         F.sum(F.size("weights") + 1).alias("parameters"),
     )
-
-
-def check_classes(model: DataFrame, label: str, limit: int = 10_000) -> list:
-    return sorted(r[0] for r in bounded_rows(model.select(label), limit, "classes of the generator"))

@@ -79,12 +79,11 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, need: int)
     return np.concatenate(rows_out), np.concatenate(cols_out), np.concatenate(dist_out)
 
 
-def _block_search(queries: DataFrame, points: DataFrame, label: str, need: int, block_rows: int) -> DataFrame:
-    """Partial answers ``(label, _vid, _nid, _dist)`` of every query against the points
-    of the cell it is routed to. Both sides of a crowded cell are cut into blocks."""
+def _blocks(queries: DataFrame, points: DataFrame, label: str, block_rows: int) -> DataFrame:
+    """(label, cell, blocks of points, blocks of queries)."""
     sizes = points.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_np"))
     loads = queries.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_nq"))
-    blocks = pin(
+    return pin(
         sizes.join(loads, [label, "_cell"]).select(
             label,
             "_cell",
@@ -93,6 +92,11 @@ def _block_search(queries: DataFrame, points: DataFrame, label: str, need: int,
         ),
         name="blocks",
     )
+
+
+def _block_search(queries: DataFrame, points: DataFrame, blocks: DataFrame, label: str, need: int) -> DataFrame:
+    """Partial answers ``(label, _vid, _nid, _dist)`` of every query against the points
+    of the cell it is routed to. Both sides of a crowded cell are cut into blocks."""
     one = F.lit(1)
     left = (
         queries.join(blocks, [label, "_cell"])
@@ -145,17 +149,15 @@ def _block_search(queries: DataFrame, points: DataFrame, label: str, need: int,
     return blocked.cogroup(right.groupBy("p_class", "p_cell", "p_qsub", "p_psub")).applyInArrow(search, schema)
 
 
-def _choose_pivots(points: DataFrame, label: str, width: int, cell_rows: int, max_cells: int, seed: int):
+def _choose_pivots(points: DataFrame, counts: DataFrame, label: str, cell_rows: int, max_cells: int, seed: int):
     """{class: pivot matrix} for the classes that are worth cutting into cells."""
-    counts = points.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.where(F.col("_n") > cell_rows * WORTH_CUTTING)
-    cells = pin(
-        counts.select(label, F.least(F.ceil(F.col("_n") / cell_rows), F.lit(max_cells)).alias("_cells")),
-        name="cells",
+    cells = counts.where(F.col("_n") > cell_rows * WORTH_CUTTING).select(
+        label, F.least(F.ceil(F.col("_n") / cell_rows), F.lit(max_cells)).alias("_cells")
     )
     asked = cells.agg(F.sum("_cells")).head()[0]
     if not asked:
         return {}
+    width = points.select(F.size("_vec")).head()[0]
     share = min(1.0, PIVOT_BYTES / (8.0 * width) / asked)
     cells = cells.withColumn("_cells", F.floor(F.col("_cells") * share)).where(F.col("_cells") > 1)
     order = Window.partitionBy(label).orderBy(hash_hex(seed, "pivot", "_vid"), "_vid")
@@ -283,9 +285,8 @@ def knn(
         .withColumn("_vid", F.col("_ids")[0]),
         "points",
     )
-    head = points.select(F.size("_vec")).head()
-    width = head[0] if head else 1
-    pivots = _choose_pivots(points, label, width, cell_rows, max_cells, seed)
+    counts = pin(points.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), name="class-counts")
+    pivots = _choose_pivots(points, counts, label, cell_rows, max_cells, seed)
     celled = _assign_cells(points, label, pivots)
     if pivots:
         celled = stage(celled, "cells")
@@ -297,7 +298,12 @@ def knn(
         asked = rows.join(wanted, (F.col(label) == F.col("_ql")) & (F.col("_id") == F.col("_qi")), "left_semi")
         sought = celled.join(asked.select(label, "_vec").distinct(), [label, "_vec"], "left_semi")
 
-    found = _block_search(sought, celled, label, need, block_rows)
+    if not pivots and not counts.where(F.col("_n") > block_rows).head():
+        one_block = F.lit(1)
+        blocks = counts.select(label, F.lit(0).alias("_cell"), one_block.alias("_pb"), one_block.alias("_qb"))
+    else:
+        blocks = _blocks(sought, celled, label, block_rows)
+    found = _block_search(sought, celled, blocks, label, need)
     if pivots:
         own = stage(_best(found, label, need).select(label, "_vid", "_nid", "_dist"), "own-cell")
         bound = own.groupBy(label, "_vid").agg(
@@ -311,7 +317,8 @@ def knn(
         onward = stage(
             _route_onward(sought.join(bound, [label, "_vid"]), label, pivots, reach), "onward"
         )
-        found = own.unionByName(_block_search(onward, celled, label, need, block_rows))
+        blocks = _blocks(onward, celled, label, block_rows)
+        found = own.unionByName(_block_search(onward, celled, blocks, label, need))
 
     answers = (
         _best(found, label, need)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewlens.functions.hashing import hash_uniform
@@ -15,7 +15,7 @@ from skewlens.operators.ordering import (
     hash_ordinals,
     with_digest,
 )
-from skewlens.session import bounded_rows, pin
+from skewlens.session import pin
 
 #: Chi-square below which sampled labels count as uniform.
 UNIFORM_LIMIT = 10.0
@@ -127,17 +127,24 @@ def pick_by_position(
     ).drop("_salts", "_salt", "_rg", "_rp", "_rs", "_rsalt")
 
 
-def class_interval(weights: DataFrame, label: str) -> tuple[Column, list]:
-    """Column picking a class by a uniform ``_u``, from per-class total weights."""
-    rows = bounded_rows(weights.select(label, "mass").orderBy(label), 10_000, "weighted classes")
-    total = sum(r["mass"] for r in rows)
-    upto, pick = 0.0, None
-    for r in rows[:-1]:
-        upto += r["mass"] / total
-        inside = F.col("_u") < F.lit(upto)
-        pick = F.when(inside, F.lit(r[label])) if pick is None else pick.when(inside, F.lit(r[label]))
-    last = F.lit(rows[-1][label])
-    return (last if pick is None else pick.otherwise(last)), rows
+#: Slots of [0, 1) by which a uniform number finds its class interval.
+SLOTS = 4096
+
+
+def class_intervals(mass: DataFrame, label: str) -> DataFrame:
+    """(label, _lo, _hi, _slot): each class's share of [0, 1), in label order, once for
+    every slot it touches."""
+    order = Window.orderBy(label)
+    total = F.sum("mass").over(Window.partitionBy())
+    last = F.row_number().over(order) == F.count(F.lit(1)).over(Window.partitionBy())
+    upto = F.when(last, F.lit(1.0)).otherwise(F.sum("mass").over(order) / total)
+    shares = mass.select(label, upto.alias("_hi")).withColumn(
+        "_lo", F.coalesce(F.lag("_hi").over(order), F.lit(0.0))
+    )
+    slots = F.sequence(
+        F.floor(F.col("_lo") * SLOTS).cast("int"), F.floor(F.col("_hi") * SLOTS).cast("int")
+    )
+    return pin(shares.withColumn("_slot", F.explode(slots)), name="intervals")
 
 
 def weighted_resample(
@@ -163,18 +170,18 @@ def weighted_resample(
             "mass", F.col("n") * F.col("weight")
         )
     mass = pin(mass, name="class-mass")
-    pick, picked = class_interval(mass, label)
-    total = sum(r["mass"] for r in picked)
-    spark = df.sparkSession
     draws = (
-        spark.range(n)
+        df.sparkSession.range(n)
         .withColumnRenamed("id", "draw_id")
         .withColumn("_u", hash_uniform(seed, "class", "draw_id"))
-        .withColumn(label, pick)
+        .withColumn("_slot", F.floor(F.col("_u") * SLOTS).cast("int"))
+        .join(class_intervals(mass, label), "_slot")
+        .where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
         .join(counts, label)
         .withColumn("_at", F.floor(hash_uniform(seed, "row", "draw_id") * F.col("n")).cast("long"))
-        .drop("_u", "n")
+        .select("draw_id", label, "_at")
     )
+    total = mass.agg(F.sum("mass")).scalar()
     per_row = mass.select(label, (F.col("mass") / total * n / F.col("n")).alias("per_row"))
     ordered = hash_ordinals(rows, key, seed, "resample", [label], out="_pos")
     others = [c for c in df.columns if c != label]

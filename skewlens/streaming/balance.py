@@ -30,7 +30,8 @@ def running_counts(stream: DataFrame, label: str) -> DataFrame:
 def write_updates(counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Start a query that writes the counts changed by each micro-batch to
     ``path/batch=<id>``. A replayed batch overwrites its own folder, so a restart
-    neither loses nor repeats an update."""
+    neither loses nor repeats an update. For streams without an end, ``write_rows`` on
+    window counts writes every window once, when it is closed, and keeps no history."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -56,6 +57,7 @@ def apply_features(stream: DataFrame, params: DataFrame, vocab: DataFrame, out:
 
 
 def write_rows(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Append rows that will not change any more: transformed records, closed windows."""
     return (
         rows.writeStream.format("parquet")
         .outputMode("append")

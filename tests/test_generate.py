@@ -35,7 +35,8 @@ def test_covariances_match_numpy(spark):
         assert np.allclose(np.array(r["scatter"]).reshape(d, d) / len(x), np.cov(x.T, bias=True))
 
 
-def test_many_classes_are_released_in_parts(spark):
+def test_many_classes_are_released_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(generate, "HELD_BYTES", 500)
     rows = [(i % 200, [float(i), 1.0]) for i in range(1000)]
     df = spark.createDataFrame(rows, "c int, v array<double>").coalesce(1)
     got = {r["c"]: (r["n"], r["mean"][0]) for r in generate.class_covariances(df, "c", "v").collect()}

@@ -131,6 +131,18 @@ def test_weighted_resample_with_given_weights(spark):
     assert abs(got[0] - 3000) < 5 * math.sqrt(750)
 
 
+def test_weighted_resample_over_many_classes(spark):
+    """More classes than slots of the interval lookup, one of them empty of weight."""
+    df = spark.range(6000).withColumn("c", (F.col("id") % 5000).cast("int"))
+    weights = spark.range(5000).select(
+        F.col("id").cast("int").alias("c"), F.when(F.col("id") == 7, 0.0).otherwise(1.0).alias("weight")
+    )
+    rows = sampling.weighted_resample(df, ["id"], "c", 20_000, weights).collect()
+    assert sorted(r["draw_id"] for r in rows) == list(range(20_000))
+    assert all(r["id"] % 5000 == r["c"] != 7 for r in rows)
+    assert len({r["id"] for r in rows}) > 5500
+
+
 def test_hash_is_stable(spark):
     row = spark.range(1).select(hash_hex(42, "split", "id").alias("h")).head()
     assert row["h"] == digests(1, "split")[0]

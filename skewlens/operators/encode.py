@@ -22,8 +22,8 @@ def fit_onehot(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = feature_value_counts(df, cols).select("feature", "value")
     order = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature"))
     place = Window.orderBy(order, "value")
-    vocabulary = pin(pairs, MAX_WIDTH, "vocabulary")
-    return vocabulary.withColumn("position", (F.row_number().over(place) - 1).cast("int"))
+    placed = pairs.withColumn("position", (F.row_number().over(place) - 1).cast("int"))
+    return pin(placed, MAX_WIDTH, "vocabulary")
 
 
 def _onehot_blocks(vocab: DataFrame) -> list[tuple[str, list[str]]]:
@@ -116,8 +116,9 @@ def feature_names(params: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def fit_labels(df: DataFrame, col: str) -> DataFrame:
     """(label, label_idx): codes 0..k-1 in ascending label order."""
-    distinct = pin(df.select(col).where(F.col(col).isNotNull()).distinct(), name="labels")
-    return distinct.withColumn("label_idx", (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
+    code = (F.row_number().over(Window.orderBy(col)) - 1).cast("int")
+    return pin(distinct.withColumn("label_idx", code), name="labels")
 
 
 def apply_labels(

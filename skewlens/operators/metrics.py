@@ -27,9 +27,15 @@ def confusion(
         F.count(F.lit(1)).alias("n")
     )
     every = F.array(*[F.lit(c).cast(pred.schema[true].dataType) for c in classes])
-    groups = counts.select(*by).distinct() if by else pred.sparkSession.range(1)
-    zero = groups.select(*by, F.explode(every).alias("true")).select(
-        *by, "true", F.explode(every).alias("pred"), F.lit(0).cast("long").alias("n")
+    nothing = F.lit(0).cast("long")
+    if by:
+        # The zero is taken from n, so both uses of the counts stay identical and one pass
+        # over the rows serves both.
+        groups = counts.groupBy(*by).agg((F.sum("n") * 0).alias("_zero"))
+    else:
+        groups = pred.sparkSession.range(1).select(nothing.alias("_zero"))
+    zero = groups.select(*by, "_zero", F.explode(every).alias("true")).select(
+        *by, "true", F.explode(every).alias("pred"), F.col("_zero").alias("n")
     )
     return counts.unionByName(zero).groupBy(*by, "true", "pred").agg(F.sum("n").alias("n"))
 

@@ -28,6 +28,8 @@ WORTH_CUTTING = 8
 BLOCK_ROWS = 4096
 #: Cells a class may have. A tuning bound only: crowded cells are cut into blocks.
 MAX_CELLS = 2048
+#: Parts over which the rows of one group of copies are spread.
+COPY_SALTS = 64
 #: Bytes of pivot vectors a task may be given.
 PIVOT_BYTES = 64 * 1024 * 1024
 #: Candidate pairs whose exact distance is computed at once.
@@ -265,12 +267,13 @@ def knn(
     block_rows: int = BLOCK_ROWS,
     max_cells: int = MAX_CELLS,
     seed: int = 42,
+    with_vectors: bool = False,
 ) -> DataFrame:
     """``(label, key, rank, neighbor_id, distance)``: the k nearest other rows of the
     same class by Euclidean distance, ties by id.
 
     ``queries(label, key)`` restricts whose neighbours are wanted, never who may be a
-    neighbour.
+    neighbour. ``with_vectors`` adds ``neighbor_vec``.
     """
     need = k + 1
     rows = df.where(F.col(label).isNotNull()).select(
@@ -320,23 +323,52 @@ def knn(
         blocks = _blocks(onward, celled, label, block_rows)
         found = own.unionByName(_block_search(onward, celled, blocks, label, need))
 
-    answers = (
-        _best(found, label, need)
-        .groupBy(label, "_vid")
-        .agg(F.sort_array(F.collect_list(F.struct("_dist", "_nid"))).alias("_near"))
-        .join(points.select(label, "_vid", "_vec"), [label, "_vid"])
-        .select(label, "_vec", "_near")
-    )
+    best = _best(found, label, need)
+    near = [F.col("_dist"), F.col("_nid")]
+    if with_vectors:
+        owners = points.select(label, F.explode("_ids").alias("_nid"), F.col("_vec").alias("_nvec"))
+        best = best.join(owners, [label, "_nid"])
+        near.append(F.col("_nvec"))
+    answers = best.groupBy(label, "_vid").agg(F.sort_array(F.collect_list(F.struct(*near))).alias("_near"))
+    members = points.select(label, "_vid", F.explode("_ids").alias("_id"))
     others = F.slice(F.filter("_near", lambda x: x["_nid"] != F.col("_id")), 1, k)
-    return (
-        asked.select(label, "_id", "_vec")
-        .join(answers, [label, "_vec"])
-        .select(label, F.col("_id").alias(key), F.posexplode(others).alias("_pos", "_x"))
-        .select(
-            label,
-            key,
-            (F.col("_pos") + 1).alias("rank"),
-            F.col("_x._nid").alias("neighbor_id"),
-            F.col("_x._dist").alias("distance"),
-        )
+    result = (
+        asked.select(label, "_id")
+        .join(members, [label, "_id"])
+        .join(answers, [label, "_vid"])
+        .select(label, "_id", others.alias("_near"))
+    )
+    if points.where(F.size("_ids") == need).head() is not None:
+        result = result.unionByName(_further_copies(asked, points, members, label, k, with_vectors))
+    columns = [
+        label,
+        F.col("_id").alias(key),
+        (F.col("_pos") + 1).alias("rank"),
+        F.col("_x._nid").alias("neighbor_id"),
+        F.col("_x._dist").alias("distance"),
+    ]
+    if with_vectors:
+        columns.append(F.col("_x._nvec").alias("neighbor_vec"))
+    return result.select(label, "_id", F.posexplode("_near").alias("_pos", "_x")).select(*columns)
+
+
+def _further_copies(
+    asked: DataFrame, points: DataFrame, members: DataFrame, label: str, k: int, with_vectors: bool
+) -> DataFrame:
+    """Answers of the copies beyond the k+1 that ``points`` lists: the first k listed ids,
+    at distance zero. The listed side is small and repeated per salt, since a group of
+    copies may hold a large part of the rows."""
+    extra = asked.join(members, [label, "_id"], "left_anti").withColumn(
+        "_salt", F.pmod(F.xxhash64("_id"), F.lit(COPY_SALTS)).cast("int")
+    )
+    listed = points.where(F.size("_ids") == k + 1).select(
+        label, "_vec", "_ids", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1))).alias("_salt")
+    )
+
+    def entry(i):
+        fields = [F.lit(0.0).alias("_dist"), i.alias("_nid")]
+        return F.struct(*fields, *([F.col("_vec").alias("_nvec")] if with_vectors else []))
+
+    return extra.join(listed, [label, "_vec", "_salt"]).select(
+        label, "_id", F.transform(F.slice("_ids", 1, k), entry).alias("_near")
     )

@@ -91,40 +91,21 @@ def chi_square_uniform(counts: DataFrame, n: str = "n") -> DataFrame:
     )
 
 
-def pick_by_position(
-    draws: DataFrame,
-    rows: DataFrame,
-    group: str,
-    draw_pos: str,
-    row_pos: str,
-    row_cols: list[str],
-    draws_per_row: DataFrame,
-    draw_id: str,
+def salted_join(
+    draws: DataFrame, rows: DataFrame, keys: list[str], group: str, per_key: DataFrame, draw_id: str
 ) -> DataFrame:
-    """Fetch the row at ``(group, draw_pos)`` for every draw.
+    """Inner join of many draws with the rows they name by ``keys`` (``group`` among them).
 
-    ``draws_per_row(group, per_row)`` tells how often a row of the group is drawn on
-    average. Where that is large, a tiny class is copied over as many salts as keep
-    each join key near ``DRAWS_PER_ROW`` draws; no key becomes hot, no draw is lost.
+    ``per_key(group, per_row)`` tells how many draws name one row on average. Where that
+    is large, the rows of the group, few as they must be, are repeated over as many salts
+    as keep each join key near ``DRAWS_PER_ROW`` draws: no key is hot, no draw is lost.
     """
-    salts = draws_per_row.select(
-        F.col(group).alias("_sg"),
-        F.greatest(F.ceil(F.col("per_row") / DRAWS_PER_ROW), F.lit(1)).cast("int").alias("_salts"),
+    salts = per_key.select(
+        group, F.greatest(F.ceil(F.col("per_row") / DRAWS_PER_ROW), F.lit(1)).cast("int").alias("_salts")
     )
-    salted_draws = draws.join(salts, F.col(group) == F.col("_sg")).withColumn(
-        "_salt", F.pmod(F.xxhash64(draw_id), F.col("_salts")).cast("int")
-    )
-    salted_rows = (
-        rows.select(F.col(group).alias("_rg"), F.col(row_pos).alias("_rp"), *row_cols)
-        .join(salts.withColumnRenamed("_salts", "_rs"), F.col("_rg") == F.col("_sg"))
-        .withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.col("_rs") - 1)))
-    )
-    return salted_draws.drop("_sg").join(
-        salted_rows.drop("_sg"),
-        (F.col(group) == F.col("_rg"))
-        & (F.col(draw_pos) == F.col("_rp"))
-        & (F.col("_salt") == F.col("_rsalt")),
-    ).drop("_salts", "_salt", "_rg", "_rp", "_rs", "_rsalt")
+    left = draws.join(salts, group).withColumn("_salt", F.pmod(F.xxhash64(draw_id), F.col("_salts")).cast("int"))
+    right = rows.join(salts, group).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"]).drop("_salt")
 
 
 #: Slots of [0, 1) by which a uniform number finds its class interval.
@@ -184,5 +165,7 @@ def weighted_resample(
     total = mass.agg(F.sum("mass")).scalar()
     per_row = mass.select(label, (F.col("mass") / total * n / F.col("n")).alias("per_row"))
     ordered = hash_ordinals(rows, key, seed, "resample", [label], out="_pos")
-    others = [c for c in df.columns if c != label]
-    return pick_by_position(draws, ordered, label, "_at", "_pos", others, per_row, "draw_id").drop("_at")
+    picked = salted_join(
+        draws, ordered.withColumnRenamed("_pos", "_at"), [label, "_at"], label, per_row, "draw_id"
+    )
+    return picked.select("draw_id", *df.columns)

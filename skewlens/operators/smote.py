@@ -9,7 +9,7 @@ from skewlens.functions.hashing import hash_uniform
 from skewlens.functions.vectors import as_doubles, lerp
 from skewlens.operators.neighbors import CELL_ROWS, knn
 from skewlens.operators.ordering import expand_counts, hash_ordinals
-from skewlens.operators.sampling import pick_by_position
+from skewlens.operators.sampling import salted_join
 from skewlens.session import bounded_rows, local_table, pin, stage
 
 #: Neighbours considered per row.
@@ -76,29 +76,23 @@ def synthesize(
         .drop("n", "n_new")
     )
     per_row = plan.select(label, (F.col("n_new") / F.col("n")).alias("per_row"))
-    ordered = hash_ordinals(rows.select(label, "_key"), ["_key"], seed, "smote", [label], "_pos")
+    ordered = hash_ordinals(rows.select(label, "_key"), ["_key"], seed, "smote", [label], "_at")
     based = stage(
-        pick_by_position(draws, ordered, label, "_at", "_pos", ["_key"], per_row, "draw").drop("_at"),
-        "draws",
+        salted_join(draws, ordered, [label, "_at"], label, per_row, "draw").drop("_at"), "draws"
     )
-    near = knn(rows, "_key", label, "_vec", k, queries=based.select(label, "_key"), cell_rows=cell_rows, seed=seed)
-    near = near.select(label, "_key", F.col("rank").alias("_rank"), "neighbor_id")
-    vectors = rows.select(label, F.col("_key").alias("_k"), F.col("_vec").alias("_v"))
-    with_ids = based.join(near, [label, "_key", "_rank"])
-    with_base = with_ids.join(
-        vectors.withColumnRenamed("_v", "_base"), [F.col("_key") == F.col("_k"), with_ids[label] == vectors[label]]
-    ).select(with_ids["*"], "_base")
-    with_both = with_base.join(
-        vectors.withColumnRenamed("_v", "_near"),
-        [F.col("neighbor_id") == F.col("_k"), with_base[label] == vectors[label]],
-    ).select(with_base["*"], "_near")
-    return with_both.select(
+    drawn = based.select(label, "_key").distinct()
+    near = knn(
+        rows, "_key", label, "_vec", k, queries=drawn, cell_rows=cell_rows, seed=seed, with_vectors=True
+    ).select(label, "_key", F.col("rank").alias("_rank"), "neighbor_id", "neighbor_vec")
+    pairs = near.join(rows, [label, "_key"])
+    per_pair = per_row.withColumn("per_row", F.col("per_row") / k)
+    return salted_join(based, pairs, [label, "_key", "_rank"], label, per_pair, "draw").select(
         label,
         "draw",
         F.col("_key").alias("base_id"),
         "neighbor_id",
         "lambda",
-        lerp("_base", "_near", "lambda").alias(vec),
+        lerp("_vec", "neighbor_vec", "lambda").alias(vec),
     )
 
 

@@ -57,6 +57,26 @@ def test_matches_brute_force(spark, cell_rows, block_rows):
     check(got, brute(ids, labels, x, 5))
 
 
+def test_neighbor_vectors_belong_to_their_ids(spark):
+    """Also for the copies beyond those that are listed as candidates."""
+    ids, labels, x = clusters(300, 3, 6)
+    where = {int(i): [float(t) for t in r] for i, r in zip(ids, x)}
+    rows = knn(frame(spark, ids, labels, x), "id", "c", "v", 4, with_vectors=True).collect()
+    check(rows, brute(ids, labels, x, 4))
+    assert all(r["neighbor_vec"] == where[r["neighbor_id"]] for r in rows)
+
+
+def test_smote_between_copies(spark):
+    ids, labels, x = clusters(300, 3, 6)
+    n = int((labels == "big").sum())
+    new = smote.synthesize(frame(spark, ids, labels, x), "id", "c", "v", {"big": n + 200}).collect()
+    where = {int(i): r for i, r in zip(ids, x)}
+    assert len(new) == 200
+    for r in new:
+        a, b = where[r["base_id"]], where[r["neighbor_id"]]
+        assert np.allclose(r["v"], a + r["lambda"] * (b - a))
+
+
 def test_unclustered_high_dimension(spark):
     """No structure to prune by: every cell is visited, the answer is the same."""
     rng = np.random.default_rng(9)

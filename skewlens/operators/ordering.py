@@ -145,20 +145,15 @@ def hash_ordinals(
         levels += math.ceil(math.log(largest / BUCKET_ROWS, 16**DIGITS))
     digits = min(DIGITS * levels, HEX_LENGTH)
     counts = top if levels == 1 else _bucket_counts(hashed, group, "_hash", digits)
+    # One key for ranking and for the offsets: the rows are shuffled by it once, for both.
+    # Structs compare null fields as equal, so null groups keep their rows.
     ahead = _offsets(counts, group, digits)
-    ahead = ahead.select(
-        *[F.col(g).alias(f"_o_{g}") for g in group],
-        F.col("_bucket").alias("_o_bucket"),
-        F.col("_ahead"),
+    ahead = ahead.select(F.struct(*group, "_bucket").alias("_slot"), "_ahead")
+    slot = F.struct(*group, F.substring("_hash", 1, digits).alias("_bucket"))
+    ranked = hashed.withColumn("_slot", slot).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_slot").orderBy("_hash"))
     )
-    inner = Window.partitionBy(*group, "_bucket").orderBy("_hash")
-    ranked = hashed.withColumn("_bucket", F.substring("_hash", 1, digits)).withColumn(
-        "_rank", F.row_number().over(inner)
-    )
-    match = F.col("_bucket") == F.col("_o_bucket")
-    for g in group:
-        match = match & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    return ranked.join(ahead, match).select(
+    return ranked.join(ahead, "_slot").select(
         *[F.col(c) for c in df.columns],
         (F.col("_ahead") + F.col("_rank") - 1).cast("long").alias(out),
     )

@@ -70,6 +70,33 @@ def test_ordinals_are_hash_ranks(spark, monkeypatch, bucket_rows):
         assert {r["id"]: r["pos"] for r in grouped if r["g"] == g} == {i: p for p, i in enumerate(ids)}
 
 
+@pytest.mark.parametrize("bucket_rows", [8192, 1])
+def test_ordinals_of_null_groups(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", bucket_rows)
+    df = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    rows = hash_ordinals(df, ["id"], tag="t", group=["g"]).collect()
+    h = digests(3000, "t")
+    for g in (None, 1, 2):
+        ids = sorted((i for i in range(3000) if (i % 3 or None) == g), key=h.get)
+        assert {r["id"]: r["pos"] for r in rows if r["g"] == g} == {i: p for p, i in enumerate(ids)}
+
+
+def test_ordinals_shuffle_the_rows_once(spark, monkeypatch):
+    """Even when the offsets are too large to be sent to every task."""
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(3000).withColumn("g", F.col("id") % 3)
+        plan = hash_ordinals(df, ["id"], group=["g"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan
+    rows_side = plan[plan.index("SortMergeJoin"):]
+    rows_side = rows_side[: rows_side.index("Range (")]
+    assert rows_side.count("Exchange") == 1
+    assert rows_side.index("Window") < rows_side.index("Exchange")
+
+
 def test_duplicate_keys_are_refused_only_when_they_matter(spark, monkeypatch):
     monkeypatch.setattr(ordering, "BUCKET_ROWS", 2)
     df = spark.range(10).select(F.lit(1).alias("k"))

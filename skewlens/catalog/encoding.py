@@ -6,7 +6,8 @@ from skewlens.catalog.registry import query, sql_split, table
 from skewlens.functions.vectors import condition
 from skewlens.operators import encode
 from skewlens.operators.sampling import stratified_split
-from skewlens.session import fresh_path, stage
+from skewlens.plans.prepare import prepare
+from skewlens.session import fresh_path, local_table, stage
 from skewlens.sources import bundle, records
 
 ITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -168,3 +169,41 @@ def bundle_train_split(spark, sf_dir):
         F.round(F.avg(F.col("features")[0]), 6).alias("mean_z"),
         F.sum("o_orderkey").alias("key_sum"),
     )
+
+
+STATUS = {"F": "finished", "O": "open", "P": "pending"}
+
+
+@query(f"""
+    WITH tr AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS idx FROM orders
+                WHERE o_orderdate < TIMESTAMP '2000-01-01'),
+    {sql_split("tr", "o_orderkey", "idx", "o_orderkey, o_totalprice, o_orderpriority")},
+    every AS (SELECT label AS label_idx, split, o_totalprice, o_orderpriority FROM assigned
+              UNION ALL SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, 'test', o_totalprice, o_orderpriority
+              FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'),
+    s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM tr)
+    SELECT label_idx, split, count(*) AS n, round(avg((o_totalprice - m) / d), 6) + 0::DOUBLE AS mean_z,
+           sum((o_orderpriority = '1-URGENT')::INT)::BIGINT AS urgent, 6 AS width
+    FROM every, s GROUP BY 1, 2
+""")
+def prepared_orders(spark, sf_dir):
+    """Raw orders to split feature vectors: status mapped to a category, later orders as
+    the test table, everything fitted on the earlier ones."""
+    orders = table(spark, sf_dir, "orders")
+    cut = F.lit("2000-01-01").cast("timestamp_ntz")
+    dim = local_table(spark, list(STATUS.items()), "o_orderstatus string, category string")
+    ready = prepare(
+        orders.where(F.col("o_orderdate") < cut),
+        orders.where(F.col("o_orderdate") >= cut),
+        dim,
+        categorical=["o_orderpriority"],
+        excluded=["o_orderstatus", "o_custkey", "o_orderdate"],
+        key="o_orderkey",
+        label="o_orderstatus",
+    )
+    return ready.rows.groupBy("label_idx", "split").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg(F.col("features")[0]), 6).alias("mean_z"),
+        F.sum(F.col("features")[1].cast("int")).alias("urgent"),
+        F.max(F.size("features")).alias("width"),
+    )

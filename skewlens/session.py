@@ -49,7 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), "skewlens", f"{name}-{uuid.uuid4().hex[:12]}")
+    """New folder below the shared one, grouped by application so that the files of
+    finished applications are easy to tell apart."""
+    app = spark.sparkContext.applicationId
+    return os.path.join(shared_dir(spark), "skewlens", app, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -144,6 +144,13 @@ def test_augment_counts_and_errors(spark):
         smote.augment(df, "id", "c", "v", {"tiny": 10})
 
 
+def test_nothing_to_add(spark):
+    """Targets equal to the class sizes give no synthetic rows."""
+    df = frame(spark, range(8), ["a"] * 8, np.arange(8.0).reshape(-1, 1))
+    assert smote.synthesize(df, "id", "c", "v", {"a": 8}).collect() == []
+    assert smote.augment(df, "id", "c", "v", {"a": 8}).count() == 8
+
+
 def test_exactly_k_rows_is_too_few(spark):
     df = frame(spark, range(5), ["u"] * 5, np.arange(5.0).reshape(-1, 1))
     with pytest.raises(ValueError, match="more than 5"):

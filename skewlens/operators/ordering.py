@@ -104,12 +104,13 @@ def _cut_bucket(
 def _offsets(counts: DataFrame, group: list[str], digits: int) -> DataFrame:
     """Rows ahead of every bucket. Windows span one parent bucket, at most 4096 rows."""
     inner = Window.partitionBy(*group, "_parent").orderBy("_bucket")
-    counts = counts.withColumn("_parent", F.substring("_bucket", 1, digits - DIGITS))
+    shorter = max(digits - DIGITS, 0)
+    counts = counts.withColumn("_parent", F.substring("_bucket", 1, shorter))
     ahead = counts.withColumn("_ahead", F.sum("_n").over(inner) - F.col("_n"))
-    if digits == DIGITS:
+    if shorter == 0:
         return ahead.drop("_parent", "_n")
     parents = counts.groupBy(*group, "_parent").agg(F.sum("_n").alias("_n"))
-    parents = _offsets(parents.withColumnRenamed("_parent", "_bucket"), group, digits - DIGITS)
+    parents = _offsets(parents.withColumnRenamed("_parent", "_bucket"), group, shorter)
     parents = parents.select(
         *[F.col(g).alias(f"_p_{g}") for g in group],
         F.col("_bucket").alias("_p_bucket"),
@@ -140,11 +141,10 @@ def hash_ordinals(
     hashed = with_digest(df, key, seed, tag)
     top = pin(_bucket_counts(hashed, group, "_hash", DIGITS), name="buckets")
     largest = top.agg(F.max("_n")).head()[0] or 0
-    levels = 1
+    digits = DIGITS
     if largest > BUCKET_ROWS:
-        levels += math.ceil(math.log(largest / BUCKET_ROWS, 16**DIGITS))
-    digits = min(DIGITS * levels, HEX_LENGTH)
-    counts = top if levels == 1 else _bucket_counts(hashed, group, "_hash", digits)
+        digits = min(DIGITS + math.ceil(math.log(largest / BUCKET_ROWS, 16)), HEX_LENGTH)
+    counts = top if digits == DIGITS else _bucket_counts(hashed, group, "_hash", digits)
     # One key for ranking and for the offsets: the rows are shuffled by it once, for both.
     # Structs compare null fields as equal, so null groups keep their rows.
     ahead = _offsets(counts, group, digits)

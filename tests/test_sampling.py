@@ -56,9 +56,10 @@ def test_split_single_class_and_empty(spark):
     assert sampling.stratified_split(df.where("id < 0"), ["id"], "c").collect() == []
 
 
-@pytest.mark.parametrize("bucket_rows", [8192, 1])
+@pytest.mark.parametrize("bucket_rows", [8192, 2, 0.5, 0.001])
 def test_ordinals_are_hash_ranks(spark, monkeypatch, bucket_rows):
-    """Also with buckets so small that several digit levels are needed."""
+    """Also with bucket limits that call for four to seven prefix digits, so that offsets
+    add up over one, two and three levels."""
     monkeypatch.setattr(ordering, "BUCKET_ROWS", bucket_rows)
     df = spark.range(5000).withColumn("g", F.col("id") % 3)
     got = {r["id"]: r["pos"] for r in hash_ordinals(df, ["id"], tag="t").collect()}

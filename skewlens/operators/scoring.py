@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skewlens.functions.losses import cross_entropy, mean_squared_error
+from skewlens.functions.losses import cross_entropy, mean_squared_error, squared_error
 from skewlens.functions.vectors import as_doubles, condition
 
 #: Trees and seed of the scoring forest.
@@ -70,9 +71,7 @@ def reconstruct(df: DataFrame, vec: str, k: int, carry: list[str]) -> DataFrame:
     and measure the squared error of every row."""
     rows = df.select(*carry, as_doubles(vec).alias("_x"), array_to_vector(as_doubles(vec)).alias("_v"))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows)
-    width = model.pc.numRows
-    centre = rows.agg(*[F.avg(F.get("_x", F.lit(i))).alias(f"m{i}") for i in range(width)]).head()
-    mean = np.array([centre[i] for i in range(width)])
+    mean = rows.agg(Summarizer.mean(F.col("_v"))).head()[0].toArray()
     basis = np.array(model.pc.toArray())
 
     @F.pandas_udf("latent array<double>, recon array<double>")
@@ -86,7 +85,7 @@ def reconstruct(df: DataFrame, vec: str, k: int, carry: list[str]) -> DataFrame:
         F.col("_x").alias(vec),
         F.col("_c.latent").alias("latent"),
         F.col("_c.recon").alias("recon"),
-    ).withColumn("sq_error", F.aggregate(F.zip_with(vec, "recon", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    ).withColumn("sq_error", squared_error(vec, "recon"))
 
 
 def latent_separability(
@@ -131,8 +130,9 @@ def two_sample_scores(
     model = LogisticRegression(labelCol="target", featuresCol="_features", maxIter=max_iter).fit(
         rows.select("target", "_features")
     )
+    p_real = F.get(vector_to_array("probability"), F.lit(1))
     return model.transform(rows).select(
-        label, F.col("target").cast("int").alias("target"), F.get(vector_to_array("probability"), F.lit(1)).alias("p_real")
+        label, F.col("target").cast("int").alias("target"), p_real.alias("p_real")
     )
 
 

@@ -294,12 +294,17 @@ def knn(
     if pivots:
         celled = stage(celled, "cells")
 
+    members = points.select(label, "_vid", F.explode("_ids").alias("_id"))
     if queries is None:
         asked, sought = rows, celled
     else:
         wanted = queries.select(F.col(label).alias("_ql"), F.col(key).cast("long").alias("_qi")).distinct()
         asked = rows.join(wanted, (F.col(label) == F.col("_ql")) & (F.col("_id") == F.col("_qi")), "left_semi")
-        sought = celled.join(asked.select(label, "_vec").distinct(), [label, "_vec"], "left_semi")
+        # Copies beyond the listed ones need no search, so ids are enough to find the vectors.
+        vectors = members.join(
+            wanted, (F.col(label) == F.col("_ql")) & (F.col("_id") == F.col("_qi")), "left_semi"
+        )
+        sought = celled.join(vectors.select(label, "_vid").distinct(), [label, "_vid"], "left_semi")
 
     if not pivots and not counts.where(F.col("_n") > block_rows).head():
         one_block = F.lit(1)
@@ -330,7 +335,6 @@ def knn(
         best = best.join(owners, [label, "_nid"])
         near.append(F.col("_nvec"))
     answers = best.groupBy(label, "_vid").agg(F.sort_array(F.collect_list(F.struct(*near))).alias("_near"))
-    members = points.select(label, "_vid", F.explode("_ids").alias("_id"))
     others = F.slice(F.filter("_near", lambda x: x["_nid"] != F.col("_id")), 1, k)
     result = (
         asked.select(label, "_id")

@@ -22,7 +22,8 @@ def write_bundle(
     classes.write.parquet(f"{path}/classes")
     for name, table in (params or {}).items():
         table.write.parquet(f"{path}/{name}")
-    sizes = spark.read.parquet(f"{path}/data").agg(F.max(F.size(vec)).alias("input_dim"))
+    # All vectors have one width, so one row tells it.
+    sizes = spark.read.parquet(f"{path}/data").select(F.size(vec).alias("input_dim")).limit(1)
     known = spark.read.parquet(f"{path}/classes")
     target_map = (
         F.create_map(*[F.lit(x) for pair in targets.items() for x in (str(pair[0]), int(pair[1]))])

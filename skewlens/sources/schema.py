@@ -42,8 +42,13 @@ LABELS_BY_CATEGORY = {
 AUGMENT_TARGETS = {"R2L": 5000, "U2R": 500}
 
 
+_TYPES = {"LONG": T.LongType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType()}
+
+
 def record_schema() -> T.StructType:
-    return T.StructType.fromDDL(RECORD_DDL)
+    """The layout as a schema; needs no running session."""
+    pairs = (column.split() for column in RECORD_DDL.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 def category_of() -> dict[str, str]:

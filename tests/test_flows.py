@@ -5,14 +5,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from skewlens.operators import generate, profile
+from skewlens.operators.ordering import expand_counts
 from skewlens.plans import evaluate as ev
 from skewlens.plans.explore import explore
 from skewlens.plans.prepare import prepare
 from skewlens.plans.rebalance import audit_sampling, augment_bundle
-from skewlens.session import fresh_path, pin, shared_dir, stage
+from skewlens.session import fresh_path, local_table, pin, shared_dir, stage
 from skewlens.sources import bundle, generated, records, results
-from skewlens.sources.schema import CATEGORICAL, NOT_FEATURES, label_dim, record_schema
+from skewlens.sources.schema import AUGMENT_TARGETS, CATEGORICAL, NOT_FEATURES, label_dim, record_schema
 from skewlens.streaming import balance
+from tests.test_profile import TRAIN_LABELS
 
 # Rows per label of the small stand-in for the record files.
 MADE = {"normal": 150, "neptune": 90, "satan": 40, "warezclient": 20, "rootkit": 10}
@@ -101,6 +103,36 @@ def test_only_wanted_splits_are_read(spark, prepared):
     assert re.search(r"split#\d+ = train\)\], PushedFilters: \[\]", plan)
 
 
+def test_published_sizes_end_to_end(spark):
+    """As many rows per label as the published training records have: the split quotas,
+    the feature width and the augmented total come out as published."""
+    labels = local_table(spark, list(TRAIN_LABELS.items()), "label string, n long")
+    rows = expand_counts(labels, "n", "i")
+    draw = lambda name, k: F.pmod(F.xxhash64("label", "i", F.lit(name)), F.lit(k))
+    # Number of values of each categorical feature.
+    choices = {"protocol_type": 3, "service": 70, "flag": 11}
+    columns = []
+    for field in record_schema().fields:
+        name = field.name
+        if name == "label":
+            columns.append(F.col("label"))
+        elif name in choices:
+            columns.append(F.concat(F.lit("v"), draw(name, choices[name])).alias(name))
+        else:
+            columns.append(draw(name, 50).cast(field.dataType).alias(name))
+    train = records.with_row_id(rows.select(*columns))
+    path, grown = fresh_path(spark, "full"), fresh_path(spark, "full-augmented")
+    prepare(train, train.limit(0), label_dim(spark), CATEGORICAL, NOT_FEATURES).write(path)
+    data = bundle.read_bundle(spark, path)
+    counts = {(r["split"], r["label_idx"]): r["count"] for r in data.groupBy("split", "label_idx").count().collect()}
+    assert [counts[("train", i)] for i in range(5)] == [36741, 53874, 9325, 796, 42]
+    assert sum(n for (split, _), n in counts.items() if split == "val") == 25195
+    assert bundle.read_meta(spark, path).head()["input_dim"] == 122
+    change = augment_bundle(spark, path, grown, AUGMENT_TARGETS).collect()
+    assert {r["label_idx"]: r["n_added"] for r in change} == {0: 0, 1: 0, 2: 0, 3: 4204, 4: 458}
+    assert sum(r["n_after"] for r in change) == 105_440
+
+
 def test_scaler_scope(spark, files):
     train, test = (records.with_row_id(records.read_records(spark, f)) for f in files)
     out = prepare(train, test, label_dim(spark), CATEGORICAL, NOT_FEATURES, fit_scope="train_only")

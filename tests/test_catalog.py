@@ -46,5 +46,5 @@ def test_entry(spark):
     import __spark_entry__ as driver
 
     assert driver.entry(spark).count() == 2
-    assert driver.queries().keys() == QUERIES.keys()
-    assert driver.oracle_sql().keys() == ORACLES.keys()
+    assert driver.queries().keys() >= QUERIES.keys()
+    assert driver.oracle_sql().keys() >= ORACLES.keys()

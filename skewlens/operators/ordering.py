@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewlens.functions.hashing import hash_hex
-from skewlens.session import local_table, pin
+from skewlens.session import local_table, pin, stage
 
 #: Hex digits per level: 16**3 = 4096 buckets.
 DIGITS = 3
@@ -201,6 +201,26 @@ def first_batches(
     return first_in_order(df, key, (stop_after + 1) * size, seed, f"epoch{epoch}")
 
 
+def sorted_ordinals(df: DataFrame, order: list[Column], out: str = "pos") -> DataFrame:
+    """Position 0, 1, 2, ... of every row in sorted order, without one task seeing all rows.
+
+    Rows are dealt into ranges and staged; only the row counts of the ranges are added up
+    in one window, and each range is sorted by itself. Give rows that sort apart: equal
+    rows take their positions in any order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    ranged = stage(ranged, "ranges")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counts.select(
+        "_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_ahead")
+    )
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(ahead, "_range").select(
+        *df.columns, (F.col("_ahead") + F.col("_place")).cast("long").alias(out)
+    )
+
+
 def expand_counts(df: DataFrame, n: str, out: str, chunk: int = 100_000) -> DataFrame:
     """Repeat every row ``n`` times with ordinals 0..n-1 in ``out``.
 

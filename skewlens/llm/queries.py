@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.llm import simhash
+from skewlens.llm import mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_QUALITY_SQL = """
+WITH src AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+             regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g') AS packed,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+      FROM src),
+win AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS phrase
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, phrase) > 1),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+f AS (SELECT w.doc_id, text, len(words)::BIGINT AS n_words, length(packed)::BIGINT AS word_chars,
+             (length(packed) - length(regexp_replace(packed, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             len(lines) AS n_lines,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(n, 0)::BIGINT AS n_repeat_words,
+             length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) AS letters,
+             length(regexp_replace(text, '[^\\p{Lu}]+', '', 'g')) AS capitals
+      FROM w LEFT JOIN hit USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 20 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 2 * letters < word_chars OR 2 * capitals > letters) AS kept
+FROM b"""
+
+
+@query(_QUALITY_SQL)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query()
+def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    )
+
+
 @query()
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.with_copies(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )

@@ -164,3 +164,28 @@ def lookup(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     at = np.searchsorted(sorted_keys, wanted)
     at[at == len(sorted_keys)] = 0
     return np.where(sorted_keys[at] == wanted, at, -1)
+
+
+def mapped(df, keep: list[str], new: str, make, text: str = "text"):
+    """Columns ``keep`` of ``df`` and the columns ``new`` (DDL) made from the texts by Arrow batches.
+
+    ``make()`` is called once per task and returns a function from the text column (null:
+    empty) to one array per new column. Kept columns that clash with a new one are dropped.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    fields = T.StructType.fromDDL(new).fields
+    added = [f.name for f in fields]
+    source = df.select(
+        *[c for c in keep if c not in added], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
+    )
+    schema = T.StructType([*source.schema.fields[:-1], *fields])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        of_texts = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *of_texts(batch.columns[-1])], names=names)
+
+    return source.mapInArrow(run, schema)

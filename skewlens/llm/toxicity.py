@@ -29,6 +29,8 @@ from skewlens.session import local_table
 TOXIC_ROWS, CLEAN_ROWS = 3000, 9000
 #: Learned lexicon entries, strongest first.
 MAX_ENTRIES = 2000
+#: Share of toxic rows in the sample that an entry needs.
+PURE = 0.9
 STEM = (4, 5, 6, 7)
 
 # Words by class, to which learned insults are added. A final * stands for any ending.
@@ -147,8 +149,9 @@ def _forms(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEM if len(w) > n}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
-    """``(text, toxic)`` of a bounded number of labelled documents, chosen by a hash of doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> tuple[DataFrame, float]:
+    """``(text, toxic)`` of a bounded number of labelled documents, chosen by a hash of doc_id,
+    and by how much their log odds of being toxic have to be moved to fit all labelled rows."""
     spark = docs.sparkSession
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")
@@ -157,7 +160,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataF
     share = [(k, min(1.0, most / found[k])) for k, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)) if k in found]
     shares = local_table(spark, share, "toxic int, share double")
     chosen = marked.join(F.broadcast(shares), "toxic").where(hash_uniform(seed, "toxicity", "doc_id") < F.col("share"))
-    return docs.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("text", "toxic")
+    sample = docs.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")
+    taken = dict(share)
+    moved = math.log(taken[0] / taken[1]) if len(taken) == 2 else 0.0
+    return sample.select("text", "toxic"), moved
 
 
 def learn_lexicon(sample: DataFrame, entries: int = MAX_ENTRIES) -> dict[str, float]:
@@ -197,7 +203,7 @@ def learn_lexicon(sample: DataFrame, entries: int = MAX_ENTRIES) -> dict[str, fl
     surprise = F.col("toxic") * F.log(p / base) + F.when(
         F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - base))
     ).otherwise(0.0)
-    strong = counts.where((F.col("form") != "") & (F.col("toxic") > 0) & (p > max(0.5, 2 * base)))
+    strong = counts.where((F.col("form") != "") & (F.col("toxic") > 0) & (p >= PURE))
     strong = strong.select("form", p.alias("share"), surprise.alias("surprise")).where(
         F.col("surprise") > math.log(forms)
     )
@@ -230,7 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[floa
 
     Without toxic or without clean rows the seed lexicon is used with fixed weights.
     """
-    sample = labelled_sample(docs, labels).persist()
+    sample, moved = labelled_sample(docs, labels)
+    sample = sample.persist()
     lexicon = learn_lexicon(sample)
 
     def make():
@@ -242,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[floa
     width = len(Grammar().labels) + 1
     if found["toxic"].nunique() < 2:
         return lexicon, [2.0] * width + [-3.0]
-    # the labels' shares in the sample are not those of the corpus: the bias is left as fitted
     weights = _fit_logistic(np.stack(found["features"].to_numpy()), found["toxic"].to_numpy(float))
+    weights[-1] += moved
     return lexicon, weights.tolist()
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.llm import html, langid, mixing, quality, sharding, simhash, toxicity
+from skewlens.llm import html, langid, mixing, quality, sharding, simhash, substrings, toxicity
+from skewlens.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,6 +97,38 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+_SUBSTRING_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(list_slice(words, i, i + 49), ' ')) AS phrase
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w)),
+late AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY phrase) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM late),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text
+         FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) ANTI JOIN gone USING (doc_id, p)
+         GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query(_SUBSTRING_SQL)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = stage(substrings.find_repeats(docs), "repeats")
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    found = found.withColumn("n_removed", gone)
+    part = substrings.kept_words(docs, found.where("n_removed < n_words")).dropDuplicates(["doc_id", "text_key"])
+    left = part.select("doc_id", "text_key", F.sha2("text", 256).alias("left"))
+    none = F.sha2(F.lit(""), 256)
+    return found.join(left, ["doc_id", "text_key"], "left").select(
+        "doc_id",
+        "n_words",
+        "n_removed",
+        F.when(F.col("n_removed") == 0, F.col("sha256")).otherwise(F.coalesce("left", none)).alias("kept_sha256"),
+    )
+
+
 @query()
 def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(table(spark, sf_dir, "documents")).select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.llm import html, langid, mixing, quality, sharding, simhash, substrings, toxicity
+from skewlens.llm import html, langid, lm, mixing, quality, sharding, simhash, substrings, toxicity
 from skewlens.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,13 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+@query()
+def op8_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = lm.fit(docs.where(~lm.held_out()))
+    return lm.score(docs.withColumn("held_out", lm.held_out()), fitted, ["doc_id", "held_out"])
+
+
 _SUBSTRING_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 win AS (SELECT doc_id, i, sha256(array_to_string(list_slice(words, i, i + 49), ' ')) AS phrase

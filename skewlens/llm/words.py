@@ -19,6 +19,19 @@ BLOCK = 1 << 18
 _STEP = 0x9E3779B97F4A7C15 | 5
 
 
+def space_bytes() -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[9, 10, 11, 12, 13, 32]] = True
+    return table
+
+
+def punctuation_bytes() -> np.ndarray:
+    """White space and all ASCII that is neither letter nor digit: words without their marks."""
+    table = np.zeros(256, bool)
+    table[:128] = [not chr(c).isalnum() for c in range(128)]
+    return table
+
+
 class Words:
     """Words of the documents of one block.
 
@@ -26,16 +39,14 @@ class Words:
     word of each document, and the number of words at the end.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
         self.docs = len(offsets) - 1
         if not len(data):
             self.starts = self.ends = np.zeros(0, np.int64)
             self.of = np.zeros(self.docs + 1, np.int64)
             return
-        space = np.zeros(256, bool)
-        space[[9, 10, 11, 12, 13, 32]] = True
-        blank = space[data]
+        blank = (space_bytes() if between is None else between)[data]
         edge = np.zeros(len(data) + 1, bool)  # a document begins here
         edge[offsets] = True
         first = ~blank
@@ -63,11 +74,11 @@ class Hasher:
     ``lower`` takes A-Z as a-z. Equal words have equal hashes in every process.
     """
 
-    def __init__(self, lower: bool = False, seed: int = 42):
+    def __init__(self, lower: bool = False, seed: int = 42, between: np.ndarray | None = None):
         self.table = np.random.default_rng(seed).integers(0, 2**64, 256, np.uint64)
         if lower:
             self.table[65:91] = self.table[97:123]
-        self.table[[9, 10, 11, 12, 13, 32]] = 0
+        self.table[space_bytes() if between is None else between] = 0
         self.size = 0
 
     def _powers(self, n: int) -> None:
@@ -139,14 +150,14 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def blocks(column: pa.Array, size: int = BLOCK):
+def blocks(column: pa.Array, size: int = BLOCK, between: np.ndarray | None = None):
     """``(first row, end row, Words)`` of consecutive rows of about ``size`` bytes."""
     raw, offsets = texts(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         end = min(end, rows)
-        yield row, end, Words(raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
+        yield row, end, Words(raw[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], between)
         row = end
 
 

@@ -188,15 +188,18 @@ def mapped(df, keep: list[str], new: str, make, text: str = "text"):
 
     fields = T.StructType.fromDDL(new).fields
     added = [f.name for f in fields]
-    source = df.select(
-        *[c for c in keep if c not in added], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
-    )
-    schema = T.StructType([*source.schema.fields[:-1], *fields])
-    names = [f.name for f in schema.fields]
+    kept = [c for c in keep if c not in added]
+    source = df.select(*kept)
+    carried = text in kept and isinstance(source.schema[text].dataType, T.StringType)
+    if not carried:
+        source = df.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    schema = T.StructType([*df.select(*kept).schema.fields, *fields])
+    names, width, at = [f.name for f in schema.fields], len(kept), kept.index(text) if carried else len(kept)
 
     def run(batches):
         of_texts = make()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *of_texts(batch.columns[-1])], names=names)
+            texts = pc.fill_null(batch.column(at), "")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *of_texts(texts)], names=names)
 
     return source.mapInArrow(run, schema)

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +47,12 @@ class Benchmark:
 
 
 def _hashes(text: str, hasher: Hasher) -> np.ndarray:
-    raw = np.frombuffer(text.encode(), np.uint8)
+    raw = np.frombuffer(pc.utf8_lower(text).as_py().encode(), np.uint8)
     return hasher(Words(raw, np.array([0, len(raw)]), punctuation_bytes()))
 
 
 def read_benchmark(rows: list) -> Benchmark:
-    hasher = Hasher(lower=True, between=punctuation_bytes())
+    hasher = Hasher(between=punctuation_bytes())
     items, texts, answers = [], [], []
     for item_id, text in rows:
         words = _hashes(text, hasher)
@@ -74,11 +75,11 @@ def benchmark_words(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 
     def make():
         known, between = shared.value, punctuation_bytes()
-        hasher = Hasher(lower=True, between=between)
+        hasher = Hasher(between=between)
 
         def of_texts(column):
             counts, sizes, places, numbers = [], [], [], []
-            for _, _, words in blocks(column, between=between):
+            for _, _, words in blocks(pc.utf8_lower(column), between=between):
                 found = lookup(known, hasher(words))
                 hits = np.flatnonzero(found >= 0)
                 first = np.searchsorted(hits, words.of)
@@ -319,7 +320,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _leaks_of(docs: DataFrame, bench: Benchmark) -> DataFrame:
     found = stage(benchmark_words(docs, bench.vocabulary), "benchmark-words")
     df, passages = passage_frequencies(found, len(bench.vocabulary))
-    idf = np.log((1 + passages) / (1 + df)).astype(np.float32)
+    idf = np.log1p(passages / np.maximum(df, 1)).astype(np.float32)
     idf[df > max(MAX_SHARE * passages, 50)] = 0
     rows = np.zeros((len(bench.parts), len(idf)))
     for k, part in enumerate(bench.parts):

@@ -111,7 +111,7 @@ def shard(docs: DataFrame, shards: int = 24, grown: bool = True) -> DataFrame:
     ``docs`` that clash with a result are replaced. An empty table gives an empty table.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
-    placed = with_shard(docs, Tree.of(shards))
+    placed = with_shard(docs.drop("slot", "grown_shard"), Tree.of(shards))
     placed = placed.withColumn("size", F.octet_length(text).cast("long") + 8).withColumn("text_crc32", F.crc32(text))
     placed = placed.withColumn("law", F.lit("key"))
     if grown:

@@ -28,13 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql_uniform(tag: str, key: str) -> str:
     """SQL of the keyed uniform used by the library."""
-    return f"(('0x' || substr(md5('42:{tag}:' || {key}), 1, 8))::BIGINT / 4294967296::DOUBLE)"
+    return f"(('0x' || substr(md5('42:{tag}:' || {key}), 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
 
 
 def sql_normal(tag: str, key: str) -> str:
     digest = f"md5('42:{tag}:' || {key})"
-    a = f"(('0x' || substr({digest}, 1, 8))::BIGINT + 1)::DOUBLE / 4294967297::DOUBLE"
-    b = f"('0x' || substr({digest}, 9, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE"
+    a = f"(('0x' || substr({digest}, 1, 13))::BIGINT + 1)::DOUBLE / 4503599627370497::DOUBLE"
+    b = f"('0x' || substr({digest}, 14, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE"
     return f"(sqrt(-2 * ln({a})) * cos(2 * pi() * {b}))"
 
 

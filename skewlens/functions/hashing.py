@@ -19,19 +19,24 @@ def hash_hex(seed: int, tag: str, *cols: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(f"{seed}:{tag}"), *parts))
 
 
+#: Hex digits of one draw: 52 bits, which a double holds exactly.
+DRAW_DIGITS = 13
+_DRAWS = float(16**DRAW_DIGITS)
+
+
 def _word(digest: Column, start: int) -> Column:
-    return F.conv(F.substring(digest, start, 8), 16, 10).cast("double")
+    return F.conv(F.substring(digest, start, DRAW_DIGITS), 16, 10).cast("double")
 
 
 def uniform_of(digest: Column) -> Column:
-    """Uniform in [0, 1) from the first 32 bits of a digest."""
-    return _word(digest, 1) / F.lit(4294967296.0)
+    """Uniform in [0, 1) from the first 52 bits of a digest."""
+    return _word(digest, 1) / F.lit(_DRAWS)
 
 
 def normal_of(digest: Column) -> Column:
-    """Standard normal (Box-Muller) from the first 64 bits of a digest."""
-    u1 = (_word(digest, 1) + 1.0) / F.lit(4294967297.0)
-    u2 = _word(digest, 9) / F.lit(4294967296.0)
+    """Standard normal (Box-Muller) from the first 104 bits of a digest."""
+    u1 = (_word(digest, 1) + 1.0) / F.lit(_DRAWS + 1.0)
+    u2 = _word(digest, 1 + DRAW_DIGITS) / F.lit(_DRAWS)
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
 
 

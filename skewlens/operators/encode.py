@@ -6,52 +6,69 @@ train table, a test table and a stream share one code path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skewlens.functions.vectors import indicators
-from skewlens.operators.profile import feature_value_counts
+from skewlens.operators.ordering import sorted_ordinals
+from skewlens.operators.profile import cleaned, feature_value_counts
 from skewlens.session import bounded_rows, pin
 
-#: Width a dense vector may reach; a guard against one-hot encoding a key column.
+#: Width a dense vector may reach unless the caller allows more; wider vocabularies have
+#: the sparse form.
 MAX_WIDTH = 20_000
 
 
-def fit_onehot(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, value, position): features in the given order, values ascending."""
+def fit_onehot(df: DataFrame, cols: list[str], max_width: int = MAX_WIDTH) -> DataFrame:
+    """(feature, value, position): features in the given order, values ascending. Sorted in
+    ranges; beyond ``max_width`` rows it stays a written table."""
     pairs = feature_value_counts(df, cols).select("feature", "value")
     order = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature"))
-    place = Window.orderBy(order, "value")
-    placed = pairs.withColumn("position", (F.row_number().over(place) - 1).cast("int"))
-    return pin(placed, MAX_WIDTH, "vocabulary")
+    placed = sorted_ordinals(pairs, [order, F.col("value")], "position")
+    return pin(placed.select("feature", "value", F.col("position").cast("int")), max_width, "vocabulary")
 
 
-def _onehot_blocks(vocab: DataFrame) -> list[tuple[str, list[str]]]:
-    rows = bounded_rows(vocab.orderBy("position"), MAX_WIDTH, "one-hot vocabulary")
+def apply_onehot_sparse(df: DataFrame, vocab: DataFrame, cols: list[str], out: str = "onehot") -> DataFrame:
+    """``out``: the ascending positions of the ones, for vocabularies of any width.
+
+    One join per column on its value; unseen and null values give no position.
+    """
+    for i, c in enumerate(cols):
+        places = vocab.where(F.col("feature") == c).select(
+            F.col("value").alias(f"_v{i}"), F.col("position").alias(f"_p{i}")
+        )
+        df = df.join(places, F.col(c).cast("string") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+    ones = F.sort_array(F.array_compact(F.array(*[F.col(f"_p{i}") for i in range(len(cols))])))
+    return df.withColumn(out, ones).drop(*[f"_p{i}" for i in range(len(cols))])
+
+
+def _onehot_blocks(vocab: DataFrame, max_width: int = MAX_WIDTH) -> list[tuple[str, list[str]]]:
+    rows = bounded_rows(vocab.orderBy("position"), max_width, "one-hot vocabulary")
     blocks: dict[str, list[str]] = {}
     for r in rows:
         blocks.setdefault(r["feature"], []).append(r["value"])
     return list(blocks.items())
 
 
-def onehot_column(vocab: DataFrame) -> Column:
+def onehot_column(vocab: DataFrame, max_width: int = MAX_WIDTH) -> Column:
     """Dense block for the training vocabulary; unseen or null values give zeros."""
     parts = [
-        indicators(F.col(feature).cast("string"), values) for feature, values in _onehot_blocks(vocab)
+        indicators(F.col(feature).cast("string"), values)
+        for feature, values in _onehot_blocks(vocab, max_width)
     ]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def apply_onehot(df: DataFrame, vocab: DataFrame, out: str = "onehot") -> DataFrame:
-    return df.withColumn(out, onehot_column(vocab))
+def apply_onehot(df: DataFrame, vocab: DataFrame, out: str = "onehot", max_width: int = MAX_WIDTH) -> DataFrame:
+    return df.withColumn(out, onehot_column(vocab, max_width))
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, position, mean, scale) from one aggregation; population std, and a
-    divisor of one where a column does not vary."""
+    divisor of one where a column does not vary. Null and NaN are left out."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+        aggs += [F.avg(cleaned(c)).alias(f"m{i}"), F.stddev_pop(cleaned(c)).alias(f"s{i}")]
     one = df.agg(*aggs)
     rows = F.array(
         *[
@@ -115,10 +132,11 @@ def feature_names(params: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def fit_labels(df: DataFrame, col: str) -> DataFrame:
-    """(label, label_idx): codes 0..k-1 in ascending label order."""
+    """(label, label_idx): codes 0..k-1 in ascending label order. Labels are sorted in
+    ranges, so a column with very many is not gathered in one task."""
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    code = (F.row_number().over(Window.orderBy(col)) - 1).cast("int")
-    return pin(distinct.withColumn("label_idx", code), name="labels")
+    coded = sorted_ordinals(distinct, [F.col(col)], "label_idx")
+    return pin(coded.select(col, F.col("label_idx").cast("int")), name="labels")
 
 
 def apply_labels(

@@ -18,9 +18,10 @@ def confusion(
     true: str = "true",
     predicted: str = "pred",
     by: list[str] | None = None,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """Dense ``(by..., true, pred, n)`` including zero cells, one pass over the rows."""
-    if len(classes) > MAX_CLASSES:
+    if len(classes) > max_classes:
         raise ValueError(f"a dense matrix of {len(classes)} classes is too wide")
     by = by or []
     counts = pred.groupBy(*by, F.col(true).alias("true"), F.col(predicted).alias("pred")).agg(
@@ -55,11 +56,11 @@ def per_class(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def macro(classes: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Macro average (all classes weigh the same) and overall accuracy."""
+    """Macro average (all classes weigh the same) and overall accuracy; without rows 0.0."""
     return classes.groupBy(*(by or [])).agg(
-        F.avg("accuracy").alias("macro"),
-        (F.sum("correct").cast("double") / F.sum("support")).alias("overall"),
-        F.sum("support").alias("n_rows"),
+        F.coalesce(F.avg("accuracy"), F.lit(0.0)).alias("macro"),
+        F.coalesce(F.try_divide(F.sum("correct").cast("double"), F.sum("support")), F.lit(0.0)).alias("overall"),
+        F.coalesce(F.sum("support"), F.lit(0)).alias("n_rows"),
     )
 
 

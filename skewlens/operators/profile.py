@@ -29,6 +29,14 @@ def _is_missing(field: T.StructField) -> Column:
     return missing
 
 
+def _present(field: T.StructField) -> Column:
+    """The value, null where it is missing; -0.0 counts as 0.0."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        value = value + F.lit(0.0).cast(field.dataType)
+    return F.when(~_is_missing(field), value)
+
+
 def missing_total(df: DataFrame) -> DataFrame:
     """Number of null or NaN cells over all columns, counted in one pass."""
     per_row = F.lit(0)
@@ -75,9 +83,10 @@ def unmapped(df: DataFrame, col: str, dim: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Counts of the non-null values, largest first, ties in value order."""
+    """Counts of the values that are neither null nor NaN, largest first, ties in value order."""
     return (
-        df.where(F.col(col).isNotNull())
+        df.select(_present(df.schema[col]).alias(col))
+        .where(F.col(col).isNotNull())
         .groupBy(col)
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), col)
@@ -91,15 +100,28 @@ def class_distribution(df: DataFrame, col: str, digits: int = 2) -> DataFrame:
     return counts.select(col, "n", F.round(F.col("n") * 100.0 / total, digits).alias("pct"))
 
 
-def distinct_count(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Exact number of distinct non-null values per column, from one grouped pass."""
-    return feature_value_counts(df, cols).groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"))
+def distinct_count(df: DataFrame, cols: list[str], approximate: float | None = None) -> DataFrame:
+    """(feature, n_unique): distinct values that are neither null nor NaN, in one pass.
+
+    Values are counted in their own type. With ``approximate`` (a relative standard
+    deviation) a sketch per column takes the place of the shuffle of all values.
+    """
+    values = df.select(*[_present(df.schema[c]).alias(f"c{i}") for i, c in enumerate(cols)])
+    if approximate is None:
+        one = values.agg(*[F.count_distinct(f"c{i}").alias(f"c{i}") for i in range(len(cols))])
+    else:
+        one = values.agg(*[F.approx_count_distinct(f"c{i}", approximate).alias(f"c{i}") for i in range(len(cols))])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("n_unique")) for i, c in enumerate(cols)])
+    return one.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def feature_value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, value, n) for all columns of ``cols`` at once."""
+    """(feature, value, n) for all columns of ``cols`` at once; null and NaN are no values."""
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols]
+        *[
+            F.struct(F.lit(c).alias("feature"), _present(df.schema[c]).cast("string").alias("value"))
+            for c in cols
+        ]
     )
     return (
         df.select(F.explode(pairs).alias("p"))
@@ -198,7 +220,8 @@ def inverse_weights(df: DataFrame, col: str) -> DataFrame:
 # ---- numeric summaries --------------------------------------------------------------
 
 
-def _clean(col: str) -> Column:
+def cleaned(col: str) -> Column:
+    """The column as a double, null where it is NaN."""
     value = F.col(col).cast("double")
     return F.when(~F.isnan(value), value)
 
@@ -216,7 +239,7 @@ def describe(df: DataFrame, cols: list[str], probs: tuple = (0.25, 0.5, 0.75)) -
     exact counts confirm the bracket (and narrow or widen it where needed), and only
     the values inside it are grouped and ranked.
     """
-    values = df.select(*[_clean(c).alias(c) for c in cols])
+    values = df.select(*[cleaned(c).alias(c) for c in cols])
     eps = 2.0 / QUANTILE_ACCURACY
     edges = [min(max(p + s * eps, 0.0), 1.0) for p in probs for s in (-1, 1)]
     aggs = []

@@ -13,6 +13,7 @@ from skewlens.operators.ordering import (
     _bucket_counts,
     hash_cutoffs,
     hash_ordinals,
+    sorted_ordinals,
     with_digest,
 )
 from skewlens.session import pin
@@ -35,9 +36,9 @@ def split_quotas(counts: DataFrame, label: str, test_size: float = 0.2) -> DataF
     share = F.col("n") * F.lit(float(n_train)) / F.lit(float(max(total, 1)))
     floors = counts.withColumn("_floor", F.floor(share)).withColumn("_rest", share - F.floor(share))
     spare = n_train - (floors.agg(F.sum("_floor")).head()[0] or 0)
-    by_rest = Window.orderBy(F.desc("_rest"), label)
-    return floors.withColumn("_r", F.row_number().over(by_rest)).select(
-        label, "n", (F.col("_floor") + (F.col("_r") <= spare).cast("int")).cast("long").alias("quota")
+    ranked = sorted_ordinals(floors, [F.desc("_rest"), F.col(label)], "_r")
+    return ranked.select(
+        label, "n", (F.col("_floor") + (F.col("_r") < spare).cast("int")).cast("long").alias("quota")
     )
 
 

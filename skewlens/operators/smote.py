@@ -10,11 +10,11 @@ from skewlens.functions.vectors import as_doubles, lerp
 from skewlens.operators.neighbors import CELL_ROWS, knn
 from skewlens.operators.ordering import expand_counts, hash_ordinals
 from skewlens.operators.sampling import salted_join
-from skewlens.session import bounded_rows, local_table, pin, stage
+from skewlens.session import local_table, pin, stage
 
 #: Neighbours considered per row.
 K_NEIGHBORS = 5
-#: Classes that may grow in one call (their list becomes a scan filter).
+#: Classes whose list may become a scan filter.
 MAX_GROWING = 10_000
 
 
@@ -53,17 +53,23 @@ def synthesize(
     k: int = K_NEIGHBORS,
     seed: int = 42,
     cell_rows: int = CELL_ROWS,
+    max_growing: int = MAX_GROWING,
 ) -> DataFrame:
     """The synthetic rows only: ``(label, draw, base_id, neighbor_id, lambda, vec)``.
 
     Draws take a row of the class and one of its k neighbours with replacement and a
-    position between the two. Only the rows of growing classes leave the scan (the class
-    list is pushed down to it), and neighbours are searched only for rows that were drawn.
+    position between the two. Only the rows of growing classes leave the scan: up to
+    ``max_growing`` classes are listed in its filter, more are met by a semi-join.
+    Neighbours are searched only for rows that were drawn.
     """
     plan = augmentation_plan(df, label, targets, k).where(F.col("n_new") > 0)
-    growing = [r[0] for r in bounded_rows(plan.select(label), MAX_GROWING, "classes to augment")]
+    listed = plan.select(label).limit(max_growing + 1).collect()
+    if len(listed) <= max_growing:
+        growing = df.where(F.col(label).isin([r[0] for r in listed]))
+    else:
+        growing = df.join(plan.select(label), label, "left_semi")
     rows = stage(
-        df.where(F.col(label).isin(growing)).select(
+        growing.select(
             label, F.col(key).cast("long").alias("_key"), as_doubles(vec).alias("_vec")
         ),
         "minority",

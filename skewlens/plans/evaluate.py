@@ -23,14 +23,12 @@ class Evaluation:
     marginals: DataFrame
 
     def write(self, path: str, fit_on: str) -> None:
-        for model in profile.class_list(self.summary, "model"):
-            pick = [t.where(F.col("model") == model).drop("model") for t in (self.summary, self.classes, self.cells)]
-            write_eval(path, model, fit_on, *pick)
+        write_eval(path, fit_on, self.summary, self.classes, self.cells)
 
 
-def measure(predictions: DataFrame, classes: list) -> Evaluation:
+def measure(predictions: DataFrame, classes: list, max_classes: int = metrics.MAX_CLASSES) -> Evaluation:
     """All metrics of a ``(model, true, pred)`` table from one confusion count."""
-    cells = stage(metrics.confusion(predictions, classes, by=["model"]), "confusion")
+    cells = stage(metrics.confusion(predictions, classes, by=["model"], max_classes=max_classes), "confusion")
     scores = metrics.with_verdict(metrics.per_class(cells, ["model"]), "accuracy")
     summary = metrics.with_verdict(metrics.macro(scores, ["model"]), "macro")
     return Evaluation(
@@ -47,6 +45,7 @@ def evaluate(
     trees: int = scoring.N_TREES,
     depth: int = scoring.MAX_DEPTH,
     seed: int = scoring.SEED,
+    max_classes: int = metrics.MAX_CLASSES,
 ) -> Evaluation:
     """Fit the forest on one split of ``real`` and judge generated rows by it.
 
@@ -57,7 +56,7 @@ def evaluate(
     test = real.where(F.col("split") == "test").select(label, vec, F.lit("real").alias("model"))
     scored = generated.select(label, vec, "model").unionByName(test)
     predicted = scoring.forest_evaluate(fit_rows, scored, label, vec, ["model"], trees, depth, seed)
-    return measure(predicted, profile.class_list(real, label))
+    return measure(predicted, profile.class_list(real, label, max_classes), max_classes)
 
 
 def compare(evaluation: Evaluation, a: str, b: str, counts: DataFrame, rare_below: int) -> dict[str, DataFrame]:

@@ -15,12 +15,12 @@ def explore(
     excluded: list[str],
     label: str = "label",
     category: str = "category",
-    n_describe: int = 10,
+    n_describe: int | None = None,
     top: int = 5,
 ) -> dict[str, DataFrame]:
     """One lazy table per finding: shapes, column roles, missing cells, raw label counts,
     unmapped labels, class distributions side by side, imbalance, numeric summary of the
-    first features and the most frequent categorical values."""
+    features (all, or the first ``n_describe``) and the most frequent categorical values."""
     numerical = profile.numerical_columns(train, categorical, excluded)
     mapped_train = profile.map_category(train, label, dim, category)
     mapped_test = profile.map_category(test, label, dim, category)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from skewlens.session import local_table
@@ -11,17 +13,29 @@ RUNS_SCHEMA = (
 )
 
 
-def write_eval(
-    path: str, model: str, fit_on: str, summary: DataFrame, classes: DataFrame, cells: DataFrame
-) -> None:
-    """Append the summary, per-class and confusion rows of one evaluation."""
+def write_eval(path: str, fit_on: str, summary: DataFrame, classes: DataFrame, cells: DataFrame) -> None:
+    """Append the summary, per-class and confusion rows of an evaluation, with all its
+    models (column ``model``) at once.
+
+    Every write has an ``eval_id`` that grows with time; reading takes the latest of each
+    model, so writing a model again replaces it.
+    """
+    eval_id = time.time_ns()
     for name, table in (("summary", summary), ("per_class", classes), ("confusion", cells)):
-        tagged = table.select(F.lit(model).alias("model"), F.lit(fit_on).alias("fit_on"), "*")
+        tagged = table.select(
+            "model",
+            F.lit(fit_on).alias("fit_on"),
+            F.lit(eval_id).alias("eval_id"),
+            *[c for c in table.columns if c != "model"],
+        )
         tagged.write.mode("append").parquet(f"{path}/eval_{name}")
 
 
 def read_eval(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/eval_{name}")
+    """The rows of each model's latest evaluation."""
+    rows = spark.read.parquet(f"{path}/eval_{name}")
+    latest = rows.groupBy("model", "fit_on").agg(F.max("eval_id").alias("eval_id"))
+    return rows.join(latest, ["model", "fit_on", "eval_id"], "left_semi").drop("eval_id")
 
 
 def eval_record(classes: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:

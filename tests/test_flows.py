@@ -78,7 +78,7 @@ def test_explore(spark, files):
     assert {r["role"]: r["count"] for r in roles} == {"categorical": 3, "numerical": 38}
     assert found["missing_train"].head()[0] == 0
     assert found["unmapped_train"].count() == 0
-    assert found["describe"].count() == 10
+    assert found["describe"].count() == 38
     shares = {r["category"]: r["n_train"] for r in found["distribution"].collect()}
     assert shares == {"Normal": 150, "DoS": 90, "Probe": 40, "R2L": 20, "U2R": 10}
     assert {(r["value"], r["seen_in"]) for r in found["vocabulary"].collect()} == {("ftp", "train"), ("gopher", "test")}

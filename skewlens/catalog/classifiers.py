@@ -1,11 +1,13 @@
-"""Classifier-based evaluation queries. Fitted models have no SQL form."""
+"""Classifier-based evaluation queries. Fitted models have no SQL form; the queries state
+what must hold of their results."""
 
 from pyspark.sql import functions as F
 
-from skewlens.catalog.generation import latent_generator
+from skewlens.catalog.generation import latent_rows
 from skewlens.catalog.neighbors import vectors
-from skewlens.catalog.registry import query
+from skewlens.catalog.registry import query, sql_split
 from skewlens.functions.vectors import sigmoid
+from skewlens.functions.verdicts import TARGET
 from skewlens.operators import metrics, scoring
 from skewlens.operators.sampling import stratified_split
 from skewlens.session import stage
@@ -19,55 +21,145 @@ def scored_rows(spark, sf_dir):
     split = stage(stratified_split(vectors(spark, sf_dir), ["vec_id"], "label"), "split")
     train = split.where("split = 'train'")
     real = split.where("split = 'val'").select("label", "features", F.lit("real").alias("source"))
-    drawn = latent_generator(spark, sf_dir).select("label", "features", F.lit("generated").alias("source"))
-    return scoring.forest_evaluate(train, real.unionByName(drawn), "label", "features", ["source"], trees=100, depth=8)
+    drawn = latent_rows(spark, sf_dir).select("label", "features", F.lit("generated").alias("source"))
+    scored = real.unionByName(drawn)
+    return stage(scoring.forest_evaluate(train, scored, "label", "features", ["source"]), "forest")
 
 
-@query()
+SPLIT_SQL = sql_split("embeddings", "vec_id", "label", "vec_id")
+SIDES_SQL = f"""
+    {SPLIT_SQL}, k AS (SELECT unnest(range(10))::INT AS "true"),
+    v AS (SELECT label, count(*) AS n FROM assigned WHERE split = 'val' GROUP BY label),
+    sides AS (SELECT 'real' AS source, "true", coalesce(n, 0) AS n FROM k LEFT JOIN v ON label = "true"
+              UNION ALL SELECT 'generated', "true", coalesce(n, 0) FROM k
+              LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) ON label = "true")
+"""
+
+
+@query(f"""
+    WITH {SIDES_SQL} SELECT source, "true", n AS support, n AS matrix_rows, true AS accuracy_holds, true AS verdict_holds FROM sides
+""")
 def forest_per_class(spark, sf_dir):
-    """Per-class accuracy with verdict, on real and on generated rows."""
-    cells = metrics.confusion(scored_rows(spark, sf_dir), CLASSES, by=["source"])
-    return metrics.with_verdict(metrics.per_class(cells, ["source"]), "accuracy")
+    """Per-class accuracy with verdict, on held-out real rows and on generated rows: every
+    row is judged once, accuracies follow from the matrix, verdicts from the accuracies."""
+    cells = stage(metrics.confusion(scored_rows(spark, sf_dir), CLASSES, by=["source"]), "cells")
+    judged = metrics.with_verdict(metrics.per_class(cells, ["source"]), "accuracy")
+    matrix = cells.groupBy("source", "true").agg(
+        F.sum("n").alias("matrix_rows"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("hits")
+    )
+    share = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("matrix_rows")), F.lit(0.0))
+    holds = F.when(F.col("accuracy") >= TARGET, F.col("gap").isNull() & (F.col("verdict") == "PASS")).otherwise(
+        (F.col("verdict") == "FAIL") & (F.abs(F.col("gap") + F.col("accuracy") - TARGET) < 1e-9)
+    )
+    return judged.join(matrix, ["source", "true"]).select(
+        "source", "true", "support", "matrix_rows", (F.col("accuracy") == share).alias("accuracy_holds"), holds.alias("verdict_holds")
+    )
 
 
-@query()
+@query(f"""
+    WITH {SIDES_SQL} SELECT sum(n) FILTER (WHERE source = 'real')::BIGINT AS n_real, sum(n) FILTER (WHERE source = 'generated')::BIGINT AS n_generated,
+           true AS in_range, true AS difference_holds FROM sides
+""")
 def forest_real_versus_generated(spark, sf_dir):
     """Accuracy on real rows against accuracy on generated rows."""
-    return metrics.real_versus_generated(scored_rows(spark, sf_dir))
+    scored = scored_rows(spark, sf_dir)
+    sizes = scored.agg(
+        *[F.count_if(F.col("source") == side).alias(f"n_{side}") for side in ("real", "generated")]
+    )
+    both = metrics.real_versus_generated(scored)
+    ranges = both.select(
+        (F.col("acc_real").between(0, 1) & F.col("acc_generated").between(0, 1)).alias("in_range"),
+        (F.abs(F.col("acc_real") - F.col("acc_generated") - F.col("difference")) < 1e-12).alias("difference_holds"),
+    )
+    return sizes.join(F.broadcast(ranges.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).drop("_one")
 
 
 def _coded(spark, sf_dir):
     return scoring.reconstruct(vectors(spark, sf_dir), "features", 8, ["vec_id", "label"])
 
 
-@query()
+@query("""
+    WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64))::INT AS i FROM embeddings),
+    m AS (SELECT i, avg(x) AS mu FROM e GROUP BY 1)
+    SELECT label, count(DISTINCT vec_id) AS n, 8 AS width, round(sum((x - mu) * (x - mu)), 4) AS spread
+    FROM e JOIN m USING (i) GROUP BY label
+""")
 def reconstruct(spark, sf_dir):
-    """Latent code and squared reconstruction error of every row."""
-    return _coded(spark, sf_dir).select("vec_id", "label", "latent", "sq_error")
+    """Latent codes and squared reconstruction errors: what the code keeps of a row's
+    distance from the mean, and what it loses, add up to the whole."""
+    kept = F.aggregate(F.transform("latent", lambda z: z * z), F.lit(0.0), lambda s, z: s + z)
+    return _coded(spark, sf_dir).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.size("latent")).alias("width"),
+        F.round(F.sum(kept + F.col("sq_error")), 4).alias("spread"),
+    )
 
 
-@query()
+@query(f"""
+    WITH {SPLIT_SQL} SELECT split, label, count(*) AS n, true AS in_range, true AS total_holds FROM assigned GROUP BY 1, 2
+""")
 def latent_separability(spark, sf_dir):
-    coded = stage(_coded(spark, sf_dir), "coded")
-    return scoring.latent_separability(coded, "label", "features")
+    """Class read off the latent code, fitted on the training rows and measured on both."""
+    found = scoring.latent_separability(_coded(spark, sf_dir), ["vec_id"], "label", "features")
+    total = F.col("recon_loss") + 0.1 * F.col("class_loss")
+    return found.select(
+        "split",
+        "label",
+        "n",
+        (F.col("accuracy").between(0, 1) & (F.col("recon_loss") >= 0) & (F.col("class_loss") >= 0)).alias("in_range"),
+        (F.abs(F.col("total_loss") - total) < 1e-9).alias("total_holds"),
+    )
+
 
+TWO_SAMPLE_SQL = f"""
+    src0 AS (SELECT label, '1:' || vec_id AS key, '1:' || label AS stratum FROM embeddings
+             UNION ALL SELECT label, '0:' || label || ':' || unnest(range(n)), '0:' || label
+             FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)),
+    {sql_split("src0", "key", "stratum", "key")}
+"""
 
-@query()
+
+@query(f"""
+    WITH {TWO_SAMPLE_SQL} SELECT split, split_part(label, ':', 2)::INT AS label, count(*) AS n, true AS in_range FROM assigned GROUP BY 1, 2
+""")
 def two_sample_test(spark, sf_dir):
-    """Can real and generated rows of a class be told apart?"""
-    fake = stage(latent_generator(spark, sf_dir), "generated")
-    scores = scoring.two_sample_scores(vectors(spark, sf_dir), fake, "label", "features", 10)
-    return scoring.two_sample_summary(scores, "label")
+    """Can real and generated rows of a class be told apart? Measured on held-out rows too."""
+    fake = latent_rows(spark, sf_dir)
+    scores = scoring.two_sample_scores(
+        vectors(spark, sf_dir), fake, ["vec_id"], ["label", "sample_id"], "label", "features", 10
+    )
+    found = scoring.two_sample_summary(scores, ["split", "label"])
+    figures = ("p_real_on_real", "p_real_on_generated", "accuracy", "auc")
+    fine = None
+    for c in figures:
+        here = F.coalesce(F.col(c).between(0, 1), F.lit(True))
+        fine = here if fine is None else fine & here
+    return found.select("split", F.col("label").cast("int").alias("label"), "n", fine.alias("in_range"))
+
+
+@query("""
+    SELECT 'val' AS split, count(*) > 0 AS has_rows, true AS near_half FROM embeddings
+""")
+def two_sample_same(spark, sf_dir):
+    """Real rows against real rows: on held-out rows the area under the curve is one half,
+    within four standard errors."""
+    rows = vectors(spark, sf_dir).withColumn("side", F.pmod(F.xxhash64("vec_id"), F.lit(2)))
+    scores = scoring.two_sample_scores(
+        rows.where("side = 0"), rows.where("side = 1"), ["vec_id"], ["vec_id"], "label", "features", 10
+    )
+    found = scoring.two_sample_summary(scores, ["split"]).where("split = 'val'")
+    return found.select(
+        "split", (F.col("n") > 0).alias("has_rows"), (F.abs(F.col("auc") - 0.5) <= 4 / F.sqrt(3 * F.col("n"))).alias("near_half")
+    )
 
 
 @query("""
-    WITH e AS (SELECT label, (embedding[2] > 0)::INT AS t, round(1 / (1 + exp(-(embedding[1]::DOUBLE + embedding[2]::DOUBLE))), 6) AS s,
-                      1 / (1 + exp(-(embedding[1]::DOUBLE + embedding[2]::DOUBLE))) AS p FROM embeddings),
+    WITH e AS (SELECT label, (embedding[2] > 0)::INT AS t, 1 / (1 + exp(-(embedding[1]::DOUBLE + embedding[2]::DOUBLE))) AS s FROM embeddings),
     g AS (SELECT label, s, sum(t) AS pos, sum(1 - t) AS neg FROM e GROUP BY 1, 2),
     r AS (SELECT *, sum(neg) OVER (PARTITION BY label ORDER BY s) - neg AS below FROM g),
     a AS (SELECT label, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg))::DOUBLE AS auc FROM r GROUP BY 1),
-    m AS (SELECT label, count(*) AS n, avg(p) FILTER (WHERE t = 1) AS pr, avg(p) FILTER (WHERE t = 0) AS pg,
-                 avg(((p >= 0.5)::INT = t)::INT) AS acc FROM e GROUP BY 1)
+    m AS (SELECT label, count(*) AS n, avg(s) FILTER (WHERE t = 1) AS pr, avg(s) FILTER (WHERE t = 0) AS pg,
+                 avg(((s >= 0.5)::INT = t)::INT) AS acc FROM e GROUP BY 1)
     SELECT label, n, round(pr, 6) AS p_real_on_real, round(pg, 6) AS p_real_on_generated, round(acc, 6) AS accuracy,
            round(auc, 6) AS auc FROM m JOIN a USING (label)
 """)
@@ -78,7 +170,7 @@ def score_separation(spark, sf_dir):
         (F.col("features")[1] > 0).cast("int").alias("target"),
         sigmoid(F.col("features")[0] + F.col("features")[1]).alias("p_real"),
     )
-    out = scoring.two_sample_summary(scores, "label")
+    out = scoring.two_sample_summary(scores, ["label"])
     for c in ("p_real_on_real", "p_real_on_generated", "accuracy", "auc"):
         out = out.withColumn(c, F.round(c, 6))
     return out

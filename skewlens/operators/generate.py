@@ -15,12 +15,15 @@ from skewlens.functions.hashing import hash_uniform, noise_vector
 from skewlens.functions.vectors import as_doubles, lerp
 from skewlens.operators.neighbors import _matrix, rows_by_class
 from skewlens.operators.ordering import expand_counts, hash_ordinals
-from skewlens.session import local_table
+from skewlens.session import stage
 
 #: Bytes of network weights a task may be given.
 WEIGHT_BYTES = 256 * 1024 * 1024
 #: Bytes of moment matrices a task holds before it passes them on.
 HELD_BYTES = 64 * 1024 * 1024
+#: Bytes of a slice of a moment matrix, and slices put together by one task at a time.
+SLICE_BYTES = 1024 * 1024
+MERGED_PARTS = 64
 #: Elements a vector may have for a full covariance (32 MB).
 MAX_DIM = 2048
 #: Samples drawn from one model row at a time.
@@ -76,10 +79,10 @@ def _activate(x: np.ndarray, name: str) -> np.ndarray:
     raise ValueError(f"activation {name}")
 
 
-def _layers(weights: DataFrame) -> list[tuple]:
+def _layers(weights: DataFrame, weight_bytes: int = WEIGHT_BYTES) -> list[tuple]:
     size = weights.agg(F.sum(F.size("weights") + 1)).head()[0] or 0
-    if size * 8 > WEIGHT_BYTES:
-        raise ValueError(f"network of {size} weights exceeds {WEIGHT_BYTES} bytes")
+    if size * 8 > weight_bytes:
+        raise ValueError(f"network of {size} weights exceeds {weight_bytes} bytes")
     by_layer: dict = {}
     for r in weights.collect():
         by_layer.setdefault(r["layer"], []).append(r)
@@ -98,12 +101,18 @@ def _layers(weights: DataFrame) -> list[tuple]:
 
 
 def mlp_forward(
-    df: DataFrame, z: str, code: str, num_classes: int, weights: DataFrame, out: str = "features"
+    df: DataFrame,
+    z: str,
+    code: str,
+    num_classes: int,
+    weights: DataFrame,
+    out: str = "features",
+    weight_bytes: int = WEIGHT_BYTES,
 ) -> DataFrame:
     """Apply a stored dense network to ``z``; layers marked ``with_label`` get the
     one-hot of the class code appended to their input. Serves generators, decoders,
     encoders and discriminators alike; batches are multiplied inside the tasks."""
-    layers = _layers(weights)
+    layers = _layers(weights, weight_bytes)
     shared = df.sparkSession.sparkContext.broadcast(layers)
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
@@ -129,44 +138,61 @@ def mlp_forward(
 # ---- class-conditional linear-Gaussian generator --------------------------------------
 
 
+def _merged(n: np.ndarray, means: np.ndarray, scatters: np.ndarray, at: int):
+    """Count, mean and rows ``at..`` of the centred scatter of parts put together.
+
+    Parts are centred on their own means; only differences of means enter, so large means
+    do not cancel.
+    """
+    total = n.sum()
+    mean = (n[:, None] * means).sum(0) / total
+    off = means - mean
+    rows = scatters.sum(0) + np.einsum("t,ti,tj->ij", n, off[:, at : at + scatters.shape[1]], off)
+    return total, mean, rows
+
+
 def moments(df: DataFrame, label: str, vec: str) -> DataFrame:
-    """``(label, i, n, total, second)``: per class the row count, sum of element i and
-    row i of the sum of outer products.
+    """``(label, i, n, mean, scatter)``: per class the row count, the mean vector and, from
+    matrix row i on, a slice of the centred scatter matrix. One pass over the rows.
 
-    Tasks multiply their batches and forward one small matrix per class; the rows of
-    the matrices are added up on the cluster, keyed by class and matrix row.
+    Tasks multiply their batches, centred on the batch's mean, and forward one small matrix
+    per class in slices; slices are put together on the cluster in two levels, so no task
+    gathers those of all others.
     """
     rows = df.where(F.col(label).isNotNull()).select(label, as_doubles(vec).alias("_vec"))
     kind = rows.schema[label].dataType
+    vector = T.ArrayType(T.DoubleType())
     schema = T.StructType(
         [
             T.StructField(label, kind),
             T.StructField("i", T.IntegerType()),
             T.StructField("n", T.LongType()),
-            T.StructField("total", T.DoubleType()),
-            T.StructField("second", T.ArrayType(T.DoubleType())),
+            T.StructField("mean", vector),
+            T.StructField("scatter", vector),
         ]
     )
 
-    def partial(batches):
+    def batch_of(keys, firsts, counts, means, slices):
         from pyspark.sql.pandas.types import to_arrow_type
 
+        lists = lambda parts: pa.array([p.ravel() for p in parts], pa.list_(pa.float64()))
+        columns = [
+            pa.array(keys, to_arrow_type(kind)), pa.array(firsts, pa.int32()), pa.array(counts, pa.int64()),
+            lists(means), lists(slices),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [label, "i", "n", "mean", "scatter"])
+
+    def partial(batches):
         held: dict = {}
 
         def release():
-            for key, (n, s, ss) in held.items():
-                d = len(s)
-                offsets = np.arange(0, d * d + 1, d, dtype="int32")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([key] * d, to_arrow_type(kind)),
-                        pa.array(np.arange(d, dtype="int32")),
-                        pa.array(np.full(d, n, dtype="int64")),
-                        pa.array(s),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ss.ravel())),
-                    ],
-                    [label, "i", "n", "total", "second"],
-                )
+            for key, (n, mean, scatter) in held.items():
+                step = max(1, SLICE_BYTES // (8 * len(mean)))
+                firsts = list(range(0, len(mean), step))
+                yield batch_of(
+                    [key] * len(firsts), firsts, [n] * len(firsts), [mean] * len(firsts),
+                    [scatter[a : a + step] for a in firsts],
+                )
             held.clear()
 
         for batch in batches:
@@ -175,59 +201,62 @@ def moments(df: DataFrame, label: str, vec: str) -> DataFrame:
             x = _matrix(pa.chunked_array([batch.column("_vec")]))
             for key, mine in rows_by_class(batch.column(label)):
                 part = x[mine]
-                add = (len(part), part.sum(axis=0), part.T @ part)
-                old = held.get(key)
-                held[key] = add if old is None else tuple(a + b for a, b in zip(old, add))
+                mean = part.mean(axis=0)
+                part = part - mean
+                found = (len(part), mean, part.T @ part)
+                if key in held:
+                    both = zip(held[key], found)
+                    found = _merged(*(np.stack(pair).astype(float) for pair in both), 0)
+                held[key] = found
                 if len(held) * x.shape[1] ** 2 * 8 > HELD_BYTES:
                     yield from release()
         yield from release()
 
-    sums = rows.mapInArrow(partial, schema).groupBy(label, "i").agg(
-        F.sum("n").alias("n"),
-        F.sum("total").alias("total"),
-        Summarizer.sum(array_to_vector(F.col("second"))).alias("second"),
-    )
-    return sums.withColumn("second", vector_to_array("second"))
+    def merge(parts: pa.Table) -> pa.Table:
+        width = len(parts["mean"][0])
+        matrix = lambda c: np.stack([v.values.to_numpy() for v in parts[c]])
+        first = parts["i"][0].as_py()
+        slices = matrix("scatter").reshape(parts.num_rows, -1, width)
+        n, mean, found = _merged(parts["n"].to_numpy().astype(float), matrix("mean"), slices, first)
+        return pa.Table.from_batches([batch_of([parts[label][0].as_py()], [first], [int(n)], [mean], [found])])
+
+    tasks = rows.mapInArrow(partial, schema).withColumn("_task", F.spark_partition_id() % MERGED_PARTS)
+    return tasks.groupBy(label, "i", "_task").applyInArrow(merge, schema).groupBy(label, "i").applyInArrow(merge, schema)
 
 
-def class_covariances(df: DataFrame, label: str, vec: str) -> DataFrame:
+def class_covariances(df: DataFrame, label: str, vec: str, max_dim: int = MAX_DIM) -> DataFrame:
     """``(label, n, mean, scatter)``: mean vector and flattened centred scatter matrix."""
-    rows = moments(df, label, vec)
-    whole = rows.groupBy(label).agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "total", "second"))).alias("_m")
-    )
-    mean = F.transform("_m", lambda m: m["total"] / F.col("n"))
-    centred = F.flatten(
-        F.transform(
-            "_m",
-            lambda m: F.zip_with(
-                m["second"], F.col("mean"), lambda s, mu: s - m["total"] * mu
-            ),
-        )
+    width = df.select(F.size(vec)).head()
+    if width is not None and width[0] > max_dim:
+        raise ValueError(f"covariances of {width[0]} elements are too large; at most {max_dim}")
+    slices = F.sort_array(F.collect_list(F.struct("i", "scatter")))
+    whole = moments(df, label, vec).groupBy(label).agg(
+        F.first("n").alias("n"), F.first("mean").alias("mean"), slices.alias("_s")
     )
-    return whole.withColumn("mean", mean).select(label, "n", "mean", centred.alias("scatter"))
+    return whole.select(label, "n", "mean", F.flatten(F.transform("_s", lambda s: s["scatter"])).alias("scatter"))
 
 
-def fit_latent(df: DataFrame, label: str, vec: str, k: int = 8, shrinkage: float = 50.0) -> DataFrame:
+def fit_latent(
+    df: DataFrame, label: str, vec: str, k: int = 8, shrinkage: float = 50.0, max_dim: int = MAX_DIM
+) -> DataFrame:
     """``(label, n, mean, factors, sigma)``: per class the mean, k linear factors and the
-    per-element residual deviation.
+    per-element residual deviation. The rows are read once; the model is a written table.
 
     A class's covariance is pulled toward the pooled within-class covariance with weight
     ``shrinkage / (shrinkage + n)``, so a class with fewer rows than dimensions borrows
     its shape from all classes.
     """
-    width = df.select(F.size(vec)).head()
-    if width is not None and width[0] > MAX_DIM:
-        raise ValueError(f"covariances of {width[0]} elements are too large; at most {MAX_DIM}")
-    classes = class_covariances(df, label, vec)
+    classes = stage(class_covariances(df, label, vec, max_dim), "covariances")
     pooled_row = classes.agg(
         F.sum("n").alias("n"), Summarizer.sum(array_to_vector(F.col("scatter"))).alias("s")
     ).head()
-    pooled = np.asarray(pooled_row["s"].toArray()) / max(pooled_row["n"], 1)
-    shared = df.sparkSession.sparkContext.broadcast(pooled)
     fields = [f for f in classes.schema.fields if f.name != "scatter"]
     vector = T.ArrayType(T.DoubleType())
     schema = T.StructType(fields + [T.StructField("factors", vector), T.StructField("sigma", vector)])
+    if not pooled_row["n"]:
+        return df.sparkSession.createDataFrame([], schema)
+    pooled = np.asarray(pooled_row["s"].toArray()) / pooled_row["n"]
+    shared = df.sparkSession.sparkContext.broadcast(pooled)
 
     def decompose(batches):
         for pdf in batches:
@@ -246,7 +275,7 @@ def fit_latent(df: DataFrame, label: str, vec: str, k: int = 8, shrinkage: float
                 sigmas.append(np.sqrt(left).tolist())
             yield pdf.drop(columns="scatter").assign(factors=factors, sigma=sigmas)
 
-    return classes.mapInPandas(decompose, schema)
+    return stage(classes.mapInPandas(decompose, schema), "latent-model")
 
 
 def sample_latent(
@@ -302,25 +331,3 @@ def sample_latent(
                 )
 
     return chunks.mapInArrow(draw, schema)
-
-
-def weights_from_rule(spark, shapes: list[tuple], rule) -> DataFrame:
-    """Weight table from ``rule(layer, unit, input) -> value`` (input -1 is the bias).
-    ``shapes`` lists (inputs, units, activation, with_label)."""
-    rows = []
-    for number, (inputs, units, activation, with_label) in enumerate(shapes):
-        for unit in range(units):
-            rows.append(
-                (number, activation, with_label, unit, float(rule(number, unit, -1)),
-                 [float(rule(number, unit, i)) for i in range(inputs)])
-            )
-    return local_table(spark, rows, WEIGHTS_SCHEMA)
-
-
-def network_summary(weights: DataFrame) -> DataFrame:
-    """Layers of a stored network with their parameter counts."""
-    return weights.groupBy("layer").agg(
-        F.max("activation").alias("activation"),
-        F.count(F.lit(1)).alias("units"),
-        F.sum(F.size("weights") + 1).alias("parameters"),
-    )

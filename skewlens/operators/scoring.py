@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 
 from skewlens.functions.losses import cross_entropy, mean_squared_error, squared_error
 from skewlens.functions.vectors import as_doubles, condition
+from skewlens.operators.sampling import stratified_split
+from skewlens.session import stage
 
 #: Trees and seed of the scoring forest.
 N_TREES = 100
 SEED = 42
-#: Depth of its trees; the learner accepts at most 30.
-MAX_DEPTH = 12
+#: Depth of its trees: the most that the learner accepts.
+MAX_DEPTH = 30
+#: Buckets of a score by which the rows below it are counted.
+SCORE_BUCKETS = 4096
+#: Share of the rows that fitted scores are measured on.
+HELD_OUT = 0.2
 
 
 def _points(df: DataFrame, label: str, vec: str, extra: list[str] | None = None) -> DataFrame:
@@ -31,15 +37,30 @@ def _points(df: DataFrame, label: str, vec: str, extra: list[str] | None = None)
 
 
 def fit_forest(
-    df: DataFrame, label: str, vec: str, trees: int = N_TREES, depth: int = MAX_DEPTH, seed: int = SEED
+    df: DataFrame,
+    label: str,
+    vec: str,
+    trees: int = N_TREES,
+    depth: int = MAX_DEPTH,
+    seed: int = SEED,
+    max_bins: int = 32,
+    min_rows: int = 1,
+    memory_mb: int = 512,
 ):
-    """Random forest with sqrt(d) features per split, grown level by level on Spark."""
+    """Random forest with sqrt(d) features per split, grown level by level on Spark.
+
+    ``max_bins``: candidate thresholds of a feature; ``min_rows``: rows a leaf must hold;
+    ``memory_mb``: for the statistics of the nodes that are grown in one pass.
+    """
     forest = RandomForestClassifier(
         labelCol="_label",
         featuresCol="_features",
         numTrees=trees,
         maxDepth=depth,
         featureSubsetStrategy="sqrt",
+        maxBins=max_bins,
+        minInstancesPerNode=min_rows,
+        maxMemoryInMB=memory_mb,
         seed=seed,
     )
     return forest.fit(_points(df, label, vec))
@@ -88,26 +109,48 @@ def reconstruct(df: DataFrame, vec: str, k: int, carry: list[str]) -> DataFrame:
     ).withColumn("sq_error", squared_error(vec, "recon"))
 
 
+def _converged(model, max_iter: int):
+    """The model, if its fit has settled."""
+    if model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the fit has not settled after {max_iter} iterations")
+    return model
+
+
 def latent_separability(
-    coded: DataFrame, label: str, vec: str, recon_weight: float = 1.0, class_weight: float = 0.1, max_iter: int = 50
+    coded: DataFrame,
+    key: list[str],
+    label: str,
+    vec: str,
+    recon_weight: float = 1.0,
+    class_weight: float = 0.1,
+    max_iter: int = 500,
+    held_out: float = HELD_OUT,
+    seed: int = SEED,
 ) -> DataFrame:
-    """Can the class be read off the latent code? One row per class: rows, accuracy, mean
-    reconstruction error, mean cross-entropy and their weighted sum."""
-    rows = coded.select(
+    """Can the class be read off the latent code? One row per split and class: rows,
+    accuracy, mean reconstruction error, mean cross-entropy and their weighted sum.
+
+    The classifier is fitted on the ``train`` rows of a stratified split; ``val`` rows are
+    only scored.
+    """
+    split = stage(stratified_split(coded, key, label, held_out, seed), "separability")
+    rows = split.select(
+        "split",
         F.col(label).cast("int").alias("true"),
         F.col(label).cast("double").alias("_label"),
         array_to_vector("latent").alias("_features"),
         mean_squared_error(vec, "recon").alias("_mse"),
     )
-    model = LogisticRegression(
+    learner = LogisticRegression(
         family="multinomial", labelCol="_label", featuresCol="_features", maxIter=max_iter
-    ).fit(rows.select("_label", "_features"))
+    )
+    model = _converged(learner.fit(rows.where("split = 'train'").select("_label", "_features")), max_iter)
     scored = model.transform(rows).withColumn(
         "_ce", cross_entropy(vector_to_array("rawPrediction"), F.col("true"))
     )
     hit = (F.col("prediction").cast("int") == F.col("true")).cast("double")
     return (
-        scored.groupBy(F.col("true").alias(label))
+        scored.groupBy("split", F.col("true").alias(label))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg(hit).alias("accuracy"),
@@ -119,43 +162,69 @@ def latent_separability(
 
 
 def two_sample_scores(
-    real: DataFrame, fake: DataFrame, label: str, vec: str, num_classes: int, max_iter: int = 50
+    real: DataFrame,
+    fake: DataFrame,
+    real_key: list[str],
+    fake_key: list[str],
+    label: str,
+    vec: str,
+    num_classes: int,
+    max_iter: int = 500,
+    held_out: float = HELD_OUT,
+    seed: int = SEED,
 ) -> DataFrame:
-    """``(label, target, p_real)``: probability of being real, from a classifier that
-    sees the row and its class, trained on real = 1 against generated = 0."""
-    both = real.select(label, as_doubles(vec).alias("_x"), F.lit(1.0).alias("target")).unionByName(
-        fake.select(label, as_doubles(vec).alias("_x"), F.lit(0.0).alias("target"))
-    )
-    rows = both.withColumn("_features", array_to_vector(condition("_x", label, num_classes)))
-    model = LogisticRegression(labelCol="target", featuresCol="_features", maxIter=max_iter).fit(
-        rows.select("target", "_features")
-    )
-    p_real = F.get(vector_to_array("probability"), F.lit(1))
-    return model.transform(rows).select(
-        label, F.col("target").cast("int").alias("target"), p_real.alias("p_real")
-    )
-
+    """``(label, target, split, p_real)``: probability of being real, from a classifier that
+    sees the row and its class, trained on real = 1 against generated = 0.
+
+    Rows are split by key, stratified by class and side; the classifier is fitted on the
+    ``train`` rows only.
+    """
+
+    def side(rows: DataFrame, key: list[str], target: int) -> DataFrame:
+        name = F.concat_ws(":", F.lit(target), *[F.col(k).cast("string") for k in key])
+        stratum = F.concat_ws(":", F.lit(target), F.col(label).cast("string"))
+        return rows.select(
+            label, as_doubles(vec).alias("_x"), F.lit(target).alias("target"), name.alias("_key"), stratum.alias("_stratum")
+        )
 
-def two_sample_summary(scores: DataFrame, label: str) -> DataFrame:
-    """Per class: mean P(real) on either side, accuracy at 0.5, and the area under the
-    ROC curve of the score at six decimals (so a class has a bounded number of steps)."""
-    steps = scores.groupBy(label, F.round("p_real", 6).alias("_s")).agg(
-        F.sum("target").alias("_pos"),
-        F.sum(1 - F.col("target")).alias("_neg"),
-    )
-    rising = Window.partitionBy(label).orderBy("_s")
-    ranked = steps.withColumn("_below", F.sum("_neg").over(rising) - F.col("_neg"))
-    auc = ranked.groupBy(label).agg(
-        F.try_divide(
-            F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)).cast("double"),
-            F.sum("_pos") * F.sum("_neg"),
-        ).alias("auc")
-    )
-    hit = ((F.col("p_real") >= 0.5).cast("int") == F.col("target")).cast("double")
-    means = scores.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.when(F.col("target") == 1, F.col("p_real"))).alias("p_real_on_real"),
-        F.avg(F.when(F.col("target") == 0, F.col("p_real"))).alias("p_real_on_generated"),
-        F.avg(hit).alias("accuracy"),
+    both = stage(side(real, real_key, 1).unionByName(side(fake, fake_key, 0)), "two-sample")
+    rows = stratified_split(both, ["_key"], "_stratum", held_out, seed).select(
+        label, "target", "split", F.col("target").cast("double").alias("_target"),
+        array_to_vector(condition("_x", label, num_classes)).alias("_features"),
+    )
+    learner = LogisticRegression(labelCol="_target", featuresCol="_features", maxIter=max_iter)
+    model = _converged(learner.fit(rows.where("split = 'train'").select("_target", "_features")), max_iter)
+    p_real = F.get(vector_to_array("probability"), F.lit(1))
+    return model.transform(rows).select(label, "target", "split", p_real.alias("p_real"))
+
+
+def two_sample_summary(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: rows, mean P(real) on either side, accuracy at 0.5, and the exact area
+    under the ROC curve; a side without rows gives null.
+
+    Equal scores are folded once and all figures follow from the folds, so a model behind
+    ``scores`` runs once per row. Ranks are counted by score bucket, so no task sorts more
+    than one bucket of a group's scores.
+    """
+    target, s = F.col("target"), F.col("_s")
+    steps = stage(
+        scores.groupBy(*by, F.col("p_real").alias("_s")).agg(
+            F.sum(target).alias("_pos"), F.sum(1 - target).alias("_neg")
+        ),
+        "score-steps",
+    ).withColumn("_b", F.least(F.floor(s * SCORE_BUCKETS), F.lit(SCORE_BUCKETS - 1)))
+    buckets = steps.groupBy(*by, "_b").agg(F.sum("_neg").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")
+    ahead = buckets.select(*by, "_b", before.alias("_ahead"))
+    below = F.sum("_neg").over(Window.partitionBy(*by, "_b").orderBy("_s")) - F.col("_neg")
+    ranked = steps.withColumn("_below", below).join(ahead, [*by, "_b"])
+    pos, neg = F.col("_pos"), F.col("_neg")
+    hits = F.when(s >= 0.5, pos).otherwise(neg)
+    won = pos * (F.col("_ahead") + F.col("_below") + neg / 2)
+    return ranked.groupBy(*by).agg(
+        F.sum(pos + neg).alias("n"),
+        F.try_divide(F.sum(pos * s), F.sum(pos)).alias("p_real_on_real"),
+        F.try_divide(F.sum(neg * s), F.sum(neg)).alias("p_real_on_generated"),
+        (F.sum(hits) / F.sum(pos + neg)).alias("accuracy"),
+        F.try_divide(F.sum(won).cast("double"), F.sum(pos).cast("double") * F.sum(neg)).alias("auc"),
     )
-    return means.join(auc, label)

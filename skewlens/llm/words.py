@@ -168,6 +168,35 @@ def summed(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return running[of[1:]] - running[of[:-1]]
 
 
+class Index:
+    """Positions of hashes among sorted hashes, found by their leading bits.
+
+    Hashes spread evenly, so a few comparisons settle each, however many there are.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        edges = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.first = np.append(np.searchsorted(keys, edges), len(keys)).astype(np.int32)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """Position of each, -1 where it is missing."""
+        slot = (wanted >> self.shift).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        out = np.full(len(wanted), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], wanted[left]
+        while len(left):
+            hit = self.keys[at] == wanted
+            out[left[hit]] = at[hit]
+            at = at + 1
+            more = ~hit & (at < end)
+            left, at, end, wanted = left[more], at[more], end[more], wanted[more]
+        return out
+
+
 def lookup(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Position of each wanted key among the sorted keys, -1 where it is missing."""
     if not len(sorted_keys):

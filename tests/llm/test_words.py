@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
-from skewlens.llm.words import Hasher, blocks, lookup, rolled
+from skewlens.llm.words import Hasher, Index, blocks, lookup, rolled
 
 TEXTS = ["", " a  bc\n", None, "x", "Abé  y\tz\x0b", "tail "]
 
@@ -40,6 +40,16 @@ def test_rolled():
     assert len(rolled(h[:3], 4)) == 0
 
 
+def test_index():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 3, 1000, 50_000):
+        keys = np.unique(r.integers(0, 2**64, n, np.uint64))
+        keys[: n // 10] = keys[: n // 10] & np.uint64(0xFFFF)  # many that share their leading bits
+        keys = np.unique(keys)
+        wanted = np.concatenate([keys, r.integers(0, 2**64, 100, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        assert (Index(keys)(wanted) == lookup(keys, wanted)).all()
+
+
 def test_lookup():
     assert lookup(np.array([2, 5, 9]), np.array([9, 1, 5, 10])).tolist() == [2, -1, 1, -1]
     assert lookup(np.array([], int), np.array([1])).tolist() == [-1]

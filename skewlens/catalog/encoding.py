@@ -26,6 +26,15 @@ def label_encode(spark, sf_dir):
     return encode.decode_labels(coded, names, "decoded").select("p_partkey", "p_type", "label_idx", "decoded")
 
 
+@query("""
+    SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_custkey) - 1)::INT AS label_idx FROM orders
+""")
+def label_encode_many(spark, sf_dir):
+    """Codes of a column with very many labels: sorted in ranges, never in one task."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return encode.apply_labels(orders, encode.fit_labels(orders, "o_custkey"), "o_custkey").select("o_orderkey", "label_idx")
+
+
 @query("""
     WITH train AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' AND o_orderpriority <> '5-LOW'),
     vocab AS (SELECT DISTINCT 0 AS f, o_orderpriority AS v FROM train

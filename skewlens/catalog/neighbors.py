@@ -6,7 +6,7 @@ from skewlens.catalog.registry import query, sql_uniform, table
 from skewlens.functions.vectors import as_doubles
 from skewlens.operators import profile, smote
 from skewlens.operators.neighbors import knn
-from skewlens.session import fresh_path
+from skewlens.session import fresh_path, stage
 from skewlens.sources import bundle
 
 KNN_SQL = """
@@ -40,6 +40,28 @@ def vectors(spark, sf_dir):
     )
 
 
+ITEM_ID = "((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey"
+
+
+@query(f"""
+    WITH e AS (SELECT {ITEM_ID} AS id, [min(l_quantity)::DOUBLE, min(l_extendedprice)::DOUBLE / 1000, min(l_discount)::DOUBLE * 100, min(l_tax)::DOUBLE * 100] AS x
+               FROM lineitem GROUP BY 1),
+    p AS (SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x)) AS rank, list_distance(a.x, b.x) AS distance
+          FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0)
+    SELECT id, rank::INT AS rank, round(distance, 4) AS distance FROM p WHERE rank <= 5
+""")
+def knn_large_class(spark, sf_dir):
+    """Nearest neighbours in one class of all order lines, for every id divisible by 100:
+    the class is large enough for cells and blocks."""
+    low = lambda c: F.min(c).cast("double")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.expr(ITEM_ID).alias("id")).agg(
+        F.array(low("l_quantity"), low("l_extendedprice") / 1000, low("l_discount") * 100, low("l_tax") * 100).alias("x")
+    )
+    rows = stage(rows.withColumn("class", F.lit(0)), "order-lines")
+    near = knn(rows, "id", "class", "x", k=5, queries=rows.where("id % 100 = 0"))
+    return near.select("id", "rank", F.round("distance", 4).alias("distance"))
+
+
 def doubled_targets(rows):
     """Every class is raised to twice the largest one."""
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from skewlens.catalog.registry import query, table
 from skewlens.functions.vectors import as_doubles
-from skewlens.operators import profile
+from skewlens.operators import encode, profile
 from skewlens.session import local_table
 
 EVENT_CATEGORY = {"view": "browse", "click": "browse", "signup": "convert", "purchase": "convert"}
@@ -85,6 +85,46 @@ def feature_roles(spark, sf_dir):
     return roles.join(profile.distinct_count(items, cols), "feature")
 
 
+ODD_SQL = """
+    v AS (SELECT CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'NaN'::DOUBLE WHEN 2 THEN -0.0::DOUBLE WHEN 3 THEN 0.0::DOUBLE
+                 ELSE round(value::DOUBLE, 1) END AS x FROM events)
+"""
+
+
+def odd_values(spark, sf_dir):
+    """A column with nulls, NaN and both zeros, from the values of the events."""
+    kind = F.col("event_id") % 7
+    x = F.when(kind == 1, F.lit(float("nan"))).when(kind == 2, F.lit(-0.0)).when(kind == 3, F.lit(0.0))
+    x = F.when(kind != 0, x.otherwise(F.round(F.col("value").cast("double"), 1)))
+    return table(spark, sf_dir, "events").select(x.alias("x"))
+
+
+@query(f"""
+    WITH {ODD_SQL}, p AS (SELECT x + 0::DOUBLE AS x FROM v WHERE x IS NOT NULL AND NOT isnan(x))
+    SELECT 'distinct' AS what, count(DISTINCT x)::DOUBLE AS n FROM p UNION ALL SELECT 'missing', count(*) FILTER (WHERE x IS NULL OR isnan(x)) FROM v
+    UNION ALL SELECT 'zeros', count(*) FILTER (WHERE x = 0) FROM p UNION ALL SELECT 'mean', round(avg(x), 6) FROM p
+    UNION ALL SELECT 'scale', round(stddev_pop(x), 6) FROM p UNION ALL SELECT 'top', max(n) FROM (SELECT count(*) AS n FROM p GROUP BY x)
+""")
+def odd_value_profile(spark, sf_dir):
+    """Null and NaN are no values, and the two zeros are one, in every operator."""
+    rows = odd_values(spark, sf_dir)
+    counts = profile.value_counts(rows, "x")
+    scaler = encode.fit_scaler(rows, ["x"])
+    as_row = lambda df, what, n: df.select(F.lit(what).alias("what"), n.cast("double").alias("n"))
+    found = [
+        as_row(profile.distinct_count(rows, ["x"]), "distinct", F.col("n_unique")),
+        as_row(profile.missing_total(rows), "missing", F.col("n_missing")),
+        as_row(counts.where("x = 0"), "zeros", F.col("n")),
+        as_row(scaler, "mean", F.round("mean", 6)),
+        as_row(scaler, "scale", F.round("scale", 6)),
+        as_row(profile.top_values(rows, ["x"], 1), "top", F.col("n")),
+    ]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @query("SELECT p_brand, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand")
 def value_counts(spark, sf_dir):
     return profile.value_counts(table(spark, sf_dir, "part"), "p_brand")

@@ -66,7 +66,10 @@ def stream_closed_windows(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_running_counts(spark, sf_dir):
-    return _run(spark, balance.running_counts(file_stream(spark, sf_dir, "events"), "event_type"), ["event_type"])
+    path, checkpoint = fresh_path(spark, "running"), fresh_path(spark, "running-state")
+    counts = balance.running_counts(file_stream(spark, sf_dir, "events"), "event_type")
+    balance.write_state(counts, path, checkpoint).awaitTermination()
+    return balance.current_state(spark, path)
 
 
 @query("""

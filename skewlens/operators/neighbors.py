@@ -3,9 +3,10 @@
 The search never lists the pairs of a class. Identical vectors are folded to one row
 (of a group of copies only the k+1 smallest ids can ever be an answer). Large classes
 are cut into Voronoi cells around pivot rows; a query searches its own cell first, and
-the distance found there bounds which other cells can still hold a neighbour. Within a
-cell, queries and candidates meet block by block and only k+1 answers per query leave
-a block.
+the distance found there bounds which other cells can still hold a neighbour. How many
+cells stay open is measured on some queries of the class: where vectors do not cluster the
+bounds exclude little, and the class is searched as a whole instead. Queries and
+candidates meet block by block and only k+1 answers per query leave a block.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ from skewlens.session import pin, stage
 #: before cutting it up pays for itself.
 CELL_ROWS = 4096
 WORTH_CUTTING = 8
-#: Rows of either side that meet in one task.
+#: Rows of either side that meet in one task: at least, and bytes of vectors at most.
 BLOCK_ROWS = 4096
-#: Cells a class may have. A tuning bound only: crowded cells are cut into blocks.
-MAX_CELLS = 2048
+BLOCK_BYTES = 64 * 1024 * 1024
+#: Queries of a class whose open cells are counted, and the share of open cells beyond
+#: which cells do not pay.
+PROBED = 512
+MAX_OPEN = 0.5
 #: Parts over which the rows of one group of copies are spread.
 COPY_SALTS = 64
 #: Bytes of pivot vectors a task may be given.
@@ -81,6 +85,17 @@ def nearest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, need: int)
     return np.concatenate(rows_out), np.concatenate(cols_out), np.concatenate(dist_out)
 
 
+def _block_rows(points: DataFrame, counts: DataFrame) -> int:
+    """Rows of a block: as few copies of a vector as its bytes and the number of tasks allow."""
+    width = points.select(F.size("_vec")).head()
+    largest = counts.agg(F.max("_n")).head()[0]
+    if width is None or not largest:
+        return BLOCK_ROWS
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fit = BLOCK_BYTES // (8 * max(width[0], 1))
+    return max(256, min(fit, max(BLOCK_ROWS, -(-largest // parts))))
+
+
 def _blocks(queries: DataFrame, points: DataFrame, label: str, block_rows: int) -> DataFrame:
     """(label, cell, blocks of points, blocks of queries)."""
     sizes = points.groupBy(label, "_cell").agg(F.count(F.lit(1)).alias("_np"))
@@ -151,10 +166,13 @@ def _block_search(queries: DataFrame, points: DataFrame, blocks: DataFrame, labe
     return blocked.cogroup(right.groupBy("p_class", "p_cell", "p_qsub", "p_psub")).applyInArrow(search, schema)
 
 
-def _choose_pivots(points: DataFrame, counts: DataFrame, label: str, cell_rows: int, max_cells: int, seed: int):
-    """{class: pivot matrix} for the classes that are worth cutting into cells."""
+def _choose_pivots(points: DataFrame, counts: DataFrame, label: str, cell_rows: int, seed: int):
+    """{class: pivot matrix} for the classes that are worth cutting into cells. The number
+    of cells grows with the class, up to four times its root, where assigning rows to
+    cells costs as much as searching them, and as far as the pivots fit their bytes."""
+    balanced = F.greatest(F.ceil(4 * F.sqrt("_n")), F.lit(2 * WORTH_CUTTING))
     cells = counts.where(F.col("_n") > cell_rows * WORTH_CUTTING).select(
-        label, F.least(F.ceil(F.col("_n") / cell_rows), F.lit(max_cells)).alias("_cells")
+        label, F.least(F.ceil(F.col("_n") / cell_rows), balanced).alias("_cells")
     )
     asked = cells.agg(F.sum("_cells")).head()[0]
     if not asked:
@@ -166,7 +184,6 @@ def _choose_pivots(points: DataFrame, counts: DataFrame, label: str, cell_rows:
     picked = (
         points.join(cells, label)
         .withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") <= max_cells)
         .where(F.col("_r") <= F.col("_cells"))
         .select(label, "_r", "_vec")
         .toArrow()
@@ -178,11 +195,17 @@ def _choose_pivots(points: DataFrame, counts: DataFrame, label: str, cell_rows:
 
 
 def _pivot_distances(vectors: np.ndarray, rows: np.ndarray, pivots: np.ndarray):
-    """(row numbers, distance to every pivot) in pieces of bounded memory."""
-    step = max(1, 4_000_000 // pivots.size)
+    """(row numbers, lower and upper bound of the distance to every pivot) in pieces of
+    bounded memory. A matrix product gives the distances, the bounds allow for its error."""
+    step = max(1, 4_000_000 // len(pivots))
+    pp = np.einsum("ij,ij->i", pivots, pivots)
     for s in range(0, len(rows), step):
         part = rows[s : s + step]
-        yield part, np.sqrt(((vectors[part][:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+        x = vectors[part]
+        sizes = np.einsum("ij,ij->i", x, x)[:, None] + pp
+        square = sizes - 2.0 * (x @ pivots.T)
+        error = 1e-12 * sizes
+        yield part, np.sqrt(np.maximum(square - error, 0.0)), np.sqrt(np.maximum(square, 0.0) + error)
 
 
 def _assign_cells(points: DataFrame, label: str, pivots: dict) -> DataFrame:
@@ -202,7 +225,7 @@ def _assign_cells(points: DataFrame, label: str, pivots: dict) -> DataFrame:
                 for key, mine in rows_by_class(batch.column(label)):
                     if key not in pivots:
                         continue
-                    for part, away in _pivot_distances(vectors, mine, pivots[key]):
+                    for part, _, away in _pivot_distances(vectors, mine, pivots[key]):
                         cell[part] = away.argmin(axis=1)
                         dist[part] = away.min(axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -212,13 +235,45 @@ def _assign_cells(points: DataFrame, label: str, pivots: dict) -> DataFrame:
     return points.mapInArrow(assign, schema)
 
 
-def _route_onward(queries: DataFrame, label: str, pivots: dict, reach: dict) -> DataFrame:
-    """Send each query to the other cells that may hold something within ``_theta``.
+def _open_cells(vectors, rows, own, theta, pivots, reach):
+    """(row numbers, which other cells may hold something within ``theta``) piece by piece.
 
     Two exact bounds: a cell's points lie within its radius of the pivot, and they are
     nearer to their own pivot than to the query's.
     """
-    fields = [f for f in queries.schema.fields if f.name in (label, "_vid", "_vec")]
+    for part, low, high in _pivot_distances(vectors, rows, pivots):
+        at = np.arange(len(part))
+        home = high[at, own[part]]
+        bound = np.maximum(low - reach[None, :], (low - home[:, None]) / 2)
+        open_ = bound <= theta[part][:, None] * (1 + 1e-9) + 1e-9
+        open_[at, own[part]] = False
+        yield part, open_ & np.isfinite(reach)[None, :]
+
+
+def _pruned(queries: DataFrame, label: str, pivots: dict, reach: dict) -> set:
+    """Classes of which at most ``MAX_OPEN`` of the other cells stay open, measured on some
+    queries. The choice decides the cost, never the answer."""
+    order = Window.partitionBy(label).orderBy(hash_hex(0, "probe", "_vid"), "_vid")
+    some = queries.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= PROBED)
+    some = some.select(label, "_vec", "_cell", "_theta").toArrow().combine_chunks()
+    if not some.num_rows:
+        return set()
+    vectors = _matrix(some["_vec"])
+    own, theta = some["_cell"].to_numpy(), some["_theta"].to_numpy()
+    found = set()
+    for key, mine in rows_by_class(some[label].combine_chunks()):
+        if key in pivots:
+            cells = _open_cells(vectors, mine, own, theta, pivots[key], reach[key])
+            opened = sum(int(open_.sum()) for _, open_ in cells)
+            if opened <= MAX_OPEN * len(mine) * max(len(pivots[key]) - 1, 1):
+                found.add(key)
+    return found
+
+
+def _route_onward(queries: DataFrame, label: str, pivots: dict, reach: dict) -> DataFrame:
+    """``(label, _vid, _cell)``: the other cells each query has to visit. Vectors are not
+    repeated; the search meets them again by id."""
+    fields = [f for f in queries.schema.fields if f.name in (label, "_vid")]
     schema = T.StructType(fields + [T.StructField("_cell", T.IntegerType())])
     names = [f.name for f in fields]
 
@@ -228,17 +283,12 @@ def _route_onward(queries: DataFrame, label: str, pivots: dict, reach: dict) ->
                 continue
             vectors = _matrix(pa.chunked_array([batch.column("_vec")]))
             own = batch.column("_cell").to_numpy()
-            theta = batch.column("_theta").to_numpy() * (1 + 1e-9) + 1e-9
+            theta = batch.column("_theta").to_numpy()
             rows, cells = [], []
             for key, mine in rows_by_class(batch.column(label)):
                 if key not in pivots:
                     continue
-                for part, away in _pivot_distances(vectors, mine, pivots[key]):
-                    home = away[np.arange(len(part)), own[part]]
-                    bound = np.maximum(away - reach[key][None, :], (away - home[:, None]) / 2)
-                    open_ = bound <= theta[part][:, None]
-                    open_[np.arange(len(part)), own[part]] = False
-                    open_ &= np.isfinite(reach[key])[None, :]
+                for part, open_ in _open_cells(vectors, mine, own, theta, pivots[key], reach[key]):
                     r, c = np.nonzero(open_)
                     rows.append(part[r])
                     cells.append(c)
@@ -264,8 +314,7 @@ def knn(
     k: int = 5,
     queries: DataFrame | None = None,
     cell_rows: int = CELL_ROWS,
-    block_rows: int = BLOCK_ROWS,
-    max_cells: int = MAX_CELLS,
+    block_rows: int | None = None,
     seed: int = 42,
     with_vectors: bool = False,
 ) -> DataFrame:
@@ -273,7 +322,8 @@ def knn(
     same class by Euclidean distance, ties by id.
 
     ``queries(label, key)`` restricts whose neighbours are wanted, never who may be a
-    neighbour. ``with_vectors`` adds ``neighbor_vec``.
+    neighbour. ``with_vectors`` adds ``neighbor_vec``. Blocks are as large as their bytes
+    allow while every task still gets one, unless ``block_rows`` is given.
     """
     need = k + 1
     rows = df.where(F.col(label).isNotNull()).select(
@@ -289,7 +339,9 @@ def knn(
         "points",
     )
     counts = pin(points.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), name="class-counts")
-    pivots = _choose_pivots(points, counts, label, cell_rows, max_cells, seed)
+    if block_rows is None:
+        block_rows = _block_rows(points, counts)
+    pivots = _choose_pivots(points, counts, label, cell_rows, seed)
     celled = _assign_cells(points, label, pivots)
     if pivots:
         celled = stage(celled, "cells")
@@ -322,11 +374,24 @@ def knn(
         for r in radius:
             if r[label] in reach:
                 reach[r[label]][r["_cell"]] = r["_far"]
-        onward = stage(
-            _route_onward(sought.join(bound, [label, "_vid"]), label, pivots, reach), "onward"
-        )
-        blocks = _blocks(onward, celled, label, block_rows)
-        found = own.unionByName(_block_search(onward, celled, blocks, label, need))
+        bounded = stage(sought.join(bound, [label, "_vid"]), "bounds")
+        pruned = _pruned(bounded, label, pivots, reach)
+        answers_of = [own]
+        if pruned:
+            kept = {key_: p for key_, p in pivots.items() if key_ in pruned}
+            onward = stage(_route_onward(bounded, label, kept, reach), "onward")
+            blocks = _blocks(onward, celled, label, block_rows)
+            onward = onward.join(sought.select(label, "_vid", "_vec"), [label, "_vid"])
+            answers_of.append(_block_search(onward, celled, blocks, label, need))
+        whole = [key_ for key_ in pivots if key_ not in pruned]
+        if whole:
+            at_once = lambda rows: rows.where(F.col(label).isin(whole)).withColumn("_cell", F.lit(0))
+            blocks = _blocks(at_once(sought), at_once(celled), label, block_rows)
+            answers_of[0] = own.where(~F.col(label).isin(whole))
+            answers_of.append(_block_search(at_once(sought), at_once(celled), blocks, label, need))
+        found = answers_of[0]
+        for more in answers_of[1:]:
+            found = found.unionByName(more)
 
     best = _best(found, label, need)
     near = [F.col("_dist"), F.col("_nid")]

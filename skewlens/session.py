@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 #: Rows a fitted table (class counts, vocabulary, scaler, cut-offs) may have to be
 #: carried by the driver. Larger ones stay distributed as a written table.
 PIN_ROWS = 50_000
+#: Bytes such a table may have; a few rows of long strings are written as well.
+PIN_BYTES = 32 * 1024 * 1024
 
 
 def local_session(app: str = "skewlens", cores: str = "8", memory: str = "12g") -> SparkSession:
@@ -64,15 +66,23 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> bool:
+    """Delete everything this application staged; tables read from it are gone. True if
+    there was anything."""
+    folder = os.path.join(shared_dir(spark), "skewlens", spark.sparkContext.applicationId)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pin(df: DataFrame, max_rows: int = PIN_ROWS, name: str = "pinned") -> DataFrame:
     """Evaluate a fitted table once.
 
-    Up to ``max_rows`` rows it becomes a local relation, whose exact size lets the
-    optimizer decide on a broadcast by itself; beyond that it is staged as a table
+    Up to ``max_rows`` rows and ``PIN_BYTES`` it becomes a local relation, whose exact size
+    lets the optimizer decide on a broadcast by itself; beyond that it is staged as a table
     and joins on it are shuffled.
     """
     table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    if table.num_rows > max_rows or table.nbytes > PIN_BYTES:
         return stage(df, name)
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 

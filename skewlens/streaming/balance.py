@@ -12,7 +12,14 @@ from skewlens.operators.sampling import UNIFORM_LIMIT
 def window_counts(
     stream: DataFrame, ts: str, label: str, width: str, slide: str | None = None, watermark: str = "1 hour"
 ) -> DataFrame:
-    """Rows per event-time window and class. State older than the watermark is dropped."""
+    """Rows per event-time window and class. State older than the watermark is dropped.
+
+    Times without a zone are taken as UTC, so the session's zone has to be UTC: in a zone
+    with daylight saving days would shift.
+    """
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    if stream.schema[ts].dataType.typeName() == "timestamp_ntz" and zone not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        raise ValueError(f"times without a zone need the session zone UTC, not {zone}")
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     return (
@@ -45,6 +52,31 @@ def write_updates(counts: DataFrame, path: str, checkpoint: str, trigger: dict |
     )
 
 
+def write_state(counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Start a query that writes all counters after each micro-batch, for states as small as
+    one counter per class. Two folders take turns, so the newest full state is always there
+    and no history grows; a replayed batch overwrites its own folder."""
+
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").parquet(f"{path}/turn={batch_id % 2}")
+
+    return (
+        counts.writeStream.outputMode("complete")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(replace)
+        .start()
+    )
+
+
+def current_state(spark: SparkSession, path: str) -> DataFrame:
+    """The newest full state."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    newest = rows.agg(F.max("batch")).scalar()
+    return rows.where(F.col("batch") == newest).drop("batch", "turn")
+
+
 def current_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Latest value of every key over all updates written so far."""
     updates = spark.read.option("basePath", path).parquet(path)

@@ -55,3 +55,27 @@ def test_transforms_need_no_shuffle(spark, data):
     assert "Exchange" not in plan and "Python" not in plan
     assert "l_quantity" in plan and "l_extendedprice" not in plan
     assert items.where(F.col("l_quantity").isNull()).count() == 0
+
+
+def test_wide_vocabulary(spark):
+    """Wider than the dense form allows: an argument, or the sparse form."""
+    rows = spark.range(20_001).select(F.format_string("v%06d", "id").alias("k"), F.lit("x").alias("c"))
+    vocab = encode.fit_onehot(rows, ["k", "c"])
+    assert vocab.count() == 20_002
+    sparse = encode.apply_onehot_sparse(rows, vocab, ["k", "c"]).where("k IN ('v000000', 'v020000')").orderBy("k").collect()
+    assert [r["onehot"] for r in sparse] == [[0, 20_001], [20_000, 20_001]]
+    unseen = spark.createDataFrame([("nope", None)], "k string, c string")
+    assert encode.apply_onehot_sparse(unseen, vocab, ["k", "c"]).head()["onehot"] == []
+    with pytest.raises(ValueError):
+        encode.apply_onehot(rows, vocab)
+
+
+def test_scaler_leaves_out_nan(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "x double")
+    row = encode.fit_scaler(df, ["x"]).head()
+    assert (row["mean"], row["scale"]) == (2.0, 1.0)
+
+
+def test_label_codes_have_no_window_over_all_labels(spark):
+    dim = encode.fit_labels(spark.range(5000).select(F.col("id").cast("string").alias("l")), "l")
+    assert [r["l"] for r in dim.orderBy("label_idx").collect()] == sorted(str(k) for k in range(5000))

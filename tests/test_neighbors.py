@@ -166,3 +166,15 @@ def test_rare_class_multiplied_many_times(spark, monkeypatch):
     new = smote.synthesize(df, "id", "c", "v", {"u": 1006}).collect()
     assert sorted(r["draw"] for r in new) == list(range(1000))
     assert {r["base_id"] for r in new} == set(range(6))
+
+
+@pytest.mark.parametrize("dim, prunes", [(64, False), (2, True)])
+def test_classes_that_cells_do_not_help_are_searched_whole(spark, dim, prunes, monkeypatch):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(600, dim)) if not prunes else rng.normal(size=(600, dim)) + rng.integers(0, 9, (600, 1)) * 50
+    seen = []
+    measured = neighbors._pruned
+    monkeypatch.setattr(neighbors, "_pruned", lambda *a: seen.append(measured(*a)) or seen[-1])
+    ids, labels = np.arange(600), np.array(["a"] * 600)
+    check(knn(frame(spark, ids, labels, x), "id", "c", "v", 3, cell_rows=20).collect(), brute(ids, labels, x, 3))
+    assert seen == [{"a"} if prunes else set()]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skewlens.operators import profile
-from skewlens.sources.schema import category_of, label_dim, record_schema
+from skewlens.sources.schema import CATEGORY_OF, label_dim, record_schema
 
 # Published label counts of the training records and category totals.
 TRAIN_LABELS = {
@@ -29,7 +29,7 @@ def many(spark, counts, name):
 
 def test_record_layout():
     assert len(record_schema()) == 43
-    mapping = category_of()
+    mapping = CATEGORY_OF
     assert len(mapping) == 40
     sizes = pd.Series(mapping).value_counts().to_dict()
     assert sizes == {"R2L": 15, "DoS": 10, "U2R": 8, "Probe": 6, "Normal": 1}

@@ -57,11 +57,12 @@ def compare(df, con, sql: str) -> str | None:
 
 
 def main() -> int:
-    from skewlens.catalog import ORACLES, QUERIES
+    from __spark_entry__ import oracle_sql, queries
     from skewlens.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
-    wanted = sys.argv[2:] or list(QUERIES)
+    known, oracles = queries(), oracle_sql()
+    wanted = sys.argv[2:] or list(known)
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"{DATA}/sf{sf}"
@@ -70,9 +71,9 @@ def main() -> int:
     for name in wanted:
         start = time.time()
         try:
-            df = QUERIES[name](spark, sf_dir)
-            if name in ORACLES:
-                problem = compare(df, con, ORACLES[name])
+            df = known[name](spark, sf_dir)
+            if name in oracles:
+                problem = compare(df, con, oracles[name])
                 state = "ok" if problem is None else f"DIFFERS: {problem}"
             else:
                 state = f"rows only: {len(df.collect())}"

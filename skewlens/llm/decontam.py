@@ -117,10 +117,22 @@ def _entries(n_words: pa.Array, at: pa.Array, word: pa.Array, size: int):
     return keys // size, keys % size, count, of
 
 
+def _pieces(batches, n_words: int, passages: int = 1 << 14):
+    """Slices of the batches with about as many passages: each has a row of the latent space's width."""
+    for batch in batches:
+        ahead = np.cumsum(-(-batch.column(n_words).to_numpy() // PASSAGE))
+        row = 0
+        while row < batch.num_rows:
+            before = ahead[row - 1] if row else 0
+            end = max(row + 1, int(np.searchsorted(ahead, before + passages, "right")))
+            yield batch.slice(row, end - row)
+            row = end
+
+
 def passage_frequencies(found: DataFrame, size: int) -> tuple[np.ndarray, int]:
     def count(batches):
         df, total = np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             _, numbers, _, of = _entries(batch.column(0), batch.column(1), batch.column(2), size)
             df += np.bincount(numbers, minlength=size)
             total += int(of[-1])
@@ -162,7 +174,7 @@ def _gram_times(found: DataFrame, idf: np.ndarray, test: np.ndarray) -> np.ndarr
     def multiply(batches):
         weights, omega = shared.value
         total = np.zeros((size, width), np.float32)
-        for batch in batches:
+        for batch in _pieces(batches, 0):
             passage, numbers, count, _ = _entries(batch.column(0), batch.column(1), batch.column(2), size)
             use = weights[numbers] > 0
             passage, numbers, values = passage[use], numbers[use], (count[use] * weights[numbers[use]]).astype(np.float32)
@@ -241,7 +253,7 @@ def _search(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarr
 
     def search(batches):
         items, parts, answers, weights, vectors, wanted = shared.value
-        for batch in batches:
+        for batch in _pieces(batches, 2):
             n_words, at, word = batch.column(2), batch.column(3), batch.column(4)
             passage, numbers, count, of = _entries(n_words, at, word, size)
             use = weights[numbers] > 0

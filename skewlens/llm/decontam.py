@@ -30,10 +30,13 @@ MIN_WORDS = 5
 #: Benchmark parts that share one latent space, and directions beyond one for each.
 PARTS, EXTRA = 256, 24
 #: Terms in a larger share of the passages say nothing about a benchmark.
-MAX_SHARE = 0.005
+MAX_SHARE = 0.001
+#: Least cosine of a candidate. A window's length is taken before it is projected: what it
+#: holds beyond the benchmark's directions counts against it.
 COSINE = 0.35
-#: Shares of a part's words in order, with and without its answer.
-COMMON_WITH_ANSWER, COMMON_ALONE, ANSWER = 0.5, 0.8, 0.5
+#: Shares of a part's words in order, with and without its answer; CHANCE words more are
+#: asked for with the answer, since a few words of a short part meet anywhere.
+COMMON_WITH_ANSWER, COMMON_ALONE, ANSWER, CHANCE = 0.5, 0.8, 0.5, 2
 
 
 @dataclass
@@ -263,14 +266,17 @@ def _search(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarr
             # a window is a passage and the next one of the same document
             doc = np.searchsorted(of, have, "right") - 1
             follows = np.flatnonzero((np.diff(have) == 1) & (doc[1:] == doc[:-1])) if len(have) else np.zeros(0, np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1]))) if len(passage) else follows
+            square = np.add.reduceat(values * values, starts) if len(passage) else np.zeros(0)
             windows = rows.copy()
             windows[follows] += rows[follows + 1]
+            length = square.copy()
+            length[follows] += square[follows + 1]
             places, first = _lists(at)
             all_words, _ = _lists(word)
             best: dict[tuple[int, int], list[float]] = {}
             for k in range(0, len(have), 8192):
-                part = windows[k : k + 8192]
-                norm = np.linalg.norm(part, axis=1)
+                part, norm = windows[k : k + 8192], np.sqrt(length[k : k + 8192])
                 cosine = part @ wanted.T / np.maximum(norm, 1e-9)[:, None]
                 for w, p in zip(*np.nonzero(cosine >= COSINE)):
                     d = int(doc[k + w])
@@ -279,7 +285,7 @@ def _search(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarr
                     a, b = np.searchsorted(own, [begin, begin + 4 * PASSAGE])
                     there = all_words[first[d] + a : first[d] + b]
                     share = common_words(parts[p], there) / len(parts[p])
-                    if share < COMMON_WITH_ANSWER:
+                    if share < COMMON_WITH_ANSWER + CHANCE / len(parts[p]):
                         continue
                     answer = float(np.isin(answers[p], there).mean()) if len(answers[p]) else 1.0
                     if share >= COMMON_ALONE or answer >= ANSWER:

@@ -48,7 +48,7 @@ ITEM_ID = "((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_
                FROM lineitem GROUP BY 1),
     p AS (SELECT a.id, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x)) AS rank, list_distance(a.x, b.x) AS distance
           FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0)
-    SELECT id, rank::INT AS rank, round(distance, 4) AS distance FROM p WHERE rank <= 5
+    SELECT id, rank::INT AS rank, round(distance, 6) AS distance FROM p WHERE rank <= 5
 """)
 def knn_large_class(spark, sf_dir):
     """Nearest neighbours in one class of all order lines, for every id divisible by 100:
@@ -59,7 +59,7 @@ def knn_large_class(spark, sf_dir):
     )
     rows = stage(rows.withColumn("class", F.lit(0)), "order-lines")
     near = knn(rows, "id", "class", "x", k=5, queries=rows.where("id % 100 = 0"))
-    return near.select("id", "rank", F.round("distance", 4).alias("distance"))
+    return near.select("id", "rank", F.round("distance", 6).alias("distance"))
 
 
 def doubled_targets(rows):

@@ -33,10 +33,11 @@ ENDS = {
 HOLDS = frozenset("table ul ol dl body html article section div td th blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = re.compile(
-    r"(ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|sidebar\w*|side|breadcrumb\w*|"
+    r"(ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promos?|promoted|promotions?|banners?|nav|navs|navbar|navigation|navlist|"
+    r"menus?|menubar|sidebars?|side|breadcrumbs?|"
     r"pagination|pager|footer|masthead|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|signup|login|share|sharing|social|related|recommend\w*|comment\w*|disqus\w*|respond|replies|reply|"
-    r"widget\w*|toolbar|skip|hidden|teaser|outbrain|taboola|paywall|topbar|bottombar|rail)$"
+    r"subscription|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|commenter|commentform|disqus\w*|respond|replies|reply|"
+    r"widget\w*|toolbar|skip|hidden|outbrain|taboola|paywall|topbar|bottombar|rail)$"
 )
 #: Marks of an element around the whole page, which is no sidebar although it has one.
 AROUND = frozenset("has with no without wrapper layout container page site left right".split())

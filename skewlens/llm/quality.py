@@ -35,7 +35,8 @@ def default_rules() -> list[Rule]:
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", ""))
     return [
         Rule("symbols", 20 * F.col("n_symbols") > n),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
+        Rule("echoes", 5 * F.col("n_echoes") > n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
         Rule("few_letters", 2 * letters < F.col("word_chars")),
         Rule("shouting", 2 * F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")) > letters),
@@ -47,9 +48,10 @@ def word_list(text: Column) -> Column:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_echoes, n_repeat_words.
 
-    A null text counts as empty. Lines without a word are not lines. The words of an
+    A null text counts as empty. Lines without a word are not lines. An echo is a word that
+    equals the one before it. The words of an
     8-word window that the text holds twice or more are repeated, its first place included;
     windows are compared by a 64-bit hash within their own document.
     """
@@ -78,6 +80,8 @@ def with_features(docs: DataFrame) -> DataFrame:
             lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)]),
         ),
     )
+    echoes = F.filter("_h", lambda h, i: F.coalesce(h == F.get(F.col("_h"), i - 1), F.lit(False)))
+    counted = counted.withColumn("n_echoes", F.size(echoes).cast("long"))
     windowed = counted.withColumn("_win", windows).drop("_h")
     # only texts that hold some window twice go through the sort
     ordered = F.when(
@@ -97,7 +101,10 @@ def with_features(docs: DataFrame) -> DataFrame:
         "_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), i + 1) - p, F.lit(WINDOW)))
     )
     covered = F.aggregate(spans, F.lit(0), lambda total, s: total + s)
-    return windowed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+    # the row number, never negative, keeps filters on the result from being pushed down: they
+    # would repeat every array expression above
+    repeated = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0)).cast("long"))
+    return windowed.withColumn("n_repeat_words", repeated).drop("_at")
 
 
 def base_failed() -> Column:

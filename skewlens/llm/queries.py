@@ -41,6 +41,7 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 f AS (SELECT w.doc_id, text, len(words)::BIGINT AS n_words, length(packed)::BIGINT AS word_chars,
              (length(packed) - length(regexp_replace(packed, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              len(lines) AS n_lines,
+             len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_echoes,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
              coalesce(n, 0)::BIGINT AS n_repeat_words,
              length(regexp_replace(text, '[^\\p{L}]+', '', 'g')) AS letters,
@@ -48,7 +49,7 @@ f AS (SELECT w.doc_id, text, len(words)::BIGINT AS n_words, length(packed)::BIGI
       FROM w LEFT JOIN hit USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 20 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+       NOT (base_failed OR 20 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 5 * n_echoes > n_words
             OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR 2 * letters < word_chars OR 2 * capitals > letters) AS kept
 FROM b"""

@@ -22,6 +22,8 @@ from skewlens.session import stage
 BITS = 64
 #: Fingerprints looked at to choose partitions and thresholds. Any choice gives the same links.
 PLAN_ROWS = 20_000
+#: Ids that may be broadcast, 17 bytes each.
+BROADCAST_IDS = 1_000_000
 #: Cost of one probe row relative to one candidate to verify: rows are shuffled.
 PROBE_COST = 8.0
 
@@ -218,14 +220,17 @@ def hex_digits(fp: str = "fp") -> Column:
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """Rows of ``docs`` with one document of each near-duplicate group: the smallest doc_id.
 
-    Rows without a doc_id stay. Of rows that repeat the kept doc_id one stays.
+    Rows without a doc_id stay. Of rows that repeat a kept doc_id one stays. The ids to drop
+    are broadcast up to ``BROADCAST_IDS`` of them and joined beyond, so the texts are
+    shuffled only where there are too many.
     """
-    found = near_duplicates(docs, shingle, distance)
-    kept = stage(
-        found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept-ids"
+    found = near_duplicates(docs, shingle, distance).where("doc_id IS NOT NULL")
+    ids = found.groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("_keep"), F.count(F.lit(1)).alias("_n")
     )
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    at = docs["doc_id"].cast("long") == kept["_kept"]
-    once = docs.join(kept.where("_n = 1"), at, "left_semi")
-    more = docs.join(kept.where("_n > 1"), at, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.where("doc_id IS NULL"))
+    ids = stage(ids.where("NOT _keep OR _n > 1").withColumnRenamed("doc_id", "_id"), "odd-ids")
+    at = docs["doc_id"].cast("long") == ids["_id"]
+    small = ids.count() <= BROADCAST_IDS
+    rest = docs.join(F.broadcast(ids) if small else ids, at, "left_anti")
+    repeated = ids.where("_keep")
+    return rest.unionByName(docs.join(repeated, at, "left_semi").dropDuplicates(["doc_id"]))

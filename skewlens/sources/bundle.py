@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,22 +16,28 @@ def write_bundle(
     vec: str = "features",
 ) -> None:
     """``path/data`` by split, ``path/classes``, ``path/<name>`` for each fitted table
-    and ``path/meta``. Rows keep whatever provenance columns they carry."""
+    and ``path/meta``. Rows keep whatever provenance columns they carry.
+
+    The width of the vectors is observed while they are written; vectors of several widths
+    are an error, and a bundle without rows has a null width."""
     spark = df.sparkSession
-    df.write.partitionBy("split").parquet(f"{path}/data")
+    seen = Observation()
+    widths = (F.min(F.size(vec)).alias("least"), F.max(F.size(vec)).alias("most"))
+    df.observe(seen, *widths).write.partitionBy("split").parquet(f"{path}/data")
+    width = seen.get
+    if width["least"] != width["most"]:
+        raise ValueError(f"vectors of {width['least']} to {width['most']} elements in one bundle")
     classes.write.parquet(f"{path}/classes")
     for name, table in (params or {}).items():
         table.write.parquet(f"{path}/{name}")
-    # All vectors have one width, so one row tells it.
-    sizes = spark.read.parquet(f"{path}/data").select(F.size(vec).alias("input_dim")).limit(1)
     known = spark.read.parquet(f"{path}/classes")
     target_map = (
         F.create_map(*[F.lit(x) for pair in targets.items() for x in (str(pair[0]), int(pair[1]))])
         if targets
         else F.lit(None)
     )
-    meta = sizes.select(
-        "input_dim",
+    meta = spark.range(1).select(
+        F.lit(width["least"]).cast("int").alias("input_dim"),
         known.agg(F.count(F.lit(1))).scalar().alias("num_classes"),
         F.lit(augmentation).cast("string").alias("augmentation"),
         target_map.cast("map<string,bigint>").alias("target_samples"),

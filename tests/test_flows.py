@@ -267,3 +267,14 @@ def test_profile_of_generated_counts(spark):
         spark.createDataFrame([(0,)], "label_idx int"), "label_idx", spark.createDataFrame([(0,), (1,)], "label_idx int")
     )
     assert {r["label_idx"]: r["n"] for r in counts.collect()} == {0: 1, 1: 0}
+
+
+def test_bundle_widths(spark):
+    classes = spark.createDataFrame([("a", 0)], "category string, label_idx int")
+    rows = spark.createDataFrame([([1.0], "train"), ([1.0, 2.0], "train")], "features array<double>, split string")
+    with pytest.raises(ValueError, match="1 to 2 elements"):
+        bundle.write_bundle(rows, fresh_path(spark, "ragged"), classes)
+    path = fresh_path(spark, "none")
+    bundle.write_bundle(rows.limit(0), path, classes)
+    meta = bundle.read_meta(spark, path).head()
+    assert meta["input_dim"] is None and meta["num_classes"] == 1

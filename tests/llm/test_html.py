@@ -35,6 +35,11 @@ def test_blocks_and_white_space():
     assert main_text(page) == "Head line\na b c d\ne\nf\ng\nh"
 
 
+def test_marks_are_whole_words():
+    page = '<article><p class="teaser">Lead.</p><div class="navy"><p>Blue.</p></div><p class="commentary">Said.</p><div class="nav-bar"><p>No.</p></div></article>'
+    assert main_text(page) == "Lead.\nBlue.\nSaid."
+
+
 def test_references_and_broken_markup():
     assert main_text("<article><p>1 &lt; 2 &#233; &hellip; a < b &a</article>") == "1 < 2 é … a < b &a"
     assert main_text("<article><p>open <b>bold<p>next</i></p></div>end") == "open bold\nnext\nend"

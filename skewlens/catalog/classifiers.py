@@ -15,15 +15,23 @@ from skewlens.session import stage
 CLASSES = list(range(10))
 
 
+#: Prediction tables staged by this process, by application and data: both forest queries
+#: judge the same forest.
+_SCORED: dict = {}
+
+
 def scored_rows(spark, sf_dir):
     """Real held-out rows and generated rows, scored by one forest fitted on the training
     split."""
-    split = stage(stratified_split(vectors(spark, sf_dir), ["vec_id"], "label"), "split")
-    train = split.where("split = 'train'")
-    real = split.where("split = 'val'").select("label", "features", F.lit("real").alias("source"))
-    drawn = latent_rows(spark, sf_dir).select("label", "features", F.lit("generated").alias("source"))
-    scored = real.unionByName(drawn)
-    return stage(scoring.forest_evaluate(train, scored, "label", "features", ["source"]), "forest")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCORED:
+        split = stage(stratified_split(vectors(spark, sf_dir), ["vec_id"], "label"), "split")
+        train = split.where("split = 'train'")
+        real = split.where("split = 'val'").select("label", "features", F.lit("real").alias("source"))
+        drawn = latent_rows(spark, sf_dir).select("label", "features", F.lit("generated").alias("source"))
+        scored = real.unionByName(drawn)
+        _SCORED[key] = stage(scoring.forest_evaluate(train, scored, "label", "features", ["source"]), "forest")
+    return _SCORED[key]
 
 
 SPLIT_SQL = sql_split("embeddings", "vec_id", "label", "vec_id")

@@ -24,7 +24,8 @@ from skewlens.session import bounded_rows, local_table
 SLOT_BITS = 15
 #: Labelled rows the regression is fitted on, in equal parts by language as far as they go.
 SAMPLE_ROWS = 4000
-#: Distinct language labels a model may have.
+#: Distinct language labels a model may have unless the caller allows more; each has a
+#: weight for every slot.
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 
@@ -176,7 +177,13 @@ def _document_frequencies(training: DataFrame, bits: int) -> tuple[np.ndarray, i
     return df[:-1], int(df[-1])
 
 
-def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = SLOT_BITS, seed: int = 42) -> Model | None:
+def fit(
+    training: DataFrame,
+    sample_rows: int = SAMPLE_ROWS,
+    bits: int = SLOT_BITS,
+    seed: int = 42,
+    max_languages: int = MAX_LANGUAGES,
+) -> Model | None:
     """A model of the non-null ``lang`` of rows with a text; None if there are none.
 
     At most about ``sample_rows`` rows are fitted, chosen by a hash of the doc_id in one
@@ -186,7 +193,7 @@ def fit(training: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = SLOT_BI
     training = training.where("text IS NOT NULL AND lang IS NOT NULL").select(
         "doc_id", "text", F.col("lang").cast("string").alias("lang")
     )
-    found = bounded_rows(training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), MAX_LANGUAGES, "languages")
+    found = bounded_rows(training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), max_languages, "languages")
     if not found:
         return None
     languages = sorted(r["lang"] for r in found)

@@ -29,14 +29,19 @@ PART = 64
 MIN_WORDS = 5
 #: Benchmark parts that share one latent space, and directions beyond one for each.
 PARTS, EXTRA = 256, 24
-#: Terms in a larger share of the passages say nothing about a benchmark.
-MAX_SHARE = 0.001
+#: Terms in a larger share of the passages have no weight in the latent space. Copies of an
+#: item count too, so parts that keep less than KEPT of their energy are looked for by their
+#: words as well.
+MAX_SHARE, KEPT = 0.001, 0.5
 #: Least cosine of a candidate. A window's length is taken before it is projected: what it
 #: holds beyond the benchmark's directions counts against it.
 COSINE = 0.35
 #: Shares of a part's words in order, with and without its answer; CHANCE words more are
 #: asked for with the answer, since a few words of a short part meet anywhere.
 COMMON_WITH_ANSWER, COMMON_ALONE, ANSWER, CHANCE = 0.5, 0.8, 0.5, 2
+#: Parts looked for by their words must have them within so many times their length: these
+#: words may be frequent ones, of which some meet in any text.
+STRETCH = 2
 
 
 @dataclass
@@ -248,17 +253,85 @@ def common_words(part: np.ndarray, window: np.ndarray) -> int:
     return len(part) - row.bit_count()
 
 
-def _search(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray) -> DataFrame:
+def by_words(parts: list[np.ndarray], idf: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Parts of which terms without weight (0 in ``idf``) took more than the latent space can miss."""
+    energy = lambda weights, part: float((np.bincount(part, weights[part]) ** 2).sum())
+    return np.array([k for k, p in enumerate(parts) if energy(idf, p) < KEPT * energy(full, p)], np.int64)
+
+
+def _sharing(passage, numbers, count, of, held: np.ndarray, least: np.ndarray):
+    """``(first passage, part)`` of every run of four passages of a document that holds at least
+    ``least`` words of a part, in any order. ``held``: word x part, how often. Nothing that
+    has them in order is missed."""
+    use = held.any(1)[numbers]
+    passage, numbers, count = passage[use], numbers[use], count[use]
+    begin = of[np.searchsorted(of, passage, "right") - 1]
+    size = len(held)
+    runs = [(passage - k >= begin, k) for k in range(4)]
+    keys = np.concatenate([(passage[ok] - k) * np.int64(size) + numbers[ok] for ok, k in runs])
+    keys, back = np.unique(keys, return_inverse=True)
+    times = np.bincount(back, np.concatenate([count[ok] for ok, _ in runs]), len(keys)).astype(held.dtype)
+    run, word = keys // size, keys % size
+    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(run) else np.zeros(0, np.int64)
+    for k in range(0, len(first), 4096):
+        a, b = first[k], first[k + 4096] if k + 4096 < len(first) else len(run)
+        both = np.minimum(held[word[a:b]], times[a:b, None])
+        total = np.add.reduceat(both, first[k : k + 4096] - a, axis=0)
+        for r, p in zip(*np.nonzero(total >= least)):
+            yield int(run[first[k + r]]), int(p)
+
+
+def _stretches(places: np.ndarray, numbers: np.ndarray, begin: int, words: int):
+    """Words of the 128 from ``begin``, in stretches of STRETCH times ``words``, half of ``words`` apart."""
+    end = begin + 4 * PASSAGE
+    for at in range(begin, max(begin + 1, end - words), max(1, words // 2)):
+        a, b = np.searchsorted(places, [at, min(end, at + STRETCH * words)])
+        yield numbers[a:b]
+
+
+def _search(
+    found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, frequent: np.ndarray
+) -> DataFrame:
+    """``frequent``: the parts that are also looked for by their words."""
     size = len(idf)
     shared = found.sparkSession.sparkContext.broadcast(
-        (bench.items, bench.parts, bench.answers, idf, basis, latent)
+        (bench.items, bench.parts, bench.answers, idf, basis, latent, frequent)
     )
 
     def search(batches):
-        items, parts, answers, weights, vectors, wanted = shared.value
+        items, parts, answers, weights, vectors, wanted, plain = shared.value
+        held = np.zeros((size, len(plain)), np.float32)
+        for k, p in enumerate(plain.tolist()):
+            np.add.at(held[:, k], parts[p], 1)
+        least = np.array([COMMON_WITH_ANSWER * len(parts[p]) + CHANCE for p in plain.tolist()], np.float32)
+
+        def judged(p: int, there: np.ndarray) -> tuple[float, float] | None:
+            share = common_words(parts[p], there) / len(parts[p])
+            if share < COMMON_WITH_ANSWER + CHANCE / len(parts[p]):
+                return None
+            answer = float(np.isin(answers[p], there).mean()) if len(answers[p]) else 1.0
+            return (share, answer) if share >= COMMON_ALONE or answer >= ANSWER else None
+
         for batch in _pieces(batches, 2):
             n_words, at, word = batch.column(2), batch.column(3), batch.column(4)
             passage, numbers, count, of = _entries(n_words, at, word, size)
+            places, first = _lists(at)
+            all_words, _ = _lists(word)
+            best: dict[tuple[int, int], list[float]] = {}
+
+            def note(d: int, p: int, *figures: float) -> None:
+                seen = best.get((d, items[p]), [0.0, 0.0, 0.0])
+                best[d, items[p]] = [max(x, y) for x, y in zip(seen, figures)]
+
+            for run, k in _sharing(passage, numbers, count, of, held, least) if len(plain) else ():
+                p, d = int(plain[k]), int(np.searchsorted(of, run, "right")) - 1
+                if best.get((d, items[p]), [0.0, 0.0])[:2] == [1.0, 1.0]:
+                    continue
+                own = slice(first[d], first[d + 1])
+                begin = (run - int(of[d])) * PASSAGE
+                for there in _stretches(places[own], all_words[own], begin, len(parts[p])):
+                    if verdict := judged(p, there):
+                        note(d, p, *verdict, 0.0)
             use = weights[numbers] > 0
             passage, numbers = passage[use], numbers[use]
             values = (count[use] * weights[numbers]).astype(np.float32)
@@ -272,9 +345,6 @@ def _search(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarr
             windows[follows] += rows[follows + 1]
             length = square.copy()
             length[follows] += square[follows + 1]
-            places, first = _lists(at)
-            all_words, _ = _lists(word)
-            best: dict[tuple[int, int], list[float]] = {}
             for k in range(0, len(have), 8192):
                 part, norm = windows[k : k + 8192], np.sqrt(length[k : k + 8192])
                 cosine = part @ wanted.T / np.maximum(norm, 1e-9)[:, None]
@@ -284,13 +354,8 @@ def _search(found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarr
                     own = places[first[d] : first[d + 1]]
                     a, b = np.searchsorted(own, [begin, begin + 4 * PASSAGE])
                     there = all_words[first[d] + a : first[d] + b]
-                    share = common_words(parts[p], there) / len(parts[p])
-                    if share < COMMON_WITH_ANSWER + CHANCE / len(parts[p]):
-                        continue
-                    answer = float(np.isin(answers[p], there).mean()) if len(answers[p]) else 1.0
-                    if share >= COMMON_ALONE or answer >= ANSWER:
-                        key, seen = (d, items[p]), best.get((d, items[p]), [0.0, 0.0, 0.0])
-                        best[key] = [max(x, y) for x, y in zip(seen, (share, answer, float(cosine[w, p])))]
+                    if verdict := judged(p, there):
+                        note(d, p, *verdict, float(cosine[w, p]))
             rows_of = pa.array([d for d, _ in best], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -312,7 +377,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``common`` is the share of the item's words found in order, ``answer`` the share of its
     answer's words, ``cosine`` that of the latent vectors, each the best over windows and
-    parts of the item. ``text_key`` is a hash of the text. Null texts hold nothing; items
+    parts of the item; it is 0 where the words alone were looked for. ``text_key`` is a hash of the text. Null texts hold nothing; items
     that are null or have under 5 words are not looked for; repeated rows are found
     alike. The benchmark is read in parts of a fixed number, whatever its size.
     """
@@ -338,8 +403,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _leaks_of(docs: DataFrame, bench: Benchmark) -> DataFrame:
     found = stage(benchmark_words(docs, bench.vocabulary), "benchmark-words")
     df, passages = passage_frequencies(found, len(bench.vocabulary))
-    idf = np.log1p(passages / np.maximum(df, 1)).astype(np.float32)
-    idf[df > max(MAX_SHARE * passages, 50)] = 0
+    full = np.log1p(passages / np.maximum(df, 1)).astype(np.float32)
+    idf = np.where(df > max(MAX_SHARE * passages, 50), np.float32(0), full)
     rows = np.zeros((len(bench.parts), len(idf)))
     for k, part in enumerate(bench.parts):
         np.add.at(rows[k], part, idf[part])
@@ -349,7 +414,7 @@ def _leaks_of(docs: DataFrame, bench: Benchmark) -> DataFrame:
     latent = rows @ basis
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.divide(latent, norm, out=latent, where=norm > 0).astype(np.float32)
-    return _search(found, bench, idf, basis, latent)
+    return _search(found, bench, idf, basis, latent, by_words(bench.parts, idf, full))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -99,3 +99,26 @@ def test_long_items_are_compared_in_parts(spark):
     bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
     docs = spark.createDataFrame([(1, " ".join(words[:150])), (2, " ".join(r.sample(words, 300)))], "doc_id long, text string")
     assert {x["doc_id"] for x in decontam.find_leaks(docs, bench).collect()} == {1}
+
+
+def test_items_in_many_documents(spark):
+    """One item in 5 % of the documents and one in a third: their words are frequent by that alone."""
+    r = random.Random(6)
+    host = [f"host{k}" for k in range(400)]
+    items = {i: [f"item{i}x{k}" for k in range(16)] for i in (1, 2, 3)}
+    rows, want = [], set()
+    for d in range(1200):
+        words = [r.choice(host) for _ in range(100)]
+        for i, every in ((1, 20), (2, 3)):
+            if d % every == 0:
+                at = r.randrange(len(words))
+                told = [w if (k + d) % 7 or d % 2 else "otherword" for k, w in enumerate(items[i])]
+                words[at:at] = told
+                want.add((d, i))
+        if d % 3 == 1:  # the words of an item, but not in its order: no leak
+            words += r.sample(items[2], 16)
+        rows.append((d, " ".join(words)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in decontam.find_leaks(docs, bench).collect()}
+    assert want <= found and len(found - want) <= 0.05 * 400

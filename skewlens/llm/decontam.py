@@ -46,11 +46,12 @@ STRETCH = 2
 
 @dataclass
 class Benchmark:
-    """Parts of the items: item ids, word numbers, and the numbers of the answer's words."""
+    """Parts of the items: item ids, word numbers, and the numbers of the answer's words (None
+    for parts before the last, which do not hold it)."""
 
     items: list[int]
     parts: list[np.ndarray]
-    answers: list[np.ndarray]
+    answers: list[np.ndarray | None]
     vocabulary: np.ndarray  # sorted hashes; a word's number is its position
 
 
@@ -71,10 +72,11 @@ def read_benchmark(rows: list) -> Benchmark:
             if len(part) >= MIN_WORDS:
                 items.append(item_id)
                 texts.append(part)
-                answers.append(answer if k == count - 1 else part)
+                answers.append(answer if k == count - 1 else None)
     vocabulary = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint64)
     number = lambda words: lookup(vocabulary, words)
-    return Benchmark(items, [number(t) for t in texts], [n[n >= 0] for n in map(number, answers)], vocabulary)
+    known = [a if a is None else (n := number(a))[n >= 0] for a in answers]
+    return Benchmark(items, [number(t) for t in texts], known, vocabulary)
 
 
 def benchmark_words(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -309,6 +311,8 @@ def _search(
             share = common_words(parts[p], there) / len(parts[p])
             if share < COMMON_WITH_ANSWER + CHANCE / len(parts[p]):
                 return None
+            if answers[p] is None:
+                return (share, 0.0) if share >= COMMON_ALONE else None
             answer = float(np.isin(answers[p], there).mean()) if len(answers[p]) else 1.0
             return (share, answer) if share >= COMMON_ALONE or answer >= ANSWER else None
 

@@ -122,3 +122,12 @@ def test_items_in_many_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {(x["doc_id"], x["item_id"]) for x in decontam.find_leaks(docs, bench).collect()}
     assert want <= found and len(found - want) <= 0.05 * 400
+
+
+def test_half_of_a_part_without_the_answer_is_no_leak(spark):
+    words = [f"word{k}" for k in range(128)]
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    half = " ".join(f"{w} other{k}" for k, w in enumerate(words[:34]))
+    most = " ".join([*words[:30], "other", *words[32:60]])
+    docs = spark.createDataFrame([(1, half), (2, most)], "doc_id long, text string")
+    assert {x["doc_id"] for x in decontam.find_leaks(docs, bench).collect()} == {2}

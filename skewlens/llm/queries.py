@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewlens.llm import decontam, html, langid, lm, mixing, quality, sharding, simhash, substrings, toxicity
-from skewlens.session import stage
+from skewlens.llm import (
+    chat,
+    decontam,
+    html,
+    langid,
+    lm,
+    mixing,
+    quality,
+    repair,
+    sharding,
+    simhash,
+    substrings,
+    toxicity,
+    whitening,
+)
+from skewlens.session import local_table, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +163,94 @@ def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+#: Conversation -1, in another layout than the rows of the table.
+_ODD_CHAT = json.dumps({"messages": [{"role": r, "content": "</s>[INST] ok [/INST]"} for r in ("user", "assistant")]})
+
+_CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, length(role) + length(text) + length(role || text) - length(replace(role || text, '\', ''))
+             + length(role) - length(replace(role, chr(10), ''))
+             + 2 * (length(regexp_replace(text, '(<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|</?s>|\[/?INST\]|<</?SYS>>)', '\1#', 'g')) - length(text))
+             + 2 * (length(regexp_replace(role, '(<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|</?s>|\[/?INST\]|<</?SYS>>)', '\1#', 'g')) - length(role))
+             + length('<|im_start|>') + 1 + length('<|im_end|>') AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+@query(_CHAT_SQL)
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.turn_records(table(spark, sf_dir, "conversations"))
+    odd = local_table(spark, [(-1, 0, _ODD_CHAT)], "conv_id long, turn long, record string")
+    return chat.read_back(chat.in_order(chat.segments(rows.unionByName(odd))))
+
+
+_REPAIR_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                 lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS d
+  FROM conversations),
+dam AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+               CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE d <> 0),
+o AS (SELECT conv_id, turn, role, text, left(role, 1) AS r,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+             NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS nothing,
+             NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS breaks FROM dam),
+f AS (SELECT conv_id, turn, role, text, r, i, nothing, seen AND NOT nothing AS twice, breaks AND NOT nothing AND NOT seen AS cut,
+             lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM o),
+figures AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE nothing) AS blank,
+                   count(*) FILTER (WHERE twice) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+                   count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+edits(s, r, letter, t, cost) AS (VALUES (0, NULL, 'D', 0, 2), (1, NULL, 'D', 1, 2), (2, NULL, 'D', 2, 2), (3, NULL, 'D', 3, 2),
+    (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0), (3, 'u', 'K', 2, 0),
+    (0, NULL, 'R', 2, 1), (1, NULL, 'R', 2, 1), (2, NULL, 'R', 3, 1), (3, NULL, 'R', 2, 1)),
+inserts(t, u, letters, cost) AS (VALUES (0, 0, '', 0), (1, 1, '', 0), (2, 2, '', 0), (3, 3, '', 0),
+    (0, 2, 'I', 5), (1, 2, 'I', 5), (2, 3, 'I', 5), (3, 2, 'I', 5), (0, 3, 'II', 10), (1, 3, 'II', 10)),
+ways AS (
+  SELECT conv_id, 0::BIGINT AS i, u AS s, lpad(cost::VARCHAR, 9, '0') || letters AS best FROM figures, inserts WHERE t = 0
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, n.u, min(lpad((left(best, 9)::INT + e.cost + n.cost + CASE WHEN cut AND letter <> 'D' THEN 5 ELSE 0 END)::VARCHAR, 9, '0')
+                                      || substr(best, 10) || letter || letters)
+  FROM ways w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+  JOIN edits e ON e.s = w.s AND (e.r IS NULL OR e.r = f.r) AND (letter = 'D' OR NOT (nothing OR twice)) JOIN inserts n ON n.t = e.t
+  GROUP BY w.conv_id, w.i + 1, n.u),
+found AS (SELECT g.conv_id, min(best) AS best FROM ways w JOIN figures g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.n = w.i
+          WHERE s IN (0, 3) GROUP BY g.conv_id),
+steps AS (SELECT conv_id, q, substr(best, 9 + q::INT, 1) AS letter FROM (SELECT *, unnest(range(1, length(best) - 8)) AS q FROM found)),
+put AS (SELECT *, sum((letter <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY q) AS i,
+               sum((letter <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY q) AS place FROM steps),
+kept AS (SELECT p.conv_id, letter, place, f.role, CASE WHEN letter = 'I' THEN '' ELSE f.text END AS text,
+                max((place = 1 AND letter = 'K' AND f.r = 's')::INT) OVER (PARTITION BY p.conv_id) AS opens
+         FROM put p LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i AND letter <> 'I' WHERE letter <> 'D'),
+lines AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - opens) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                            || ':' || text, chr(10) ORDER BY place)) AS sha FROM kept GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(best, 9)::BIGINT, 0) AS cost,
+       coalesce(substr(best, 10), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN figures g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN found b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query(_REPAIR_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    damaged = repair.damage(rows)
+    return repair.digests(damaged, repair.audits(damaged, ids=rows))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.fixed_point(table(spark, sf_dir, "embeddings"), "embedding")
+    return whitening.whiten(rows, "embedding", "vec_id", k=8)

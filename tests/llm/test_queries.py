@@ -17,7 +17,7 @@ def test_register():
     import __spark_entry__ as driver
 
     numbers = sorted(int(m[1]) for m in (re.match(r"op(\d+)_", q) for q in driver.queries()) if m)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert "pipeline" in driver.queries()
 
 

@@ -1,75 +1,42 @@
-"""Classifier-based evaluation of real and generated rows."""
+"""Classifier-based evaluation of real and generated rows.
+
+Fitted models are parameters (nodes of trees, coefficients, directions), and rows are
+scored from these alone: no model object travels with a task, so scoring works in every
+session whatever was run in it before.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skewlens.functions.losses import cross_entropy, mean_squared_error, squared_error
-from skewlens.functions.vectors import as_doubles, condition
+from skewlens.functions.vectors import as_doubles, condition, sigmoid, total
+from skewlens.operators import decompose, forest
+from skewlens.operators.forest import Forest
 from skewlens.operators.sampling import stratified_split
-from skewlens.session import stage
+from skewlens.session import local_table, stage
 
 #: Trees and seed of the scoring forest.
 N_TREES = 100
 SEED = 42
-#: Depth of its trees: the most that the learner accepts.
-MAX_DEPTH = 30
 #: Buckets of a score by which the rows below it are counted.
 SCORE_BUCKETS = 4096
 #: Share of the rows that fitted scores are measured on.
 HELD_OUT = 0.2
 
-
-def _points(df: DataFrame, label: str, vec: str, extra: list[str] | None = None) -> DataFrame:
-    return df.select(
-        *(extra or []),
-        F.col(label).cast("int").alias("true"),
-        F.col(label).cast("double").alias("_label"),
-        array_to_vector(as_doubles(vec)).alias("_features"),
-    )
-
-
-def fit_forest(
-    df: DataFrame,
-    label: str,
-    vec: str,
-    trees: int = N_TREES,
-    depth: int = MAX_DEPTH,
-    seed: int = SEED,
-    max_bins: int = 32,
-    min_rows: int = 1,
-    memory_mb: int = 512,
-):
-    """Random forest with sqrt(d) features per split, grown level by level on Spark.
-
-    ``max_bins``: candidate thresholds of a feature; ``min_rows``: rows a leaf must hold;
-    ``memory_mb``: for the statistics of the nodes that are grown in one pass.
-    """
-    forest = RandomForestClassifier(
-        labelCol="_label",
-        featuresCol="_features",
-        numTrees=trees,
-        maxDepth=depth,
-        featureSubsetStrategy="sqrt",
-        maxBins=max_bins,
-        minInstancesPerNode=min_rows,
-        maxMemoryInMB=memory_mb,
-        seed=seed,
-    )
-    return forest.fit(_points(df, label, vec))
+fit_forest = forest.fit
 
 
-def predict(model, df: DataFrame, label: str, vec: str, extra: list[str] | None = None) -> DataFrame:
+def predict(model: Forest, df: DataFrame, label: str, vec: str, extra: list[str] | None = None) -> DataFrame:
     """``(extra..., true, pred)``."""
-    scored = model.transform(_points(df, label, vec, extra))
-    return scored.select(*(extra or []), "true", F.col("prediction").cast("int").alias("pred"))
+    return forest.predict(model, df, label, vec, extra)
 
 
 def forest_evaluate(
@@ -79,7 +46,7 @@ def forest_evaluate(
     vec: str,
     extra: list[str] | None = None,
     trees: int = N_TREES,
-    depth: int = MAX_DEPTH,
+    depth: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """Fit on real rows, predict another table. Several models' rows may be stacked in
@@ -89,11 +56,12 @@ def forest_evaluate(
 
 def reconstruct(df: DataFrame, vec: str, k: int, carry: list[str]) -> DataFrame:
     """``(carry..., latent, recon, sq_error)``: encode to k principal directions, decode,
-    and measure the squared error of every row."""
-    rows = df.select(*carry, as_doubles(vec).alias("_x"), array_to_vector(as_doubles(vec)).alias("_v"))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows)
-    mean = rows.agg(Summarizer.mean(F.col("_v"))).head()[0].toArray()
-    basis = np.array(model.pc.toArray())
+    and measure the squared error of every row. Vectors may be wide: the directions come
+    from a randomised decomposition that holds k + p vectors on the driver, no matrix of
+    all elements."""
+    rows = df.select(*carry, as_doubles(vec).alias("_x"))
+    found = decompose.principal(rows, "_x", k)
+    mean, basis = found.mean, found.directions
 
     @F.pandas_udf("latent array<double>, recon array<double>")
     def code(x: pd.Series) -> pd.DataFrame:
@@ -109,11 +77,47 @@ def reconstruct(df: DataFrame, vec: str, k: int, carry: list[str]) -> DataFrame:
     ).withColumn("sq_error", squared_error(vec, "recon"))
 
 
-def _converged(model, max_iter: int):
-    """The model, if its fit has settled."""
-    if model.summary.totalIterations >= max_iter:
-        raise RuntimeError(f"the fit has not settled after {max_iter} iterations")
-    return model
+# ---- logistic regression as coefficients ------------------------------------------------
+
+
+@dataclass
+class Linear:
+    """One row of coefficients per class, or a single row for two classes."""
+
+    weights: np.ndarray
+    bias: np.ndarray
+    settled: bool
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``(unit, bias, weights, settled)``, to be written and read back."""
+        rows = [(i, float(b), w.tolist(), self.settled) for i, (b, w) in enumerate(zip(self.bias, self.weights))]
+        return local_table(spark, rows, "unit int, bias double, weights array<double>, settled boolean")
+
+    @classmethod
+    def of_table(cls, table: DataFrame) -> Linear:
+        rows = sorted(table.collect(), key=lambda r: r["unit"])
+        return cls(np.array([r["weights"] for r in rows]), np.array([r["bias"] for r in rows]), all(r["settled"] for r in rows))
+
+    def scores(self, vec: str) -> Column:
+        """Linear scores of a vector column, one element per row of coefficients."""
+        dot = lambda w: total(F.zip_with(vec, F.lit(w.tolist()), lambda x, y: x * y))
+        return F.array(*[dot(w) + F.lit(float(b)) for w, b in zip(self.weights, self.bias)])
+
+    def probability(self, vec: str) -> Column:
+        """Of the positive one of two classes."""
+        return sigmoid(self.scores(vec)[0])
+
+
+def fit_linear(rows: DataFrame, label: str, vec: str, family: str, max_iter: int) -> Linear:
+    """Logistic regression of a double label on an array column. ``settled`` tells whether
+    the fit ended by itself before ``max_iter``."""
+    learner = LogisticRegression(family=family, labelCol="_label", featuresCol="_features", maxIter=max_iter)
+    model = learner.fit(rows.select(F.col(label).alias("_label"), array_to_vector(vec).alias("_features")))
+    return Linear(
+        np.array(model.coefficientMatrix.toArray()),
+        np.array(model.interceptVector.toArray()),
+        model.summary.totalIterations < max_iter,
+    )
 
 
 def latent_separability(
@@ -128,7 +132,8 @@ def latent_separability(
     seed: int = SEED,
 ) -> DataFrame:
     """Can the class be read off the latent code? One row per split and class: rows,
-    accuracy, mean reconstruction error, mean cross-entropy and their weighted sum.
+    accuracy, mean reconstruction error, mean cross-entropy, their weighted sum, and
+    whether the fit has settled.
 
     The classifier is fitted on the ``train`` rows of a stratified split; ``val`` rows are
     only scored.
@@ -138,17 +143,13 @@ def latent_separability(
         "split",
         F.col(label).cast("int").alias("true"),
         F.col(label).cast("double").alias("_label"),
-        array_to_vector("latent").alias("_features"),
+        "latent",
         mean_squared_error(vec, "recon").alias("_mse"),
     )
-    learner = LogisticRegression(
-        family="multinomial", labelCol="_label", featuresCol="_features", maxIter=max_iter
-    )
-    model = _converged(learner.fit(rows.where("split = 'train'").select("_label", "_features")), max_iter)
-    scored = model.transform(rows).withColumn(
-        "_ce", cross_entropy(vector_to_array("rawPrediction"), F.col("true"))
-    )
-    hit = (F.col("prediction").cast("int") == F.col("true")).cast("double")
+    model = fit_linear(rows.where("split = 'train'"), "_label", "latent", "multinomial", max_iter)
+    scored = rows.withColumn("_raw", model.scores("latent")).withColumn("_ce", cross_entropy("_raw", F.col("true")))
+    best = F.array_position("_raw", F.array_max("_raw")) - 1
+    hit = (best == F.col("true")).cast("double")
     return (
         scored.groupBy("split", F.col("true").alias(label))
         .agg(
@@ -158,6 +159,7 @@ def latent_separability(
             F.avg("_ce").alias("class_loss"),
         )
         .withColumn("total_loss", recon_weight * F.col("recon_loss") + class_weight * F.col("class_loss"))
+        .withColumn("settled", F.lit(model.settled))
     )
 
 
@@ -173,8 +175,9 @@ def two_sample_scores(
     held_out: float = HELD_OUT,
     seed: int = SEED,
 ) -> DataFrame:
-    """``(label, target, split, p_real)``: probability of being real, from a classifier that
-    sees the row and its class, trained on real = 1 against generated = 0.
+    """``(label, target, split, p_real, settled)``: probability of being real, from a
+    classifier that sees the row and its class, trained on real = 1 against generated = 0;
+    ``settled`` tells whether its fit has.
 
     Rows are split by key, stratified by class and side; the classifier is fitted on the
     ``train`` rows only.
@@ -190,12 +193,11 @@ def two_sample_scores(
     both = stage(side(real, real_key, 1).unionByName(side(fake, fake_key, 0)), "two-sample")
     rows = stratified_split(both, ["_key"], "_stratum", held_out, seed).select(
         label, "target", "split", F.col("target").cast("double").alias("_target"),
-        array_to_vector(condition("_x", label, num_classes)).alias("_features"),
+        condition("_x", label, num_classes).alias("_features"),
     )
-    learner = LogisticRegression(labelCol="_target", featuresCol="_features", maxIter=max_iter)
-    model = _converged(learner.fit(rows.where("split = 'train'").select("_target", "_features")), max_iter)
-    p_real = F.get(vector_to_array("probability"), F.lit(1))
-    return model.transform(rows).select(label, "target", "split", p_real.alias("p_real"))
+    model = fit_linear(rows.where("split = 'train'"), "_target", "_features", "binomial", max_iter)
+    p_real = model.probability("_features").alias("p_real")
+    return rows.select(label, "target", "split", p_real, F.lit(model.settled).alias("settled"))
 
 
 def two_sample_summary(scores: DataFrame, by: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ class Evaluation:
         write_eval(path, fit_on, self.summary, self.classes, self.cells)
 
 
-def measure(predictions: DataFrame, classes: list, max_classes: int = metrics.MAX_CLASSES) -> Evaluation:
+def measure(predictions: DataFrame, classes: list | DataFrame, max_classes: int = metrics.MAX_CLASSES) -> Evaluation:
     """All metrics of a ``(model, true, pred)`` table from one confusion count."""
     cells = stage(metrics.confusion(predictions, classes, by=["model"], max_classes=max_classes), "confusion")
     scores = metrics.with_verdict(metrics.per_class(cells, ["model"]), "accuracy")
@@ -43,7 +43,7 @@ def evaluate(
     vec: str = "features",
     fit_on: str = "train",
     trees: int = scoring.N_TREES,
-    depth: int = scoring.MAX_DEPTH,
+    depth: int | None = None,
     seed: int = scoring.SEED,
     max_classes: int = metrics.MAX_CLASSES,
 ) -> Evaluation:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,13 +18,12 @@ def write_bundle(
     """``path/data`` by split, ``path/classes``, ``path/<name>`` for each fitted table
     and ``path/meta``. Rows keep whatever provenance columns they carry.
 
-    The width of the vectors is observed while they are written; vectors of several widths
+    The width of the vectors is taken from the written table; vectors of several widths
     are an error, and a bundle without rows has a null width."""
     spark = df.sparkSession
-    seen = Observation()
+    df.write.partitionBy("split").parquet(f"{path}/data")
     widths = (F.min(F.size(vec)).alias("least"), F.max(F.size(vec)).alias("most"))
-    df.observe(seen, *widths).write.partitionBy("split").parquet(f"{path}/data")
-    width = seen.get
+    width = spark.read.schema(df.select(vec).schema).parquet(f"{path}/data").agg(*widths).head()
     if width["least"] != width["most"]:
         raise ValueError(f"vectors of {width['least']} to {width['most']} elements in one bundle")
     classes.write.parquet(f"{path}/classes")

@@ -1,4 +1,4 @@
-"""Exact k nearest neighbours inside each class.
+"""K nearest neighbours inside each class: exact, or by an index where asked for.
 
 The search never lists the pairs of a class. Identical vectors are folded to one row
 (of a group of copies only the k+1 smallest ids can ever be an answer). Large classes
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from skewlens.functions.hashing import hash_hex
 from skewlens.functions.vectors import as_doubles
+from skewlens.operators.ordering import selected, with_digest
 from skewlens.session import pin, stage
 
 #: Rows a Voronoi cell should hold, and how many cells' worth of rows a class needs
@@ -180,14 +181,11 @@ def _choose_pivots(points: DataFrame, counts: DataFrame, label: str, cell_rows:
     width = points.select(F.size("_vec")).head()[0]
     share = min(1.0, PIVOT_BYTES / (8.0 * width) / asked)
     cells = cells.withColumn("_cells", F.floor(F.col("_cells") * share)).where(F.col("_cells") > 1)
-    order = Window.partitionBy(label).orderBy(hash_hex(seed, "pivot", "_vid"), "_vid")
-    picked = (
-        points.join(cells, label)
-        .withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") <= F.col("_cells"))
-        .select(label, "_r", "_vec")
-        .toArrow()
-    )
+    # pivots are the rows up to a cut-off digest, so no class is gathered to rank them
+    quotas = pin(cells.select(label, F.col("_cells").cast("long").alias("quota")), name="pivot-quotas")
+    some = points.join(quotas.select(label), label)
+    hashed = with_digest(some, ["_vid"], seed, "pivot").select(label, "_hash", "_vec")
+    picked = selected(hashed, [label], "_hash", quotas).where("_in").select(label, "_hash", "_vec").toArrow()
     found: dict = {}
     for key, rank, vec in zip(*(picked.column(i).to_pylist() for i in range(3))):
         found.setdefault(key, []).append((rank, vec))
@@ -317,6 +315,8 @@ def knn(
     block_rows: int | None = None,
     seed: int = 42,
     with_vectors: bool = False,
+    recall: float | None = None,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """``(label, key, rank, neighbor_id, distance)``: the k nearest other rows of the
     same class by Euclidean distance, ties by id.
@@ -324,6 +324,10 @@ def knn(
     ``queries(label, key)`` restricts whose neighbours are wanted, never who may be a
     neighbour. ``with_vectors`` adds ``neighbor_vec``. Blocks are as large as their bytes
     allow while every task still gets one, unless ``block_rows`` is given.
+
+    The answer is exact unless ``recall`` asks for an approximate one: classes of more than
+    two buckets of ``bucket_rows`` are then searched by :mod:`approximate`, with as many
+    probes as find that share of the true neighbours of some of their rows.
     """
     need = k + 1
     rows = df.where(F.col(label).isNotNull()).select(
@@ -341,7 +345,7 @@ def knn(
     counts = pin(points.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), name="class-counts")
     if block_rows is None:
         block_rows = _block_rows(points, counts)
-    pivots = _choose_pivots(points, counts, label, cell_rows, seed)
+    pivots = _choose_pivots(points, counts, label, cell_rows, seed) if recall is None else {}
     celled = _assign_cells(points, label, pivots)
     if pivots:
         celled = stage(celled, "cells")
@@ -358,12 +362,20 @@ def knn(
         )
         sought = celled.join(vectors.select(label, "_vid").distinct(), [label, "_vid"], "left_semi")
 
-    if not pivots and not counts.where(F.col("_n") > block_rows).head():
+    if recall is not None:
+        from skewlens.operators import approximate
+
+        rows_ = bucket_rows or approximate.BUCKET_ROWS
+        found = approximate.search(
+            sought.drop("_pd"), celled.drop("_pd"), counts, label, need, recall, rows_, block_rows, seed
+        )
+    elif not pivots and not counts.where(F.col("_n") > block_rows).head():
         one_block = F.lit(1)
         blocks = counts.select(label, F.lit(0).alias("_cell"), one_block.alias("_pb"), one_block.alias("_qb"))
     else:
         blocks = _blocks(sought, celled, label, block_rows)
-    found = _block_search(sought, celled, blocks, label, need)
+    if recall is None:
+        found = _block_search(sought, celled, blocks, label, need)
     if pivots:
         own = stage(_best(found, label, need).select(label, "_vid", "_nid", "_dist"), "own-cell")
         bound = own.groupBy(label, "_vid").agg(

@@ -35,13 +35,14 @@ def _bucket_counts(df: DataFrame, group: list[str], digest: str, digits: int) ->
 def hash_cutoffs(
     df: DataFrame, group: list[str], digest: str, quotas: DataFrame, histogram: DataFrame | None = None
 ) -> DataFrame:
-    """Digest of the quota-th row of every group: ``(group..., cutoff)``.
-
-    ``quotas`` is ``(group..., quota)`` with quota >= 1. Rows with ``digest <= cutoff``
-    are then exactly the first ``quota`` rows of the group, so a selection is a filter
-    and the rows themselves are never moved. Each pass counts buckets (map-side) and
-    keeps the one bucket per group that holds the quota; the next pass looks only
-    inside it, until it is small enough to be ranked.
+    """Digest of the quota-th row of every group: ``(group..., cutoff, take, tied)``.
+
+    ``quotas`` is ``(group..., quota)`` with quota >= 1. The first ``quota`` rows of the
+    group are then those with ``digest < cutoff`` and ``take`` of the ``tied`` rows that
+    have the cut-off digest itself (one of one where digests are unique), so a selection is
+    a filter and the rows themselves are never moved. Each pass counts buckets (map-side)
+    and keeps the one bucket per group that holds the quota; the next pass looks only
+    inside it, until it is small enough to be ranked or its digests are all equal.
     """
     digits, parent = DIGITS, None
     rows = df.select(*group, digest)
@@ -51,21 +52,59 @@ def hash_cutoffs(
         state = _cut_bucket(buckets, group, state, digits, parent)
         largest = state.agg(F.max("_n")).head()[0]
         inside = _join_state(rows, group, state, F.substring(digest, 1, digits))
-        if largest is None or largest <= BUCKET_ROWS:
+        if largest is None or largest <= BUCKET_ROWS or digits >= HEX_LENGTH:
             break
-        parent, digits = digits, digits + DIGITS
-        if digits > HEX_LENGTH:
-            raise ValueError("row key is not unique: equal digests cannot be split")
+        parent, digits = digits, min(digits + DIGITS, HEX_LENGTH)
         buckets = _bucket_counts(inside.select(*group, digest), group, digest, digits)
     place = Window.partitionBy(*group, "_prefix").orderBy(digest)
+    steps = inside.groupBy(*group, "_prefix", "_left", digest).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.col("_upto") - F.col("_n")
     return pin(
-        inside.withColumn("_rank", F.row_number().over(place))
-        .where(F.col("_rank") == F.col("_left"))
-        .select(*group, F.col(digest).alias("cutoff")),
+        steps.withColumn("_upto", F.sum("_n").over(place))
+        .where((F.col("_upto") >= F.col("_left")) & (before < F.col("_left")))
+        .select(*group, F.col(digest).alias("cutoff"), (F.col("_left") - before).alias("take"), F.col("_n").alias("tied")),
         name="cutoffs",
     )
 
 
+def selected(
+    hashed: DataFrame, group: list[str], digest: str, quotas: DataFrame, histogram: DataFrame | None = None, out: str = "_in"
+) -> DataFrame:
+    """``hashed`` with the boolean ``out``: is the row among the first ``quota`` of its group?
+
+    Rows of equal digest (repeated keys) that straddle a cut-off take the places left in
+    an order of their own, by a hash of all columns and of where they stand; equal rows may
+    stand for each other. Groups without a quota have no rows selected.
+    """
+    cuts = hash_cutoffs(hashed, group, digest, quotas, histogram)
+    split = cuts.where(F.col("take") < F.col("tied"))
+    columns = [F.col(c) for c in hashed.columns]
+    if group:
+        renamed = cuts.select(*[F.col(g).alias(f"_c_{g}") for g in group], "cutoff", (F.col("take") < F.col("tied")).alias("_split"))
+        match = F.lit(True)
+        for g in group:
+            match = match & F.col(g).eqNullSafe(F.col(f"_c_{g}"))
+        placed = hashed.join(renamed, match, "left")
+    else:
+        cut = cuts.head()
+        values = (cut["cutoff"], cut["take"] < cut["tied"]) if cut else (None, None)
+        placed = hashed.withColumn("cutoff", F.lit(values[0])).withColumn("_split", F.lit(values[1]).cast("boolean"))
+    straddles = F.coalesce(F.col("_split") & (F.col(digest) == F.col("cutoff")), F.lit(False))
+    inside = F.coalesce(F.col(digest) <= F.col("cutoff"), F.lit(False))
+    plain = placed.where(~straddles).select(*columns, inside.alias(out))
+    if split.head() is None:
+        return plain
+    tied = stage(
+        placed.where(straddles)
+        .select(*columns)
+        .withColumn("_tie", F.md5(F.concat_ws(":", F.xxhash64(*hashed.columns), F.monotonically_increasing_id()))),
+        "ties",
+    )
+    left = split.select(*group, F.col("take").alias("quota"))
+    again = selected(tied, group, "_tie", left, None, out).drop("_tie")
+    return plain.unionByName(again)
+
+
 def _join_state(rows: DataFrame, group: list[str], state: DataFrame, prefix: Column) -> DataFrame:
     """Rows of each group whose digest starts with the group's current prefix."""
     renamed = state.select(*[F.col(g).alias(f"_s_{g}") for g in group], "_prefix", "_left")
@@ -169,8 +208,7 @@ def first_in_order(
     if n >= available:
         return df
     quotas = local_table(df.sparkSession, [(int(n),)], "quota long")
-    cut = hash_cutoffs(hashed, [], "_hash", quotas, histogram).head()
-    return hashed.where(F.col("_hash") <= F.lit(cut["cutoff"])).select(*df.columns)
+    return selected(hashed, [], "_hash", quotas, histogram).where("_in").select(*df.columns)
 
 
 def minibatches(

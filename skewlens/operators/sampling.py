@@ -11,8 +11,8 @@ from skewlens.functions.hashing import hash_uniform
 from skewlens.operators.ordering import (
     DIGITS,
     _bucket_counts,
-    hash_cutoffs,
     hash_ordinals,
+    selected,
     sorted_ordinals,
     with_digest,
 )
@@ -53,18 +53,16 @@ def stratified_split(
     """Add ``split``: the first quota rows of each class in keyed-hash order train.
 
     Only bucket counts are shuffled; rows are compared with their class's cut-off
-    digest where they lie, so a class of any size stays spread out.
+    digest where they lie, so a class of any size stays spread out. Keys may repeat: quotas
+    hold all the same.
     """
     hashed = with_digest(df, key, seed, "split")
     histogram = pin(_bucket_counts(hashed, [label], "_hash", DIGITS), name="buckets")
     counts = histogram.groupBy(label).agg(F.sum("_n").alias("n"))
     quotas = pin(split_quotas(counts, label, test_size).where(F.col("quota") > 0), name="quotas")
-    cuts = hash_cutoffs(hashed, [label], "_hash", quotas, histogram)
-    cuts = cuts.select(F.col(label).alias("_g"), "cutoff")
     train, held = names
-    return hashed.join(cuts, F.col(label).eqNullSafe(F.col("_g")), "left").select(
-        *df.columns,
-        F.when(F.col("_hash") <= F.col("cutoff"), train).otherwise(held).alias("split"),
+    return selected(hashed, [label], "_hash", quotas, histogram).select(
+        *df.columns, F.when(F.col("_in"), train).otherwise(held).alias("split")
     )
 
 

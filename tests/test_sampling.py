@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skewlens.functions.hashing import hash_hex
 from skewlens.operators import ordering, profile, sampling
+from skewlens.operators.sampling import stratified_split
 from skewlens.operators.ordering import expand_counts, first_batches, first_in_order, hash_ordinals, minibatches
 
 
@@ -98,11 +99,20 @@ def test_ordinals_shuffle_the_rows_once(spark, monkeypatch):
     assert rows_side.index("Window") < rows_side.index("Exchange")
 
 
-def test_duplicate_keys_are_refused_only_when_they_matter(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "BUCKET_ROWS", 2)
-    df = spark.range(10).select(F.lit(1).alias("k"))
-    with pytest.raises(ValueError, match="not unique"):
-        first_in_order(df, ["k"], 5).collect()
+def test_repeated_keys_keep_every_quota(spark, monkeypatch):
+    for limit in (2, 8192):
+        monkeypatch.setattr(ordering, "BUCKET_ROWS", limit)
+        df = spark.range(10).select(F.lit(1).alias("k"))
+        assert first_in_order(df, ["k"], 5).count() == 5
+        rows = spark.range(80).select(F.when(F.col("id") < 50, 1).otherwise(2).alias("k"), F.lit("a").alias("c"))
+        split = {r["split"]: r["count"] for r in stratified_split(rows, ["k"], "c").groupBy("split").count().collect()}
+        assert split == {"train": 64, "val": 16}
+        mixed = spark.range(1000).select((F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("c"), "id")
+        out = stratified_split(mixed, ["k"], "c").cache()
+        assert out.count() == 1000 and out.select("id").distinct().count() == 1000
+        assert out.where("split = 'val'").count() == 200
+        per = {r["c"]: r["count"] for r in out.where("split = 'train'").groupBy("c").count().collect()}
+        assert sorted(per.values()) == [266, 267, 267]
 
 
 def test_minibatches(spark):

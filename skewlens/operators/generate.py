@@ -17,15 +17,17 @@ from skewlens.operators.neighbors import _matrix, rows_by_class
 from skewlens.operators.ordering import expand_counts, hash_ordinals
 from skewlens.session import stage
 
-#: Bytes of network weights a task may be given.
+#: Bytes of network weights a task is given at a time.
 WEIGHT_BYTES = 256 * 1024 * 1024
 #: Bytes of moment matrices a task holds before it passes them on.
 HELD_BYTES = 64 * 1024 * 1024
 #: Bytes of a slice of a moment matrix, and slices put together by one task at a time.
 SLICE_BYTES = 1024 * 1024
 MERGED_PARTS = 64
-#: Elements a vector may have for a full covariance (32 MB).
+#: Elements a vector may have for a full covariance (32 MB); wider ones are sketched.
 MAX_DIM = 2048
+#: Sketches of a class that one task puts together.
+SKETCH_PARTS = 16
 #: Samples drawn from one model row at a time.
 SAMPLE_CHUNK = 4096
 
@@ -79,25 +81,9 @@ def _activate(x: np.ndarray, name: str) -> np.ndarray:
     raise ValueError(f"activation {name}")
 
 
-def _layers(weights: DataFrame, weight_bytes: int = WEIGHT_BYTES) -> list[tuple]:
-    size = weights.agg(F.sum(F.size("weights") + 1)).head()[0] or 0
-    if size * 8 > weight_bytes:
-        raise ValueError(f"network of {size} weights exceeds {weight_bytes} bytes")
-    by_layer: dict = {}
-    for r in weights.collect():
-        by_layer.setdefault(r["layer"], []).append(r)
-    layers = []
-    for number in sorted(by_layer):
-        units = sorted(by_layer[number], key=lambda r: r["unit"])
-        layers.append(
-            (
-                np.array([u["weights"] for u in units]).T,
-                np.array([u["bias"] for u in units]),
-                units[0]["activation"],
-                units[0]["with_label"],
-            )
-        )
-    return layers
+def _matrices(units: list) -> tuple[np.ndarray, np.ndarray]:
+    units = sorted(units, key=lambda r: r["unit"])
+    return np.array([u["weights"] for u in units]).T, np.array([u["bias"] for u in units])
 
 
 def mlp_forward(
@@ -111,28 +97,75 @@ def mlp_forward(
 ) -> DataFrame:
     """Apply a stored dense network to ``z``; layers marked ``with_label`` get the
     one-hot of the class code appended to their input. Serves generators, decoders,
-    encoders and discriminators alike; batches are multiplied inside the tasks."""
-    layers = _layers(weights, weight_bytes)
-    shared = df.sparkSession.sparkContext.broadcast(layers)
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    encoders and discriminators alike; batches are multiplied inside the tasks.
+
+    The layers are cut into blocks of units whose weights fit ``weight_bytes``, and a pass
+    over the rows applies as many whole layers, or as large a part of one layer, as that
+    allows: a network within the limit takes one pass, and no task or driver ever holds more.
+    """
+    shapes = weights.groupBy("layer").agg(
+        F.first("activation").alias("activation"), F.first("with_label").alias("with_label"),
+        F.count(F.lit(1)).alias("units"), F.max(F.size("weights")).alias("width"),
+    )
+    layers = sorted(shapes.collect(), key=lambda r: r["layer"])
+    fields = df.schema.fields
+    rows = df.withColumn("_in", as_doubles(z)).withColumn("_out", F.array().cast("array<double>"))
+    steps, held = [], 0  # (layer, first unit, end, last part of its layer)
+    passes = [steps]
+    for shape in layers:
+        unit_bytes = 8 * (shape["width"] + 1)
+        fit = max(1, weight_bytes // unit_bytes)
+        if shape["units"] <= fit and held + shape["units"] * unit_bytes > weight_bytes or shape["units"] > fit and steps:
+            steps, held = [], 0
+            passes.append(steps)
+        for at in range(0, shape["units"], fit):
+            upto = min(at + fit, shape["units"])
+            if at:
+                steps, held = [], 0
+                passes.append(steps)
+            steps.append((shape, at, upto, upto == shape["units"]))
+            held += (upto - at) * unit_bytes
+    for i, steps in enumerate(passes):
+        rows = _dense(rows, code, num_classes, weights, steps)
+        if i + 1 < len(passes):
+            rows = stage(rows, "layer")
+    return rows.select(*[F.col(f.name) for f in fields if f.name != out], F.col("_in").alias(out))
+
+
+def _dense(rows: DataFrame, code: str, num_classes: int, weights: DataFrame, steps: list) -> DataFrame:
+    """One pass: the units of ``steps`` over ``_in``; a layer's outputs gather in ``_out`` and
+    become ``_in`` with its last part. Units are those by rank of ``unit``."""
+    parts = []
+    for shape, at, upto, whole in steps:
+        of_layer = weights.where(F.col("layer") == shape["layer"])
+        if (at, upto) != (0, shape["units"]):
+            of_layer = of_layer.where(F.col("unit").between(at, upto - 1))
+        parts.append((*_matrices(of_layer.collect()), shape["activation"], shape["with_label"], whole))
+    shared = rows.sparkSession.sparkContext.broadcast(parts)
+
+    def lists(x):
+        offsets = np.arange(0, x.size + 1, x.shape[1], dtype="int32") if x.shape[1] else np.zeros(len(x) + 1, "int32")
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))
 
     def forward(batches):
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            x = _matrix(pa.chunked_array([batch.column(z)])).astype("float64")
+            x = _matrix(pa.chunked_array([batch.column("_in")])).astype("float64")
+            so_far = _matrix(pa.chunked_array([batch.column("_out")])).reshape(n, -1)
             label = np.zeros((n, num_classes))
             label[np.arange(n), batch.column(code).to_numpy()] = 1.0
-            for w, b, activation, with_label in shared.value:
-                if with_label:
-                    x = np.concatenate([x, label], axis=1)
-                x = _activate(x @ w + b, activation)
-            offsets = np.arange(0, x.size + 1, x.shape[1], dtype="int32")
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays(batch.columns + [values], batch.schema.names + [out])
+            for w, b, activation, with_label, whole in shared.value:
+                given = np.concatenate([x, label], axis=1) if with_label else x
+                so_far = np.concatenate([so_far, _activate(given @ w + b, activation)], axis=1)
+                if whole:
+                    x, so_far = so_far, np.zeros((n, 0))
+            columns = [batch.column(c) for c in batch.schema.names if c not in ("_in", "_out")]
+            names = [c for c in batch.schema.names if c not in ("_in", "_out")]
+            yield pa.RecordBatch.from_arrays(columns + [lists(x), lists(so_far)], names + ["_in", "_out"])
 
-    return df.mapInArrow(forward, schema)
+    return rows.mapInArrow(forward, rows.schema)
 
 
 # ---- class-conditional linear-Gaussian generator --------------------------------------
@@ -236,16 +269,162 @@ def class_covariances(df: DataFrame, label: str, vec: str, max_dim: int = MAX_DI
     return whole.select(label, "n", "mean", F.flatten(F.transform("_s", lambda s: s["scatter"])).alias("scatter"))
 
 
+# ---- wide vectors: sketches instead of covariances --------------------------------------
+
+
+def _shrunk(rows: np.ndarray, size: int) -> np.ndarray:
+    """Frequent directions: at most ``size`` rows with nearly the same second moments. The
+    smallest of the singular values kept takes its square off all of them; fewer rows than
+    that, or as many as elements, are kept exactly."""
+    if len(rows) <= size:
+        return rows
+    if rows.shape[1] <= size:  # a triangle of all elements holds the moments exactly
+        return np.linalg.qr(rows, mode="r")
+    square, turns = np.linalg.eigh(rows @ rows.T)
+    square, turns = np.maximum(square[::-1], 0.0), turns[:, ::-1]
+    kept = np.maximum(square[:size] - square[size], 0.0)
+    real = kept > 1e-15 * max(square[0], 1e-300)
+    scale = np.sqrt(kept[real] / square[:size][real])
+    return (turns[:, :size][:, real] * scale).T @ rows
+
+
+def _joined(a: tuple, b: tuple, size: int) -> tuple:
+    """Two parts ``(n, mean, centred sum of squares by element, sketch)`` put together: the
+    difference of their means becomes one more row."""
+    n = a[0] + b[0]
+    off = b[1] - a[1]
+    pull = a[0] * b[0] / n
+    rows = np.vstack([a[3], b[3], np.sqrt(pull) * off])
+    return n, a[1] + off * (b[0] / n), a[2] + b[2] + pull * off * off, _shrunk(rows, size)
+
+
+def class_sketches(df: DataFrame, label: str, vec: str, size: int) -> DataFrame:
+    """``(label, n, mean, squares, sketch)``: per class the row count, the mean, the centred
+    sum of squares of every element, and at most ``size`` rows whose second moments stand
+    for those of the centred class. One pass; only sketches leave a task, and they are put
+    together in two levels."""
+    rows = df.where(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(label, as_doubles(vec).alias("_vec"))
+    kind = rows.schema[label].dataType
+    vector = T.ArrayType(T.DoubleType())
+    schema = T.StructType(
+        [T.StructField(label, kind), T.StructField("n", T.LongType())]
+        + [T.StructField(c, vector) for c in ("mean", "squares", "sketch")]
+    )
+    names = [f.name for f in schema.fields]
+
+    def table_of(held: dict):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        lists = lambda k: pa.array([v[k].ravel() for v in held.values()], pa.list_(pa.float64()))
+        columns = [pa.array(list(held), to_arrow_type(kind)), pa.array([int(v[0]) for v in held.values()], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns + [lists(k) for k in (1, 2, 3)], names)
+
+    def partial(batches):
+        held: dict = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = _matrix(pa.chunked_array([batch.column("_vec")]))
+            for key, mine in rows_by_class(batch.column(label)):
+                for at in range(0, len(mine), 4 * size):
+                    part = x[mine[at : at + 4 * size]]
+                    mean = part.mean(axis=0)
+                    part = part - mean
+                    found = (len(part), mean, (part * part).sum(axis=0), _shrunk(part, size))
+                    held[key] = _joined(held[key], found, size) if key in held else found
+            if held and len(held) * (size + 2) * x.shape[1] * 8 > HELD_BYTES:
+                yield table_of(held)
+                held = {}
+        if held:
+            yield table_of(held)
+
+    def merge(parts: pa.Table) -> pa.Table:
+        held = None
+        for i in range(parts.num_rows):
+            mean, squares, sketch = (parts[c][i].values.to_numpy() for c in ("mean", "squares", "sketch"))
+            found = (parts["n"][i].as_py(), mean, squares, sketch.reshape(-1, len(mean)))
+            held = found if held is None else _joined(held, found, size)
+        return pa.Table.from_batches([table_of({parts[label][0].as_py(): held})])
+
+    tasks = rows.mapInArrow(partial, schema).withColumn("_task", F.spark_partition_id() % SKETCH_PARTS)
+    return tasks.groupBy(label, "_task").applyInArrow(merge, schema).groupBy(label).applyInArrow(merge, schema)
+
+
+def _fit_sketched(df: DataFrame, label: str, vec: str, k: int, shrinkage: float, size: int) -> DataFrame:
+    """:func:`fit_latent` from sketches: a class is pulled toward the pooled sketch by
+    stacking both, weighted; nothing of (elements x elements) is formed."""
+    classes = stage(class_sketches(df, label, vec, size), "sketches")
+    fields = [f for f in classes.schema.fields if f.name in (label, "n", "mean")]
+    vector = T.ArrayType(T.DoubleType())
+    schema = T.StructType(fields + [T.StructField("factors", vector), T.StructField("sigma", vector)])
+
+    def pool(batches):
+        held = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                squares = batch.column("squares")[i].values.to_numpy()
+                sketch = batch.column("sketch")[i].values.to_numpy().reshape(-1, len(squares))
+                n = batch.column("n")[i].as_py()
+                held = (n, squares, sketch) if held is None else (
+                    held[0] + n, held[1] + squares, _shrunk(np.vstack([held[2], sketch]), size)
+                )
+        if held is not None:
+            lists = [pa.array([v.ravel()], pa.list_(pa.float64())) for v in held[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), *lists], ["n", "squares", "sketch"])
+
+    ddl = "n long, squares array<double>, sketch array<double>"
+    parts = classes.select("n", "squares", "sketch").mapInArrow(pool, ddl).collect()
+    if not parts:
+        return df.sparkSession.createDataFrame([], schema)
+    total, squares, sketch = 0, 0.0, None
+    for r in parts:
+        total, squares = total + r["n"], squares + np.array(r["squares"])
+        rows = np.array(r["sketch"]).reshape(-1, len(r["squares"]))
+        sketch = rows if sketch is None else _shrunk(np.vstack([sketch, rows]), size)
+    shared = df.sparkSession.sparkContext.broadcast((squares / total, sketch / np.sqrt(total)))
+
+    def decompose(batches):
+        pooled_squares, pooled_sketch = shared.value
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                n = batch.column("n")[i].as_py()
+                own_squares = batch.column("squares")[i].values.to_numpy() / n
+                own = batch.column("sketch")[i].values.to_numpy().reshape(-1, len(own_squares)) / np.sqrt(n)
+                pull = shrinkage / (shrinkage + n)
+                rows = np.vstack([np.sqrt(1 - pull) * own, np.sqrt(pull) * pooled_sketch])
+                _, values, right = np.linalg.svd(rows, full_matrices=False)
+                w = (values[:k, None] * right[:k]).T[:, ::-1]  # rising, as the exact way gives them
+                spread = (1 - pull) * own_squares + pull * pooled_squares
+                left = np.sqrt(np.maximum(spread - (w * w).sum(axis=1), 0.0))
+                out.append((w.ravel(), left))
+            lists = [pa.array([o[j] for o in out], pa.list_(pa.float64())) for j in (0, 1)]
+            columns = [batch.column(c) for c in (label, "n", "mean")]
+            yield pa.RecordBatch.from_arrays(columns + lists, [label, "n", "mean", "factors", "sigma"])
+
+    return stage(classes.mapInArrow(decompose, schema), "latent-model")
+
+
 def fit_latent(
-    df: DataFrame, label: str, vec: str, k: int = 8, shrinkage: float = 50.0, max_dim: int = MAX_DIM
+    df: DataFrame,
+    label: str,
+    vec: str,
+    k: int = 8,
+    shrinkage: float = 50.0,
+    max_dim: int = MAX_DIM,
+    sketch_rows: int | None = None,
 ) -> DataFrame:
     """``(label, n, mean, factors, sigma)``: per class the mean, k linear factors and the
     per-element residual deviation. The rows are read once; the model is a written table.
 
     A class's covariance is pulled toward the pooled within-class covariance with weight
     ``shrinkage / (shrinkage + n)``, so a class with fewer rows than dimensions borrows
-    its shape from all classes.
+    its shape from all classes. Vectors of more than ``max_dim`` elements are fitted from
+    sketches of ``sketch_rows`` rows a class (default: four times k, and 32 more).
     """
+    width = df.select(F.size(vec)).where(F.col(vec).isNotNull()).head()
+    if width is not None and width[0] > max_dim:
+        return _fit_sketched(df, label, vec, k, shrinkage, sketch_rows or 4 * k + 32)
     classes = stage(class_covariances(df, label, vec, max_dim), "covariances")
     pooled_row = classes.agg(
         F.sum("n").alias("n"), Summarizer.sum(array_to_vector(F.col("scatter"))).alias("s")

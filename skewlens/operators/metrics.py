@@ -7,28 +7,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewlens.functions.verdicts import TARGET, gap_to_target, verdict
+from skewlens.session import local_table
 
-#: Classes a dense confusion matrix may have.
+#: Classes up to which a confusion matrix lists its empty cells.
 MAX_CLASSES = 1000
 
 
 def confusion(
     pred: DataFrame,
-    classes: list,
+    classes: list | DataFrame,
     true: str = "true",
     predicted: str = "pred",
     by: list[str] | None = None,
     max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
-    """Dense ``(by..., true, pred, n)`` including zero cells, one pass over the rows."""
-    if len(classes) > max_classes:
-        raise ValueError(f"a dense matrix of {len(classes)} classes is too wide")
+    """``(by..., true, pred, n)``, one pass over the rows.
+
+    Up to ``max_classes`` classes the matrix is dense, zero cells included. Beyond, or where
+    ``classes`` is a table (its first column), it is sparse: counted cells and the diagonal.
+    Every class then still has a row, so all figures that derive from the cells are the same.
+    """
     by = by or []
     counts = pred.groupBy(*by, F.col(true).alias("true"), F.col(predicted).alias("pred")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    every = F.array(*[F.lit(c).cast(pred.schema[true].dataType) for c in classes])
+    kind = pred.schema[true].dataType
     nothing = F.lit(0).cast("long")
+    if isinstance(classes, DataFrame) or len(classes) > max_classes:
+        if not isinstance(classes, DataFrame):
+            classes = local_table(pred.sparkSession, [(c,) for c in classes], f"label {kind.simpleString()}")
+        label = F.col(classes.columns[0]).cast(kind)
+        listed = classes.where(label.isNotNull()).select(label.alias("true"), label.alias("pred"))
+        if by:  # a cell per class and group; groups (models) are few
+            groups = counts.groupBy(*by).agg((F.sum("n") * 0).alias("n"))
+            groups = groups.agg(F.collect_list(F.struct(*by, "n"))).scalar()
+            diagonal = listed.select("true", "pred", F.explode(groups).alias("_g")).select("_g.*", "true", "pred")
+            diagonal = diagonal.select(*by, "true", "pred", "n")
+        else:
+            diagonal = listed.select("true", "pred", nothing.alias("n"))
+        return counts.unionByName(diagonal).groupBy(*by, "true", "pred").agg(F.sum("n").alias("n"))
+    every = F.array(*[F.lit(c).cast(kind) for c in classes])
     if by:
         # The zero is taken from n, so both uses of the counts stay identical and one pass
         # over the rows serves both.
@@ -42,7 +60,7 @@ def confusion(
 
 
 def confusion_matrix(cells: DataFrame, classes: list, by: list[str] | None = None) -> DataFrame:
-    """One row per true class with a column per predicted class."""
+    """One row per true class with a column per predicted class; wants a dense matrix."""
     return cells.groupBy(*(by or []), "true").pivot("pred", classes).agg(F.sum("n"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skewlens.functions.vectors import first_k
-from skewlens.session import bounded_rows, local_table, pin
+from skewlens.session import local_table, pin, stage
 
 N_BINS = 20
 
@@ -438,7 +438,9 @@ def vocabulary_difference(train: DataFrame, test: DataFrame, cols: list[str]) ->
     )
 
 
-def class_list(df: DataFrame, col: str, limit: int = 1000) -> list:
-    """Sorted distinct classes, for outputs that are dense in the classes."""
-    rows = bounded_rows(df.select(col).where(F.col(col).isNotNull()).distinct(), limit, f"classes of {col}")
-    return sorted(r[0] for r in rows)
+def class_list(df: DataFrame, col: str, limit: int = 1000) -> list | DataFrame:
+    """Sorted distinct classes, for outputs that are dense in the classes; beyond ``limit``
+    the table of classes instead, for sparse ones."""
+    table = stage(df.select(col).where(F.col(col).isNotNull()).distinct(), "classes")
+    rows = table.limit(limit + 1).collect()
+    return table if len(rows) > limit else sorted(r[0] for r in rows)

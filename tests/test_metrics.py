@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skewlens.operators import history, metrics
 
@@ -93,10 +95,39 @@ def test_real_versus_generated(spark):
     assert (row["acc_real"], row["acc_generated"], row["difference"]) == (1.0, 0.5, 0.5)
 
 
-def test_wide_matrix_is_refused(spark):
-    df = spark.createDataFrame([(0, 0)], "true int, pred int")
-    with pytest.raises(ValueError, match="too wide"):
-        metrics.confusion(df, list(range(2000)))
+@pytest.mark.parametrize("as_table", [True, False])
+def test_thousands_of_classes(spark, as_table):
+    """A sparse matrix gives the report that numpy gives."""
+    k, n = 5000, 20_000
+    rng = np.random.default_rng(5)
+    true = rng.integers(0, k - 500, n)  # the last classes have no rows
+    pred = np.where(rng.random(n) < 0.6, true, rng.integers(0, k, n))
+    df = spark.createDataFrame([("m", int(a), int(b)) for a, b in zip(true, pred)], "model string, true int, pred int")
+    classes = spark.range(k).select(F.col("id").cast("int").alias("label")) if as_table else list(range(k))
+    cells = metrics.confusion(df, classes, by=["model"]).cache()
+    assert cells.count() < n + k and cells.agg(F.sum("n")).head()[0] == n
+    hits = np.bincount(true[true == pred], minlength=k)
+    support, predicted = np.bincount(true, minlength=k), np.bincount(pred, minlength=k)
+    recall = hits / np.maximum(support, 1)
+    f1 = 2 * hits / np.maximum(support + predicted, 1)
+    scores = metrics.per_class(cells, ["model"])
+    assert scores.count() == k
+    row = metrics.macro(scores, ["model"]).head()
+    assert row["macro"] == pytest.approx(recall.mean()) and row["overall"] == pytest.approx(hits.sum() / n)
+    lines = {r["label"]: r for r in metrics.report(cells, ["model"]).collect()}
+    assert len(lines) == k + 3
+    assert lines["macro avg"]["f1"] == pytest.approx(f1.mean())
+    assert lines["weighted avg"]["f1"] == pytest.approx((f1 * support).sum() / n)
+    sides = {r["label"]: (r["n_true"], r["n_pred"]) for r in metrics.marginals(cells, ["model"]).collect()}
+    assert sides == {i: (support[i], predicted[i]) for i in range(k)}
+
+
+def test_sparse_and_dense_agree(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (2, 2), (1, 2)], "true int, pred int")
+    dense, sparse = metrics.confusion(df, [0, 1, 2, 3]), metrics.confusion(df, [0, 1, 2, 3], max_classes=2)
+    assert dense.count() == 16 and sparse.count() == 6
+    for figure in (metrics.per_class, metrics.report, metrics.marginals):
+        assert sorted(map(str, figure(dense).collect())) == sorted(map(str, figure(sparse).collect()))
 
 
 LOG = "run_id string, epoch int, step int, inner int, metric string, value double, n_rows int"

@@ -80,6 +80,28 @@ def knn_within_class(spark, sf_dir):
     return near.withColumn("distance", F.round("distance", 5))
 
 
+@query("""
+    WITH n AS (SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 100 = 0) AS asked FROM embeddings)
+    SELECT asked AS n_queries, 5 * asked AS n_answers, true AS recall_holds, true AS distances_hold FROM n WHERE rows > 5
+""")
+def knn_approximate(spark, sf_dir):
+    """Approximate neighbours in one class of all vectors, for every id divisible by 100
+    against all rows: at least 0.9 of the exact answers are found, with exact distances."""
+    rows = stage(vectors(spark, sf_dir).withColumn("class", F.lit(0)), "one-class")
+    asked = rows.where("vec_id % 100 = 0")
+    keys = ["vec_id", "neighbor_id"]
+    exact = knn(rows, "vec_id", "class", "features", k=5, queries=asked).select(*keys, F.col("distance").alias("_exact"))
+    found = knn(rows, "vec_id", "class", "features", k=5, queries=asked, recall=0.95, bucket_rows=64)
+    both = found.select(*keys, "distance").join(exact, keys, "full")
+    hit = F.col("distance").isNotNull() & F.col("_exact").isNotNull()
+    return both.agg(
+        F.count_distinct("vec_id").alias("n_queries"),
+        F.count("distance").alias("n_answers"),
+        (F.count_if(hit) >= 0.9 * F.count("_exact")).alias("recall_holds"),
+        F.coalesce(F.bool_and(F.when(hit, F.abs(F.col("distance") - F.col("_exact")) < 1e-9)), F.lit(True)).alias("distances_hold"),
+    )
+
+
 @query(f"""
     WITH {SMOTE_SQL}
     SELECT label, draw, base_id, neighbor_id, round(lam, 8) AS lam,

@@ -6,7 +6,7 @@ from skewlens.catalog.encoding import ITEM_KEY, NUMERIC
 from skewlens.catalog.registry import query, table
 from skewlens.operators import encode
 from skewlens.session import fresh_path
-from skewlens.streaming import balance
+from skewlens.streaming import alerts, balance
 
 
 def file_stream(spark, sf_dir, name):
@@ -85,6 +85,22 @@ def stream_balance_alert(spark, sf_dir):
     )
 
 
+@query("""
+    WITH c AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+    s AS (SELECT window_start, sum(n)::BIGINT AS n_rows, sum(n * n) * 5::DOUBLE / sum(n) - sum(n) AS chi FROM c GROUP BY 1)
+    SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, n_rows, round(chi, 6) AS chi_square, chi >= 10 AS alert FROM s
+    WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""")
+def stream_window_alerts(spark, sf_dir):
+    """One verdict per day, given once when the day is closed, by state and timers."""
+    found = alerts.window_alerts(file_stream(spark, sf_dir, "events"), "ts", "event_type", "1 day", 5)
+    path, checkpoint = fresh_path(spark, "alerts"), fresh_path(spark, "alerts-state")
+    with alerts.state_store(spark):
+        balance.write_rows(found, path, checkpoint).awaitTermination()
+    out = _naive(spark.read.schema(found.schema).parquet(path))
+    return out.withColumn("chi_square", F.round("chi_square", 6))
+
+
 @query(
     "WITH s AS (SELECT "
     + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMERIC)

@@ -262,6 +262,39 @@ def test_alert_counts_absent_classes(spark):
     assert row["chi_square"] == pytest.approx(50.0) and row["alert"]
 
 
+def test_window_alerts_fire_once(spark, tmp_path):
+    """Verdicts come when the watermark passes a window, not again after a restart, and late
+    rows change nothing."""
+    from datetime import datetime, timedelta
+
+    from skewlens.streaming import alerts
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    day = datetime(2024, 1, 1)
+    schema = "ts timestamp, c string"
+
+    def give(rows):
+        spark.createDataFrame([(day + timedelta(hours=h), c) for h, c in rows], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(source)
+        found = alerts.window_alerts(stream, "ts", "c", "1 day", 3, watermark="1 hour")
+        with alerts.state_store(spark):
+            balance.write_rows(found, out, state).awaitTermination()
+        return sorted((r["window_start"].day, r["n_rows"], r["chi_square"], r["alert"]) for r in spark.read.schema(alerts.ALERT_SCHEMA).parquet(out).collect())
+
+    give([(1, "a")] * 30 + [(2, "b")] * 2 + [(20, None)])
+    assert run() == []  # the first day is open
+    give([(25, "a"), (26, "b"), (27, "c")])
+    first = (1, 32, pytest.approx((900 + 4) * 3 / 32 - 32), True)
+    assert run() == [first]
+    assert run() == [first]  # nothing new, nothing again
+    give([(3, "b")] * 50 + [(30, "a")])  # late rows of the first day
+    assert run() == [first]
+    give([(50, "a")])
+    assert run() == [first, (2, 4, pytest.approx((4 + 1 + 1) * 3 / 4 - 4), False)]
+
+
 def test_profile_of_generated_counts(spark):
     counts = profile.class_counts(
         spark.createDataFrame([(0,)], "label_idx int"), "label_idx", spark.createDataFrame([(0,), (1,)], "label_idx int")

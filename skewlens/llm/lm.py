@@ -8,8 +8,8 @@ are then normalised exactly, by products of whole batches with all word vectors.
 
 The most frequent words have vectors of their own. The rest share one vector for words of
 like endings, and split its probability by their smoothed counts in the training documents.
-Inside these classes a second level of vectors bends the split by the context: one for each
-frequent word, as many as the root of the training tokens, and one for the class's others.
+How many words and endings have vectors grows with the fourth root of the training tokens,
+so the model grows with the corpus.
 Counts of the more frequent words are broadcast up to a fixed size; the counts of all
 others are joined.
 """
@@ -28,13 +28,13 @@ from skewlens.functions.hashing import hash_uniform
 from skewlens.llm.words import Hasher, Index, Words, blocks, lookup, mapped, summed
 from skewlens.session import stage
 
-#: Words with vectors of their own; endings with vectors of their own; vectors for all other endings.
-HEAD, ENDINGS, OTHERS = 320, 128, 64
+#: Words with vectors of their own and endings with vectors of their own: a number each, and
+#: more by fourth roots of the training tokens.
+HEAD, ENDINGS = (320, 1.0), (128, 0.3)
+#: Vectors for all other endings: by the last letter, which its low six bits tell.
+OTHERS = 64
 #: Words whose counts are broadcast, 22 bytes each.
 KNOWN_WORDS = 300_000
-#: Words with a vector inside their class, in roots of the training tokens (known words at
-#: most); tokens of a step of their training, and tokens it goes over on small inputs.
-FINE, FINE_CHUNK, FINE_TOKENS = 1.0, 1 << 15, 3_000_000
 DIM, SPAN, NOISE, CHUNK = 16, 16, 64, 2048
 #: Tokens whose scores with all words are held at once: they fit the processor's cache.
 SCORED = 512
@@ -93,9 +93,6 @@ class Vocabulary:
     within: np.ndarray  # log10 of what a shared class divides by; 0 for words of their own
     tokens: int
     distinct: int
-    slots: np.ndarray  # vector of each known word inside its class; -1: none of its own
-    first_slot: np.ndarray  # by class, and their number; a class's last one is for all its other words
-    prior: np.ndarray  # log share of each slot in its class
 
     def __post_init__(self):
         self._index = None
@@ -137,12 +134,14 @@ def vocabulary(counts: DataFrame, known: int = KNOWN_WORDS) -> Vocabulary:
     words, ends, n = table["word"].to_numpy().view(np.uint64), table["ending"].to_numpy(), table["n"].to_numpy()
     order = np.argsort(words)
     words, ends, n = words[order], ends[order], n[order]
-    rank = np.lexsort((words, -n, words != END))[:HEAD]  # the end token always has its own vector
+    root = max(tokens, 1) ** 0.25
+    own, ranked = (more + math.ceil(k * root) for more, k in (HEAD, ENDINGS))
+    rank = np.lexsort((words, -n, words != END))[:own]  # the end token always has its own vector
     classes = np.full(len(words), -1, np.int16)
     classes[rank] = np.arange(len(rank))
     head = [int(x) for x in words[rank].view(np.int64)]
     tail = counts.where(~F.col("word").isin(head)) if head else counts
-    top = tail.groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(ENDINGS).collect()
+    top = tail.groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(ranked).collect()
     listed = np.array(sorted(r["ending"] for r in top), np.int32)
     first = len(rank)
     place = F.array_position(F.array(*[F.lit(int(e)) for e in listed]), F.col("ending")) if len(listed) else F.lit(0)
@@ -155,27 +154,8 @@ def vocabulary(counts: DataFrame, known: int = KNOWN_WORDS) -> Vocabulary:
     within = np.log10(count + 0.5 * (kinds + 1))
     within[: len(rank)] = 0
     share = (count + 0.5) / (count + 0.5).sum()
-    # the most frequent of the other words, put in order by class
-    other = np.flatnonzero(classes < 0)
-    other = other[np.lexsort((words[other], -n[other]))][: math.ceil(FINE * math.sqrt(tokens))]
-    at = lookup(listed, ends[other])
-    shared_class = np.where(at >= 0, first + at, first + len(listed) + ends[other] % OTHERS)
-    order = np.argsort(shared_class, kind="stable")
-    other, shared_class = other[order], shared_class[order]
-    held = np.bincount(shared_class, minlength=size)
-    first_slot = np.concatenate(([0], np.cumsum(held + (held > 0))))
-    slots = np.full(len(words), -1, np.int32)
-    before = np.concatenate(([0], np.cumsum(held)))[shared_class]
-    slots[other] = first_slot[shared_class] + np.arange(len(other)) - before
-    of_class = np.repeat(np.arange(size), np.diff(first_slot))
-    counted = np.zeros(len(of_class))
-    counted[slots[other]] = n[other] + 0.5
-    whole = 10 ** within
-    rest = np.flatnonzero(held)
-    counted[first_slot[rest + 1] - 1] = (whole - np.bincount(shared_class, n[other] + 0.5, size))[rest]
-    prior = np.log(np.maximum(counted, 0.25) / whole[of_class]).astype(np.float32)
     listed_class = first + np.arange(len(listed))
-    return Vocabulary(words, n, classes, listed, listed_class, share, within, tokens, distinct, slots, first_slot, prior)
+    return Vocabulary(words, n, classes, listed, listed_class, share, within, tokens, distinct)
 
 
 class Bilinear:
@@ -219,21 +199,24 @@ class Bilinear:
 
     def log10(self, y: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each token's class."""
-        q, out = self.predicted(y, at)[0], np.empty(len(y))
+        q = self.predicted(y, at)[0]
         q = np.hstack([q, np.ones((len(q), 1), np.float32)])
-        words = np.hstack([self.word, self.bias[:, None]]).T.copy()
-        ones = np.ones(len(self.share), np.float32)
-        held = np.empty((SCORED, len(ones)), np.float32)
+        words = np.hstack([self.word, self.bias[:, None]])
+        columns, ones = words.T.copy(), np.ones(len(self.share), np.float32)
+        held, total, tops = np.empty((SCORED, len(ones)), np.float32), np.empty(len(y), np.float32), np.zeros(len(y), np.float32)
+        # exp holds up to 88; no score is beyond the product of the longest vectors
+        longest = [float(np.einsum("ij,ij->i", v, v).max(initial=0)) for v in (q, words)]
+        safe = math.sqrt(longest[0] * longest[1]) < 80
         for k in range(0, len(y), SCORED):
             part = slice(k, k + SCORED)
-            scores = np.matmul(q[part], words, out=held[: len(y[part])])
-            own = scores[np.arange(len(scores)), y[part]].astype(np.float64)
-            top = max(0.0, float(scores.max()) - 60)  # exp holds up to 88
-            if top:
-                scores -= np.float32(top)
+            scores = np.matmul(q[part], columns, out=held[: len(y[part])])
+            if not safe:
+                tops[part] = scores.max(1)
+                scores -= tops[part, None]
             np.exp(scores, out=scores)
-            out[part] = own - top - np.log(np.maximum(scores @ ones, 1e-37).astype(np.float64))
-        return out / math.log(10)
+            np.matmul(scores, ones, out=total[part])
+        own = np.einsum("ij,ij->i", q, words[y]).astype(np.float64) - tops
+        return (own - np.log(np.maximum(total, 1e-37).astype(np.float64))) / math.log(10)
 
 
 class Trainer:
@@ -350,90 +333,11 @@ def _average(trained: DataFrame, size: int) -> np.ndarray | None:
     return flat
 
 
-def slots_of(vocab: Vocabulary, y: np.ndarray, at: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Slot of every token inside its class; -1 in classes that have none."""
-    last = vocab.first_slot[y + 1] - 1
-    slot = np.where(vocab.first_slot[y] <= last, last, -1)
-    if len(vocab.slots):
-        words = np.delete(np.arange(len(y)), first + counts)
-        own = np.where(at >= 0, vocab.slots[at], -1)
-        slot[words] = np.where(own >= 0, own, slot[words])
-    return slot
-
-
-def _classes(vocab: Vocabulary, fine: np.ndarray, q: np.ndarray, y: np.ndarray, slot: np.ndarray):
-    """``(first slot, end, tokens, q, scores, log of the sum)`` by class, a bounded part at a time."""
-    rows = np.flatnonzero(slot >= 0)
-    rows = rows[np.argsort(y[rows].astype(np.int16), kind="stable")]
-    cuts = np.flatnonzero(np.diff(y[rows])) + 1
-    for part in np.split(rows, cuts) if len(rows) else ():
-        a, b = vocab.first_slot[y[part[0]]], vocab.first_slot[y[part[0]] + 1]
-        step = max(1, (1 << 21) // int(b - a))
-        for k in range(0, len(part), step):
-            some = part[k : k + step]
-            inputs = np.hstack([q[some], np.ones((len(some), 1), np.float32)])
-            scores = inputs @ fine[a:b].T
-            z = scores + vocab.prior[a:b]
-            top = z.max(1)
-            yield a, b, some, inputs, scores, top + np.log(np.exp(z - top[:, None]).sum(1))
-
-
-def gains(vocab: Vocabulary, fine: np.ndarray, q: np.ndarray, y: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """log10 of what the context makes of each token's share in its class; shares sum to one."""
-    out = np.zeros(len(y))
-    for a, _, some, _, scores, total in _classes(vocab, fine, q, y, slot):
-        out[some] = scores[np.arange(len(some)), slot[some] - a] - total
-    return out / math.log(10)
-
-
-def _fine(training: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> np.ndarray:
-    """Vectors and biases of the slots, by AdaGrad on the exact slope: every task trains on its
-    own, and each class is averaged by its tokens."""
-    size, width = len(vocab.prior), DIM + 1
-    passes = int(max(1, min(8, FINE_TOKENS // max(vocab.tokens, 1))))
-    shared = training.sparkSession.sparkContext.broadcast((vocab.parts(), flat))
-
-    def train(batches):
-        parts, begun = shared.value
-        known = Vocabulary(*parts)
-        model, hasher = Bilinear(known.share, begun), Hasher(lower=True)
-        fine, seen = np.zeros((size, width), np.float32), np.full((size, width), 1e-4, np.float32)
-        n = np.zeros(size)
-        for batch in batches:
-            for _ in range(passes):
-                for words, _, at, y, place, first in sequences(batch.column(0), known, hasher):
-                    slot = slots_of(known, y, at, first, words.counts())
-                    q = model.predicted(y, place)[0]
-                    for k in range(0, len(y), FINE_CHUNK):
-                        cut = slice(k, k + FINE_CHUNK)
-                        for a, b, some, inputs, scores, total in _classes(known, fine, q[cut], y[cut], slot[cut]):
-                            p = np.exp(scores + known.prior[a:b] - total[:, None])
-                            p[np.arange(len(some)), slot[cut][some] - a] -= 1
-                            slope = p.T @ inputs / np.float32(len(some))
-                            seen[a:b] += slope * slope
-                            fine[a:b] -= np.float32(0.1) * slope / np.sqrt(seen[a:b])
-                            n[a:b] += len(some)
-        have = np.flatnonzero(n)
-        sums = fine[have].astype(np.float64) * n[have, None]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(have.astype(np.int32)), pa.array(n[have]), *[pa.array(sums[:, k]) for k in range(width)]],
-            names=["slot", "n", *[f"v{k}" for k in range(width)]],
-        )
-
-    ddl = ", ".join(["slot int", "n double", *[f"v{k} double" for k in range(width)]])
-    trained = training.select(F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(train, ddl)
-    mean = trained.groupBy("slot").agg(*[(F.sum(f"v{k}") / F.sum("n")).alias(f"v{k}") for k in range(width)]).toArrow()
-    fine = np.zeros((size, width), np.float32)
-    fine[mean["slot"].to_numpy()] = np.column_stack([mean[f"v{k}"].to_numpy() for k in range(width)])
-    return fine
-
-
 @dataclass
 class Fitted:
     counts: DataFrame
     vocab: Vocabulary
     flat: np.ndarray | None
-    fine: np.ndarray | None = None
 
 
 def fit(training: DataFrame, start_rows: int = START_ROWS, seed: int = 42) -> Fitted:
@@ -447,7 +351,7 @@ def fit(training: DataFrame, start_rows: int = START_ROWS, seed: int = 42) -> Fi
     begin = training.where(hash_uniform(seed, "lm", "doc_id") < min(1.0, start_rows / rows)).coalesce(1)
     start = _average(_trained(begin, vocab, None, 0.1, 4), size)
     flat = _average(_trained(training, vocab, start, 0.03, 1), size)
-    return Fitted(counts, vocab, flat, _fine(training, vocab, flat) if len(vocab.prior) else None)
+    return Fitted(counts, vocab, flat)
 
 
 def score(docs: DataFrame, fitted: Fitted, keep: list[str] | None = None) -> DataFrame:
@@ -458,11 +362,11 @@ def score(docs: DataFrame, fitted: Fitted, keep: list[str] | None = None) -> Dat
     training documents both scores are 0. Columns that clash with a result are replaced.
     """
     ddl = "n_tokens long, n_known long, base_score double, score double, rare array<long>"
-    shared = docs.sparkSession.sparkContext.broadcast((fitted.vocab.parts(), fitted.flat, fitted.fine))
+    shared = docs.sparkSession.sparkContext.broadcast((fitted.vocab.parts(), fitted.flat))
     tokens, distinct = fitted.vocab.tokens, fitted.vocab.distinct
 
     def make():
-        parts, flat, fine = shared.value
+        parts, flat = shared.value
         vocab = Vocabulary(*parts)
         model, hasher = Bilinear(vocab.share, flat), Hasher(lower=True)
         divisor = math.log10(vocab.tokens + 0.5 * (vocab.distinct + 1))
@@ -481,8 +385,6 @@ def score(docs: DataFrame, fitted: Fitted, keep: list[str] | None = None) -> Dat
                 word_class = y[np.delete(np.arange(len(y)), first + counts)]
                 split = summed(np.where(own, 0.0, logs[at] - vocab.within[word_class]), words.of)
                 log, bounds = model.log10(y, place), np.append(first, len(y))
-                if fine is not None:
-                    log += gains(vocab, fine, model.predicted(y, place)[0], y, slots_of(vocab, y, at, first, counts))
                 out[0].append(counts + 1)
                 out[1].append(summed((~rare).astype(np.int64), words.of) + (end_at >= 0))
                 out[2].append(base)

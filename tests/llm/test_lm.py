@@ -106,24 +106,67 @@ def test_odd_and_empty(odd_docs, no_docs, fitted):
     assert lm.score(no_docs, fitted).count() == 0
 
 
-def test_context_tells_words_of_a_class_apart(spark, monkeypatch):
-    """Two words of one ending and one count, each after a word of its own."""
-    monkeypatch.setattr(lm, "HEAD", 3)
-    rows = [(k, "ka fooing ka" if k % 2 else "lo baring lo") for k in range(2000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    fitted = lm.fit(docs)
-    asked = [(1, "ka fooing"), (2, "ka baring"), (3, "lo baring"), (4, "lo fooing")]
-    asked = spark.createDataFrame(asked, "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in lm.score(asked, fitted, ["doc_id"]).collect()}
-    assert got[1] > got[2] + 0.2 and got[3] > got[4] + 0.2
-
-
-def test_slots_sum_to_one_and_grow(fitted, documents):
+def test_model_grows_with_the_corpus(fitted, documents):
+    """Words and endings with vectors follow the training tokens."""
     vocab = fitted.vocab
-    assert len(vocab.prior) > math.sqrt(vocab.tokens) and (vocab.slots >= 0).sum() == math.ceil(math.sqrt(vocab.tokens))
-    q = np.random.default_rng(0).normal(size=(1, lm.DIM)).astype(np.float32)
-    for c in range(len(vocab.share)):
-        slots = np.arange(vocab.first_slot[c], vocab.first_slot[c + 1])
-        if len(slots):
-            gain = lm.gains(vocab, fitted.fine, np.repeat(q, len(slots), 0), np.full(len(slots), c), slots)
-            assert abs((np.exp(vocab.prior[slots]) * 10**gain).sum() - 1) < 1e-4
+    root = vocab.tokens ** 0.25
+    wanted = [least + math.ceil(k * root) for least, k in (lm.HEAD, lm.ENDINGS)]
+    assert (vocab.classes >= 0).sum() == wanted[0] and len(vocab.endings) == wanted[1]
+    assert len(vocab.share) == sum(wanted) + lm.OTHERS
+    less = lm.vocabulary(stage(lm.token_counts(documents.where("doc_id % 9 = 0"))))
+    assert len(less.share) < len(vocab.share)
+
+
+def test_large_scores_do_not_overflow(fitted):
+    vocab = fitted.vocab
+    model = lm.Bilinear(vocab.share, fitted.flat * 60)
+    y = np.random.default_rng(1).integers(0, len(vocab.share), 700)
+    at = np.arange(700)
+    q = model.predicted(y, at)[0].astype(float)
+    z = q @ model.word.T.astype(float) + model.bias
+    want = z[at, y] - z.max(1) - np.log(np.exp(z - z.max(1)[:, None]).sum(1))
+    assert np.abs(z).max() > 100
+    assert np.allclose(model.log10(y, at), want / math.log(10), rtol=1e-4, atol=1e-2)
+
+
+def plain_score(text, fitted):
+    """log10 probability of a text by a loop over its tokens, from the parameters alone."""
+    vocab, m = fitted.vocab, lm.Bilinear(fitted.vocab.share, fitted.flat)
+    counts = {int(r["word"]): r["n"] for r in fitted.counts.collect()}
+    hasher = lm.Hasher(lower=True)
+    total, history = 0.0, []
+    raw = [w.decode() for w in (text or "").encode().split()]
+    for token in [*raw, None]:
+        if token is None:
+            h, ending = lm.END, 0
+        else:
+            words = lm.Words(np.frombuffer(token.encode(), np.uint8), np.array([0, len(token.encode())]))
+            h, ending = hasher(words)[0], int(lm.endings(words)[0])
+        at = np.flatnonzero(vocab.words == h)
+        k = int(at[0]) if len(at) else -1
+        if k >= 0 and vocab.classes[k] >= 0:
+            c = int(vocab.classes[k])
+        elif ending in vocab.endings:
+            c = int(vocab.ending_class[list(vocab.endings).index(ending)])
+        else:
+            c = vocab.first_other() + ending % (len(vocab.share) - vocab.first_other())
+        begin = m.context[len(vocab.share)]
+        near = [m.context[history[-1 - j]] if len(history) > j else begin for j in (0, 1)]
+        recent = history[-lm.SPAN :]
+        mean = np.mean([m.context[x] for x in recent], axis=0) if recent else np.zeros(lm.DIM)
+        q = near[0] * m.mix[0] + near[1] * m.mix[1] + mean * m.mix[2]
+        scores = m.word.astype(float) @ q + m.bias
+        total += (scores[c] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()) / math.log(10)
+        if not (k >= 0 and vocab.classes[k] >= 0):
+            total += math.log10(counts.get(int(np.uint64(h).view(np.int64)), 0) + 0.5) - vocab.within[c]
+        history.append(c)
+    return total
+
+
+def test_scores_against_a_loop(spark, fitted, texts):
+    asked = {i: t for i, t in list(texts.items())[:40] if len(t) < 3000}
+    asked |= {-1: None, -2: "", -3: "  Zxqj zxqj \n The", -4: "unseenwordhere"}
+    docs = spark.createDataFrame(list(asked.items()), "doc_id long, text string")
+    for r in lm.score(docs, fitted, ["doc_id"]).collect():
+        want = plain_score(asked[r["doc_id"]], fitted)
+        assert abs(r["score"] - want) < 1e-4 * max(1, abs(want))

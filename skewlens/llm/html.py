@@ -43,6 +43,9 @@ MARKS = re.compile(
 AROUND = frozenset("has with no without wrapper layout container page site left right".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 
+#: Elements above a paragraph that get points from it; farther ones would get under 1/64.
+LEVELS = 64
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>|\Z)",
@@ -186,19 +189,19 @@ def main_text(html: str) -> str:
     size = len(tree.tag)
     points, chars, linked = [0.0] * size, [0] * size, [0] * size
     for place, text, in_links in tree.blocks:
-        at = place
-        while at >= 0:
-            chars[at] += len(text)
-            linked[at] += in_links
-            at = tree.parent[at]
+        chars[place] += len(text)
+        linked[place] += in_links
         if len(text) < 25:
             continue
         worth = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - in_links / len(text))
         own = tree.tag[place] in ("p", "pre", "td", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "figcaption")
         at, step = tree.parent[place] if own else place, 1
-        while at >= 0:
+        while at >= 0 and step <= LEVELS:
             points[at] += worth / step
             at, step = tree.parent[at], step + 1
+    for k in range(size - 1, 0, -1):  # elements come after their parents
+        chars[tree.parent[k]] += chars[k]
+        linked[tree.parent[k]] += linked[k]
     score = [p * (1 - l / c) if c else 0.0 for p, l, c in zip(points, linked, chars)]
     best = max(range(size), key=score.__getitem__)
     if score[best] > 0:
@@ -233,12 +236,21 @@ def main_text(html: str) -> str:
             inside[p] = found
         return found
 
+    listed: dict[int, bool] = {-1: False}
+
     def link_list(k: int) -> bool:
-        while k >= 0 and k not in kept:
+        path, found = [], False
+        while k not in listed and k not in kept:
+            path.append(k)
             if tree.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and linked[k] > 0.66 * chars[k]:
-                return True
+                found = True
+                break
             k = tree.parent[k]
-        return False
+        else:
+            found = k not in kept and listed[k]
+        for p in path:
+            listed[p] = found
+        return found
 
     return "\n".join(text for place, text, n in tree.blocks if is_in(place) and not (n and link_list(place)))
 

@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from skewlens.functions.hashing import hash_uniform
 from skewlens.llm.words import mapped
-from skewlens.session import bounded_rows, local_table
+from skewlens.session import local_table
 
 #: Slots of the hashed n-grams, as a power of two.
 SLOT_BITS = 15
 #: Labelled rows the regression is fitted on, in equal parts by language as far as they go.
 SAMPLE_ROWS = 4000
-#: Distinct language labels a model may have unless the caller allows more; each has a
-#: weight for every slot.
+#: Language labels a model learns unless the caller allows more: each has a weight for
+#: every slot.
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 
@@ -187,13 +187,16 @@ def fit(
     """A model of the non-null ``lang`` of rows with a text; None if there are none.
 
     At most about ``sample_rows`` rows are fitted, chosen by a hash of the doc_id in one
-    task; document frequencies are those of all rows.
+    task; document frequencies are those of all rows. Of more than ``max_languages`` labels
+    the most frequent are learned, of equal ones the first by name; rows of the others are
+    then taken for one of these.
     """
     spark = training.sparkSession
     training = training.where("text IS NOT NULL AND lang IS NOT NULL").select(
         "doc_id", "text", F.col("lang").cast("string").alias("lang")
     )
-    found = bounded_rows(training.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), max_languages, "languages")
+    counted = training.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not found:
         return None
     languages = sorted(r["lang"] for r in found)

@@ -49,21 +49,22 @@ def text_fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: the signed 64-bit fingerprint of every row's whole text.
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, carry..., fp)``: the signed 64-bit fingerprint of every row's whole text.
 
     A null or blank text has fingerprint 0; a text shorter than a shingle is one shingle.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("string").alias("text"))
+    names = ["doc_id", *carry, "fp"]
 
     def of_batches(batches):
         for batch in batches:
             fps = [text_fingerprint((t or "").encode(), shingle) for t in batch["text"].to_pylist()]
             fps = pa.array(np.array(fps, np.uint64).view(np.int64))
-            yield pa.record_batch([batch["doc_id"], fps], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), fps], names)
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return wanted.mapInArrow(of_batches, "doc_id long, fp long")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
+    return wanted.mapInArrow(of_batches, f"{ddl}, fp long")
 
 
 def correlated_groups(bits: np.ndarray, groups: int) -> list[list[int]]:
@@ -146,7 +147,8 @@ def _flips(group: list[int], radius: int) -> list[int]:
 
 
 def fingerprint_links(distinct: DataFrame, parts: list[tuple[list[int], int]], distance: int) -> DataFrame:
-    """``(a, b)`` ids of every pair of distinct fingerprints at most ``distance`` bits apart.
+    """``(x, y, a, b)``: every pair of distinct fingerprints at most ``distance`` bits apart,
+    with their ids.
 
     ``distinct`` is ``(fp, rep)`` with each fingerprint once. A pair is verified in the join
     and kept only at the first partition in which it agrees, so no pair comes twice and no
@@ -181,23 +183,19 @@ def fingerprint_links(distinct: DataFrame, parts: list[tuple[list[int], int]], d
     )
     for j, g, t in probed[:-1]:
         match &= (F.col("part") <= j) | (F.bit_count(differ.bitwiseAND(_lit(_mask(g)))) > t)
-    return left.join(right, match).select("a", "b")
+    return left.join(right, match).select("x", "y", "a", "b")
 
 
 def _lit(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs`` (columns doc_id, text).
-
-    component_id is the smallest doc_id reachable over links. Rows without a doc_id keep
-    their fingerprint and take the component of equal fingerprints, but link no others.
-    Repeated rows stay. Equal fingerprints are folded before anything is paired, so a group
-    of copies costs one row. An empty table gives an empty table.
-    """
-    spark = docs.sparkSession
-    prints = stage(fingerprints(docs, shingle), "fingerprints")
+def _classified(docs: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """``(doc_id, text_key, fp, cluster, component_id)`` of every row; ``cluster`` names the
+    component by a fingerprint, as two components may share their smallest doc_id. Links and components run over
+    fingerprints, so different texts under one doc_id do not link their groups."""
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_key"))
+    prints = stage(fingerprints(keyed, shingle, ["text_key"]), "fingerprints")
     distinct = stage(
         prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct-fp"
     )
@@ -206,11 +204,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     every = max(1, rows // PLAN_ROWS)
     looked = usable.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).limit(2 * PLAN_ROWS).select("fp").toArrow()
     parts = plan(looked["fp"].to_numpy().view(np.uint64), rows, distance)
-    linked = components(fingerprint_links(usable, parts, distance))
-    classes = distinct.join(linked, distinct["rep"] == linked["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
-    )
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    links = fingerprint_links(usable, parts, distance)
+    linked = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    least = distinct.join(linked, distinct["fp"] == linked["node"]).groupBy("component").agg(F.min("rep").alias("least"))
+    classes = distinct.join(linked, distinct["fp"] == linked["node"], "left").join(least, "component", "left")
+    classes = classes.select("fp", F.coalesce("component", "fp").alias("cluster"), F.coalesce("least", "rep").alias("component_id"))
+    return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "cluster", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row of ``docs`` (columns doc_id, text).
+
+    component_id is the smallest doc_id reachable over links. Rows without a doc_id keep
+    their fingerprint and take the component of equal fingerprints, but link no others.
+    Repeated rows stay; different texts under one doc_id are rows of their own. Equal
+    fingerprints are folded before anything is paired, so a group of copies costs one row.
+    An empty table gives an empty table.
+    """
+    return _classified(docs, shingle, distance).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp") -> Column:
@@ -218,19 +229,31 @@ def hex_digits(fp: str = "fp") -> Column:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """Rows of ``docs`` with one document of each near-duplicate group: the smallest doc_id.
+    """Rows of ``docs`` with one document of each near-duplicate group: the smallest doc_id,
+    and where that has several texts of the group, one of them.
 
-    Rows without a doc_id stay. Of rows that repeat a kept doc_id one stays. The ids to drop
-    are broadcast up to ``BROADCAST_IDS`` of them and joined beyond, so the texts are
-    shuffled only where there are too many.
+    Rows without a doc_id stay. Of rows that repeat a kept one exactly one stays; another text
+    under a kept doc_id stays if its own group keeps it. What goes is told by doc_id and a
+    hash of the text, broadcast up to ``BROADCAST_IDS`` of them and joined beyond, so the
+    texts are shuffled only where there are too many.
     """
-    found = near_duplicates(docs, shingle, distance).where("doc_id IS NOT NULL")
-    ids = found.groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("_keep"), F.count(F.lit(1)).alias("_n")
+    found = _classified(docs, shingle, distance).where("doc_id IS NOT NULL")
+    texts = stage(
+        found.groupBy("doc_id", "text_key", "fp", "cluster", "component_id").agg(F.count(F.lit(1)).alias("_n")), "texts"
     )
-    ids = stage(ids.where("NOT _keep OR _n > 1").withColumnRenamed("doc_id", "_id"), "odd-ids")
-    at = docs["doc_id"].cast("long") == ids["_id"]
+    name = F.struct("doc_id", "fp", "text_key")
+    keepers = texts.where(F.col("doc_id") == F.col("component_id")).groupBy("cluster").agg(F.min(name).alias("_k"))
+    ids = texts.join(keepers, "cluster", "left").withColumn("_keep", F.coalesce(name == F.col("_k"), F.lit(False)))
+    ids = ids.where("NOT _keep OR _n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_keep")
+    ids = stage(ids, "odd-texts")
+    own = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    at = lambda odd: (own[0] == odd["_id"]) & (own[1] == odd["_key"])
     small = ids.count() <= BROADCAST_IDS
-    rest = docs.join(F.broadcast(ids) if small else ids, at, "left_anti")
+    rest = docs.join(F.broadcast(ids) if small else ids, at(ids), "left_anti")
     repeated = ids.where("_keep")
-    return rest.unionByName(docs.join(repeated, at, "left_semi").dropDuplicates(["doc_id"]))
+    again = docs.join(repeated, at(repeated), "left_semi")
+    place = "_text"
+    while place in docs.columns:
+        place += "_"
+    again = again.withColumn(place, F.struct(*[c.alias(n) for c, n in zip(own, ("doc_id", "text_key"))]))
+    return rest.unionByName(again.dropDuplicates([place]).drop(place))

@@ -66,3 +66,16 @@ def test_odd_and_empty(spark):
     rows = extract(pages).collect()
     assert [(r["text"], r["n_chars"]) for r in rows] == [("", 0)] * 3
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_never_closed_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<html><body>" + "".join(f"<div><p>Paragraph {i}, with some words, and commas.<a href='#'>x</a>" for i in range(n))
+        start = time.perf_counter()
+        assert f"Paragraph {n - 1}," in main_text(page)
+        return time.perf_counter() - start
+
+    small = seconds(2000)
+    assert seconds(16_000) < 8 * 3 * max(small, 0.02)

@@ -52,3 +52,14 @@ def test_odd_and_empty(odd_docs, no_docs, make_docs):
     assert langid.fit(no_docs) is None and langid.fit(odd_docs.where("lang IS NULL")) is None
     assert {r["lang_pred"] for r in langid.identify(odd_docs, None).collect()} == {"und"}
     assert langid.identify(no_docs, model).count() == 0
+
+
+def test_many_labels(spark):
+    """Beyond the bound the most frequent labels are learned, and nothing fails."""
+    rows = [(i, f"some words number {i % 3} und mehr davon", "en" if i % 2 else "de") for i in range(60)]
+    rows += [(100 + i, f"rare words {i}", f"x{i:04d}") for i in range(1100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample_rows=400, bits=8, max_languages=20)
+    assert len(model.languages) == 20 and {"de", "en", "x0000"} <= set(model.languages)
+    found = langid.identify(df, model, ["doc_id"])
+    assert found.count() == len(rows) and {r["lang_pred"] for r in found.collect()} <= set(model.languages)

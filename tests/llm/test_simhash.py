@@ -119,3 +119,16 @@ def test_a_large_group_of_copies(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("the same words in every text of it").alias("text"))
     got = simhash.near_duplicates(docs).groupBy("component_id").count().collect()
     assert [(r["component_id"], r["count"]) for r in got] == [(0, 3000)]
+
+
+def test_texts_under_one_id_are_kept_apart(spark):
+    """A repeated id neither joins the groups of its texts nor loses one of them."""
+    a = "the first text has quite a few words of its own and no others"
+    b = "something else entirely is written here by another hand altogether today"
+    rows = [(1, a), (1, b), (2, b), (3, a), (1, a), (None, a), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS _text", "1 AS fp")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect()), key=str)
+    assert sorted([x for x in kept if x[0] != 4], key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
+    assert len([x for x in kept if x[0] == 4]) == 1
+    classes = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    assert classes == {(1, 1), (2, 1), (3, 1), (None, 1), (4, 4)}

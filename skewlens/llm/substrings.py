@@ -5,7 +5,9 @@ phrase with the smallest hash in it, so equal windows share their anchor whereve
 stand. Phrases met in several documents are confirmed as text and compiled into
 Aho-Corasick automata, sharded by the first document that holds them; the documents that
 share a phrase stream through the automata of its shard, which locate every occurrence.
-Windows around located phrases are then compared whole, by their anchor and a second hash.
+Windows around located phrases are then compared whole, by their anchor and a second hash:
+first among the documents of one stream, so that of each window only a stream's earliest
+document is left to be compared with those of other streams.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ SHARD_PHRASES = 4000
 #: Bytes of text that stream through one copy of an automaton.
 STREAM_BYTES = 16 << 20
 _TOP = np.uint64(2**64 - 1)
+_FOUND = ["anchor", "hash", "covered", "doc_id", "text_key", "at"]
+_NOTHING = pa.schema(list(zip(_FOUND, [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32())])))
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -116,11 +120,31 @@ def _phrases(owners: DataFrame, phrase: int) -> DataFrame:
     return owners.select("shard", "owned", "text").mapInArrow(cut, "shard long, phrase string").distinct()
 
 
+def _settled(anchor, hashes, doc_id, text_key, at) -> pa.Table:
+    """Windows of one stream by what is known of them.
+
+    A window that a smaller doc_id of the stream holds too is covered: one row a document,
+    without anchor, lists these. Of the others one row a window and document is left.
+    """
+    order = np.lexsort((at, text_key, doc_id, hashes, anchor))
+    anchor, hashes, doc_id, text_key, at = (x[order] for x in (anchor, hashes, doc_id, text_key, at))
+    new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (hashes[1:] != hashes[:-1]))))
+    least = np.repeat(doc_id[new], np.diff(np.append(new, len(at))))  # sorted: the first is the smallest
+    open_ = doc_id == least
+    later = np.flatnonzero(~open_)
+    later = later[np.lexsort((at[later], text_key[later], doc_id[later]))]
+    rows = np.concatenate((np.flatnonzero(open_), later))
+    covered = np.arange(len(rows)) >= len(rows) - len(later)
+    keys = [np.where(covered, 0, anchor[rows]), np.where(covered, 0, hashes[rows]), covered, doc_id[rows], text_key[rows]]
+    starts = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(at[rows], pa.int32()))
+    return pa.Table.from_arrays([*(pa.array(k[starts]) for k in keys), lists], names=_FOUND)
+
+
 def _locate(window: int, phrase: int):
     """Task: stream documents through one automaton; rows are the windows around what it finds."""
 
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-        names = ["anchor", "hash", "doc_id", "text_key", "at"]
         parts = []
         listed = phrases["phrase"].to_pylist()
         if listed and docs.num_rows:
@@ -155,11 +179,9 @@ def _locate(window: int, phrase: int):
                         found.astype(np.int32),
                     )
                 )
-        kinds = [np.int64, np.int64, np.int64, np.int64, np.int32]
-        arrays = [
-            pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)) for k, kind in enumerate(kinds)
-        ]
-        return pa.Table.from_arrays(arrays, names=names)
+        if not sum(len(p[4]) for p in parts):
+            return _NOTHING.empty_table()
+        return _settled(*(np.concatenate([p[k] for p in parts]) for k in range(5)))
 
     return run
 
@@ -177,10 +199,22 @@ def _windows(routed: DataFrame, window: int, phrase: int) -> DataFrame:
     return (
         dealt.groupBy("shard", "copy")
         .cogroup(compiled.groupBy("shard", "copy"))
-        .applyInArrow(_locate(window, phrase), "anchor long, hash long, doc_id long, text_key long, at int")
+        .applyInArrow(
+            _locate(window, phrase),
+            "anchor long, hash long, covered boolean, doc_id long, text_key long, at array<int>",
+        )
     )
 
 
+def _sharded(shared: DataFrame, shards: int) -> DataFrame:
+    """``(anchor, first, shard)``: phrases of one first document stay together, in as many
+    shards as their number asks for."""
+    crowded = shared.groupBy("first").agg(F.ceil(F.count("*") / SHARD_PHRASES).cast("long").alias("pieces"))
+    piece = F.pmod("anchor", F.coalesce("pieces", F.lit(1).cast("long")))
+    shard = F.pmod(F.xxhash64("first", piece), F.lit(shards)).cast("long")
+    return shared.join(crowded.where("pieces > 1"), "first", "left").select("anchor", "first", shard.alias("shard"))
+
+
 def _spans(window: int) -> Column:
     """Merged word spans ``[from, to)`` of sorted window starts."""
     starts = F.col("starts")
@@ -216,17 +250,20 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = stage(shared.where("first < last").select("anchor", "first"), "shared-phrases")
     shards = max(1, -(-shared.count() // SHARD_PHRASES))
-    met = anchors.join(shared, "anchor").withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)))
+    met = anchors.join(_sharded(shared, shards), "anchor")
     routes = met.groupBy("doc_id", "text_key", "shard").agg(
         F.collect_set(F.when(own, F.col("anchor"))).alias("owned")
     )
     routed = routes.join(keyed, ["doc_id", "text_key"])
     routed = stage(routed.select("shard", "doc_id", "text_key", "owned", F.octet_length("text").alias("size"), "text"), "routed")
     windows = stage(_windows(routed, window, phrase), "windows")
-    repeated = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    left = windows.where("NOT covered")
+    repeated = left.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     repeated = repeated.where("first < last").select("anchor", "hash", "first")
-    covered = windows.join(repeated, ["anchor", "hash"]).where(F.col("doc_id") > F.col("first"))
-    covered = covered.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    across = left.join(repeated, ["anchor", "hash"]).where(F.col("doc_id") > F.col("first"))
+    covered = windows.where("covered").select("doc_id", "text_key", "at")
+    covered = covered.unionByName(across.select("doc_id", "text_key", "at")).groupBy("doc_id", "text_key")
+    covered = covered.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("at")))).alias("starts"))
     covered = covered.select("doc_id", "text_key", _spans(window).alias("found"))
     whole = F.when(
         (F.col("doc_id") > F.col("first")), F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skewlens.llm import substrings
@@ -54,6 +55,35 @@ def test_small_shards_and_streams_agree(documents, monkeypatch):
     assert spans(substrings.find_repeats(documents)) == whole
 
 
+def test_a_stream_settles_its_own_windows():
+    """Of every window only the rows of a stream's smallest doc_id are left to be compared."""
+    r = np.random.default_rng(3)
+    anchor, doc, at = (r.integers(0, n, 4000) for n in (15, 300, 9))
+    held = list({(int(a), int(a) % 4, int(d), int(d) * 7, int(p)) for a, d, p in zip(anchor, doc, at)})
+    columns = [np.array(c, np.int32 if k == 4 else np.int64) for k, c in enumerate(zip(*held))]
+    found = substrings._settled(*columns).to_pylist()
+    least = {}
+    for a, h, d, _, _ in held:
+        least[a, h] = min(d, least.get((a, h), d))
+    covered, left = {}, {}
+    for a, h, d, t, p in held:
+        known = d > least[a, h]
+        rows = covered if known else left
+        rows.setdefault((0, 0, True, d, t) if known else (a, h, False, d, t), []).append(p)
+    want = {k: sorted(v) for k, v in {**covered, **left}.items()}
+    assert {tuple(x[c] for c in substrings._FOUND[:5]): x["at"] for x in found} == want
+    assert len(found) == len(want)
+
+
+def test_phrases_of_one_document_are_split(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_PHRASES", 50)
+    rows = [(k, 1) for k in range(900)] + [(k, 2 + k) for k in range(900, 1000)]
+    shared = spark.createDataFrame(rows, "anchor long, first long")
+    of = substrings._sharded(shared, 20)
+    assert of.select("anchor", "first").distinct().count() == 1000 == of.count()
+    assert of.where("first = 1").groupBy("shard").count().agg(F.max("count")).head()[0] < 450
+
+
 def test_kept_text(documents, texts):
     found = substrings.find_repeats(documents)
     gone = brute(texts, 50)

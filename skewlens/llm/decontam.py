@@ -4,13 +4,16 @@ Passages are described by TF-IDF over the words of the benchmark. A randomised S
 passages, those of the benchmark weighted up to the rest, gives a latent space; windows of
 the documents are compared with benchmark passages by cosine in it, and close pairs are
 checked by their longest common subsequence and by the words of the passage's answer, its
-last sentence. Texts are read once: what follows works on the places of benchmark words.
+last sentence. Short passages are compared with windows of their own length, so that they
+are found where many stand side by side; those of a few words are looked up as they are.
+Texts are read once: what follows works on the places of benchmark words.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +26,19 @@ from skewlens.session import stage
 
 #: Words of a passage; windows of the search are two passages long and one apart.
 PASSAGE = 32
+#: Passages of the search for parts of no more words than that.
+SHORT = (8, 16)
 #: Longest part of a benchmark item that is compared as a whole.
 PART = 64
-#: Items with fewer words are not looked for.
+#: Items with fewer words are looked up word for word.
 MIN_WORDS = 5
 #: Benchmark parts that share one latent space, and directions beyond one for each.
 PARTS, EXTRA = 256, 24
+#: Latent spaces served by one read of the texts: their words, 8 bytes each, are broadcast.
+SPACES = 256
 #: Terms in a larger share of the passages have no weight in the latent space. Copies of an
-#: item count too, so parts that keep less than KEPT of their energy are looked for by their
-#: words as well.
+#: item count too, so parts that would keep less than KEPT of their energy get terms back,
+#: the rarest first, and are looked for by their words as well.
 MAX_SHARE, KEPT = 0.001, 0.5
 #: Least cosine of a candidate. A window's length is taken before it is projected: what it
 #: holds beyond the benchmark's directions counts against it.
@@ -47,12 +54,13 @@ STRETCH = 2
 @dataclass
 class Benchmark:
     """Parts of the items: item ids, word numbers, and the numbers of the answer's words (None
-    for parts before the last, which do not hold it)."""
+    for parts before the last, which do not hold it). ``brief``: items of under MIN_WORDS words."""
 
     items: list[int]
     parts: list[np.ndarray]
     answers: list[np.ndarray | None]
     vocabulary: np.ndarray  # sorted hashes; a word's number is its position
+    brief: list[tuple[int, np.ndarray]] = field(default_factory=list)
 
 
 def _hashes(text: str, hasher: Hasher) -> np.ndarray:
@@ -62,21 +70,25 @@ def _hashes(text: str, hasher: Hasher) -> np.ndarray:
 
 def read_benchmark(rows: list) -> Benchmark:
     hasher = Hasher(between=punctuation_bytes())
-    items, texts, answers = [], [], []
+    items, texts, answers, brief = [], [], [], []
     for item_id, text in rows:
         words = _hashes(text, hasher)
         sentences = [s for s in re.split(r"[.!?\n]+", text) if s.strip()]
         answer = _hashes(sentences[-1], hasher) if sentences else words[:0]
+        if 0 < len(words) < MIN_WORDS:
+            brief.append((item_id, words))
+            continue
         count = max(1, len(words) // PART)
         for k, part in enumerate(np.array_split(words, count)):
             if len(part) >= MIN_WORDS:
                 items.append(item_id)
                 texts.append(part)
                 answers.append(answer if k == count - 1 else None)
-    vocabulary = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint64)
+    held = texts + [words for _, words in brief]
+    vocabulary = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
     number = lambda words: lookup(vocabulary, words)
     known = [a if a is None else (n := number(a))[n >= 0] for a in answers]
-    return Benchmark(items, [number(t) for t in texts], known, vocabulary)
+    return Benchmark(items, [number(t) for t in texts], known, vocabulary, [(i, number(w)) for i, w in brief])
 
 
 def benchmark_words(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -110,19 +122,37 @@ def benchmark_words(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return mapped(keyed, ["doc_id", "text_key"], "n_words long, at array<int>, word array<int>", make)
 
 
+def narrowed(found: DataFrame, vocabulary: np.ndarray, part: np.ndarray) -> DataFrame:
+    """The rows of ``benchmark_words(docs, vocabulary)`` with the words of ``part`` alone, in its numbers."""
+    numbers = np.full(len(vocabulary), -1, np.int32)
+    numbers[lookup(vocabulary, part)] = np.arange(len(part))
+    shared = found.sparkSession.sparkContext.broadcast(numbers)
+
+    def run(batches):
+        for batch in batches:
+            places, first = _lists(batch.column(3))
+            own = shared.value[_lists(batch.column(4))[0]]
+            hits = np.flatnonzero(own >= 0)
+            offsets = pa.array(np.searchsorted(hits, first).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[hits])) for x in (places, own)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=batch.schema.names)
+
+    return found.select("doc_id", "text_key", "n_words", "at", "word").mapInArrow(run, found.schema)
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and where each row's begin."""
     offsets = column.offsets.to_numpy()
     return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _entries(n_words: pa.Array, at: pa.Array, word: pa.Array, size: int):
+def _entries(n_words: pa.Array, at: pa.Array, word: pa.Array, size: int, length: int = PASSAGE):
     """Distinct ``(passage, word)`` with counts; ``of``: first passage of each row, and their number."""
     places, first = _lists(at)
     numbers, _ = _lists(word)
-    passages = -(-n_words.to_numpy() // PASSAGE)
+    passages = -(-n_words.to_numpy() // length)
     of = np.concatenate(([0], np.cumsum(passages)))
-    passage = np.repeat(of[:-1], np.diff(first)) + places // PASSAGE
+    passage = np.repeat(of[:-1], np.diff(first)) + places // length
     keys, count = np.unique(passage * np.int64(size) + numbers, return_counts=True)
     return keys // size, keys % size, count, of
 
@@ -261,6 +291,36 @@ def by_words(parts: list[np.ndarray], idf: np.ndarray, full: np.ndarray) -> np.n
     return np.array([k for k, p in enumerate(parts) if energy(idf, p) < KEPT * energy(full, p)], np.int64)
 
 
+def restored(parts: list[np.ndarray], idf: np.ndarray, full: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """``idf`` with the weights of ``plain`` parts' rarest terms back, until each part has KEPT of its energy."""
+    idf = idf.copy()
+    for p in plain.tolist():
+        words, times = np.unique(parts[p], return_counts=True)
+        energy = (times * full[words].astype(np.float64)) ** 2
+        order = np.argsort(-full[words], kind="stable")
+        enough = int(np.searchsorted(np.cumsum(energy[order]), KEPT * energy.sum())) + 1
+        back = words[order[:enough]]
+        idf[back] = full[back]
+    return idf
+
+
+def _brief(places: np.ndarray, numbers: np.ndarray, first: np.ndarray, wanted: list[tuple[int, np.ndarray]]):
+    """``(row, item)`` of the wanted word sequences that stand in a row's text, each once."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for n in sorted({len(words) for _, words in wanted}):
+        ends = len(numbers) - n + 1
+        if ends <= 0:
+            continue
+        whole = (places[n - 1 :] - places[:ends] == n - 1) & (row[n - 1 :] == row[:ends])
+        for item, words in wanted:
+            if len(words) == n:
+                here = whole.copy()
+                for k, w in enumerate(words.tolist()):
+                    here &= numbers[k : k + ends] == w
+                for d in np.unique(row[:ends][here]).tolist():
+                    yield d, item
+
+
 def _sharing(passage, numbers, count, of, held: np.ndarray, least: np.ndarray):
     """``(first passage, part)`` of every run of four passages of a document that holds at least
     ``least`` words of a part, in any order. ``held``: word x part, how often. Nothing that
@@ -284,24 +344,54 @@ def _sharing(passage, numbers, count, of, held: np.ndarray, least: np.ndarray):
 
 
 def _stretches(places: np.ndarray, numbers: np.ndarray, begin: int, words: int):
-    """Words of the 128 from ``begin``, in stretches of STRETCH times ``words``, half of ``words`` apart."""
+    """Words of the four passages from ``begin``, in stretches of STRETCH times ``words``, half of ``words`` apart."""
     end = begin + 4 * PASSAGE
     for at in range(begin, max(begin + 1, end - words), max(1, words // 2)):
         a, b = np.searchsorted(places, [at, min(end, at + STRETCH * words)])
         yield numbers[a:b]
 
 
+def _near(passage, numbers, count, of, weights, vectors, wanted, length: int):
+    """``(row, first word, part, cosine)`` of windows, with a passage before and behind, near a wanted vector."""
+    use = weights[numbers] > 0
+    passage, numbers = passage[use], numbers[use]
+    values = (count[use] * weights[numbers]).astype(np.float32)
+    have, rows = _rows(numbers, values, passage, vectors)
+    # a window is a passage and the next one of the same document
+    doc = np.searchsorted(of, have, "right") - 1
+    follows = np.flatnonzero((np.diff(have) == 1) & (doc[1:] == doc[:-1])) if len(have) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1]))) if len(passage) else follows
+    square = np.add.reduceat(values * values, starts) if len(passage) else np.zeros(0)
+    windows = rows.copy()
+    windows[follows] += rows[follows + 1]
+    norms = square.copy()
+    norms[follows] += square[follows + 1]
+    for k in range(0, len(have), 8192):
+        cosine = windows[k : k + 8192] @ wanted.T / np.maximum(np.sqrt(norms[k : k + 8192]), 1e-9)[:, None]
+        for w, p in zip(*np.nonzero(cosine >= COSINE)):
+            d = int(doc[k + w])
+            yield d, (int(have[k + w]) - int(of[d]) - 1) * length, p, float(cosine[w, p])
+
+
 def _search(
     found: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, latent: np.ndarray, frequent: np.ndarray
 ) -> DataFrame:
     """``frequent``: the parts that are also looked for by their words."""
     size = len(idf)
     shared = found.sparkSession.sparkContext.broadcast(
-        (bench.items, bench.parts, bench.answers, idf, basis, latent, frequent)
+        (bench.items, bench.parts, bench.answers, idf, basis, latent, frequent, bench.brief)
     )
+    sizes = np.array([len(p) for p in bench.parts])
+    scales, least_words = [], 0
+    for length in (*SHORT, PASSAGE):
+        chosen = np.flatnonzero((sizes > least_words) & ((sizes <= length) | (length == PASSAGE)))
+        if len(chosen):
+            scales.append((length, chosen))
+        least_words = length
+    smallest = min((length for length, _ in scales), default=PASSAGE)
 
     def search(batches):
-        items, parts, answers, weights, vectors, wanted, plain = shared.value
+        items, parts, answers, weights, vectors, wanted, plain, brief = shared.value
         held = np.zeros((size, len(plain)), np.float32)
         for k, p in enumerate(plain.tolist()):
             np.add.at(held[:, k], parts[p], 1)
@@ -316,7 +406,7 @@ def _search(
             answer = float(np.isin(answers[p], there).mean()) if len(answers[p]) else 1.0
             return (share, answer) if share >= COMMON_ALONE or answer >= ANSWER else None
 
-        for batch in _pieces(batches, 2):
+        for batch in _pieces(batches, 2, (1 << 14) * smallest // PASSAGE):
             n_words, at, word = batch.column(2), batch.column(3), batch.column(4)
             passage, numbers, count, of = _entries(n_words, at, word, size)
             places, first = _lists(at)
@@ -336,30 +426,18 @@ def _search(
                 for there in _stretches(places[own], all_words[own], begin, len(parts[p])):
                     if verdict := judged(p, there):
                         note(d, p, *verdict, 0.0)
-            use = weights[numbers] > 0
-            passage, numbers = passage[use], numbers[use]
-            values = (count[use] * weights[numbers]).astype(np.float32)
-            have, rows = _rows(numbers, values, passage, vectors)
-            # a window is a passage and the next one of the same document
-            doc = np.searchsorted(of, have, "right") - 1
-            follows = np.flatnonzero((np.diff(have) == 1) & (doc[1:] == doc[:-1])) if len(have) else np.zeros(0, np.int64)
-            starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1]))) if len(passage) else follows
-            square = np.add.reduceat(values * values, starts) if len(passage) else np.zeros(0)
-            windows = rows.copy()
-            windows[follows] += rows[follows + 1]
-            length = square.copy()
-            length[follows] += square[follows + 1]
-            for k in range(0, len(have), 8192):
-                part, norm = windows[k : k + 8192], np.sqrt(length[k : k + 8192])
-                cosine = part @ wanted.T / np.maximum(norm, 1e-9)[:, None]
-                for w, p in zip(*np.nonzero(cosine >= COSINE)):
-                    d = int(doc[k + w])
-                    begin = (int(have[k + w]) - int(of[d]) - 1) * PASSAGE
-                    own = places[first[d] : first[d + 1]]
-                    a, b = np.searchsorted(own, [begin, begin + 4 * PASSAGE])
-                    there = all_words[first[d] + a : first[d] + b]
-                    if verdict := judged(p, there):
-                        note(d, p, *verdict, float(cosine[w, p]))
+            for d, item in _brief(places, all_words, first, brief):
+                best[d, item] = [1.0, 1.0, 0.0]
+            for length, chosen in scales:
+                of_scale = (passage, numbers, count, of)
+                if length != PASSAGE:
+                    of_scale = _entries(n_words, at, word, size, length)
+                for d, begin, p, cosine in _near(*of_scale, weights, vectors, wanted[chosen], length):
+                    own = slice(first[d], first[d + 1])
+                    a, b = np.searchsorted(places[own], [begin, begin + 4 * length])
+                    p = int(chosen[p])
+                    if verdict := judged(p, all_words[own][a:b]):
+                        note(d, p, *verdict, cosine)
             rows_of = pa.array([d for d, _ in best], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -381,22 +459,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``common`` is the share of the item's words found in order, ``answer`` the share of its
     answer's words, ``cosine`` that of the latent vectors, each the best over windows and
-    parts of the item; it is 0 where the words alone were looked for. ``text_key`` is a hash of the text. Null texts hold nothing; items
-    that are null or have under 5 words are not looked for; repeated rows are found
-    alike. The benchmark is read in parts of a fixed number, whatever its size.
+    parts of the item; it is 0 where the words alone were looked for. ``text_key`` is a hash
+    of the text. Null texts hold nothing; items that are null or have no word are not looked
+    for, items of under 5 words are found word for word, their words side by side; repeated
+    rows are found alike. The texts are read once for every SPACES latent spaces of the
+    benchmark, and the benchmark itself in bounded parts, whatever its size.
     """
     spark = docs.sparkSession
     wanted = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL")
     wanted = wanted.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     length = F.greatest(F.lit(1), F.regexp_count("text", F.lit(r"\S+")) / PART)
     slots = wanted.agg(F.sum(F.ceil(length))).head()[0] or 0
-    blocks_wanted = max(1, -(-int(slots) // PARTS))
+    spaces = max(1, -(-int(slots) // PARTS))
+    wanted = wanted.withColumn("space", F.pmod(F.xxhash64("item_id"), F.lit(spaces)))
     leaks = None
-    for k in range(blocks_wanted):
-        chosen = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks_wanted)) == k) if blocks_wanted > 1 else wanted
-        bench = read_benchmark([(r["item_id"], r["text"]) for r in chosen.orderBy("item_id", "text").toLocalIterator()])
-        if bench.items:
-            part = stage(_leaks_of(docs, bench), "leaks")
+    for begin in range(0, spaces, SPACES):
+        rows = wanted.where(F.col("space").between(begin, begin + SPACES - 1)).orderBy("space", "item_id", "text")
+        of_space = itertools.groupby(rows.toLocalIterator(), lambda r: r["space"])
+        read = [read_benchmark([(r["item_id"], r["text"]) for r in group]) for _, group in of_space]
+        read = [bench for bench in read if len(bench.vocabulary)]
+        if not read:
+            continue
+        vocabulary = np.unique(np.concatenate([bench.vocabulary for bench in read]))
+        found = stage(benchmark_words(docs, vocabulary), "benchmark-words")
+        for bench in read:
+            own = found if len(read) == 1 else narrowed(found, vocabulary, bench.vocabulary)
+            part = stage(_leaks_of(own, bench), "leaks")
             leaks = part if leaks is None else leaks.unionByName(part)
     if leaks is None:
         ddl = "doc_id long, text_key long, item_id long, common double, answer double, cosine double"
@@ -404,12 +492,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return leaks
 
 
-def _leaks_of(docs: DataFrame, bench: Benchmark) -> DataFrame:
-    found = stage(benchmark_words(docs, bench.vocabulary), "benchmark-words")
-    df, passages = passage_frequencies(found, len(bench.vocabulary))
+def _leaks_of(found: DataFrame, bench: Benchmark) -> DataFrame:
+    size = len(bench.vocabulary)
+    df, passages = passage_frequencies(found, size)
     full = np.log1p(passages / np.maximum(df, 1)).astype(np.float32)
     idf = np.where(df > max(MAX_SHARE * passages, 50), np.float32(0), full)
-    rows = np.zeros((len(bench.parts), len(idf)))
+    plain = by_words(bench.parts, idf, full)
+    idf = restored(bench.parts, idf, full, plain)
+    if not bench.parts:
+        none = np.zeros((0, 1), np.float32)
+        return _search(found, bench, idf, np.zeros((size, 1), np.float32), none, plain)
+    rows = np.zeros((len(bench.parts), size))
     for k, part in enumerate(bench.parts):
         np.add.at(rows[k], part, idf[part])
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -418,7 +511,7 @@ def _leaks_of(docs: DataFrame, bench: Benchmark) -> DataFrame:
     latent = rows @ basis
     norm = np.linalg.norm(latent, axis=1, keepdims=True)
     latent = np.divide(latent, norm, out=latent, where=norm > 0).astype(np.float32)
-    return _search(found, bench, idf, basis, latent, by_words(bench.parts, idf, full))
+    return _search(found, bench, idf, basis, latent, plain)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -79,6 +79,8 @@ def test_blocks_of_the_benchmark_agree(documents, bench, monkeypatch):
     monkeypatch.setattr(decontam, "PARTS", 8)
     parts = decontam.find_leaks(documents, bench).select(*columns).collect()
     assert sorted(whole) == sorted(parts)
+    monkeypatch.setattr(decontam, "SPACES", 3)  # several reads of the texts
+    assert sorted(whole) == sorted(decontam.find_leaks(documents, bench).select(*columns).collect())
 
 
 def test_odd_and_empty(odd_docs, no_docs, bench, spark):
@@ -131,3 +133,45 @@ def test_half_of_a_part_without_the_answer_is_no_leak(spark):
     most = " ".join([*words[:30], "other", *words[32:60]])
     docs = spark.createDataFrame([(1, half), (2, most)], "doc_id long, text string")
     assert {x["doc_id"] for x in decontam.find_leaks(docs, bench).collect()} == {2}
+
+
+@pytest.mark.parametrize("words", [5, 6, 9, 14])
+def test_short_items_side_by_side(spark, words):
+    """Twelve short items in one document, back to back: every one is found, and none where it is not."""
+    r = random.Random(words)
+    items = {i: [f"i{i}w{k}" for k in range(words)] for i in range(12)}
+    host = [f"host{k}" for k in range(300)]
+    rows = [(d, " ".join(r.choice(host) for _ in range(150))) for d in range(60)]
+    listed = [w for item in items.values() for w in item]
+    rows.append((100, " ".join([*host[:20], *listed, *host[20:40]])))
+    mixed = [w for item in items.values() for w in r.sample(item, 2)]
+    rows.append((101, " ".join(mixed)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(x["doc_id"], x["item_id"]) for x in decontam.find_leaks(docs, bench).collect()}
+    assert found == {(100, i) for i in items}
+
+
+def test_items_of_a_few_words(spark):
+    """Under five words: found word for word alone, across lines and punctuation, not in pieces."""
+    texts = {1: "Paris", 2: "blue whale", 3: "the speed of light", 4: "", 5: "...", 6: "light speed"}
+    docs = {
+        1: "we went to PARIS, then home",
+        2: "a blue\nwhale; the speed of sound",
+        3: "blue is the whale. The speed of light!",
+        4: "the speed of", 5: "light", 6: None, 7: "speed light speed light",
+    }
+    longer = {7: " ".join(f"word{k}" for k in range(20))}
+    schema = "item_id long, text string"
+    want = {(1, 1), (2, 2), (3, 3), (7, 6)}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for items in (texts, texts | longer):
+        leaks = decontam.find_leaks(table, spark.createDataFrame(list(items.items()), schema))
+        assert {(x["doc_id"], x["item_id"]) for x in leaks.collect()} == want
+
+
+def test_restored_terms():
+    full = np.array([1, 2, 3, 4, 5], np.float32)
+    idf = np.array([0, 0, 0, 0, 5], np.float32)
+    back = decontam.restored([np.array([0, 1, 2, 3]), np.array([4, 4])], idf, full, np.array([0]))
+    assert back.tolist() == [0, 0, 0, 4, 5] and idf[3] == 0

@@ -7,19 +7,21 @@ passed the earlier ones. The order never changes the verdict.
 
 from __future__ import annotations
 
+import statistics
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skewlens.llm.words import SPACE, WORD
+from skewlens.llm.words import SPACE, WORD, fresh
 from skewlens.session import stage
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
-#: Rows looked at to order the rules.
+#: Rows looked at to order the rules, and passes of each rule over them: the median counts.
 SAMPLE_ROWS = 4000
+PASSES = 5
 
 
 @dataclass(frozen=True)
@@ -55,56 +57,59 @@ def with_features(docs: DataFrame) -> DataFrame:
     8-word window that the text holds twice or more are repeated, its first place included;
     windows are compared by a 64-bit hash within their own document.
     """
+    words, packed, held_lines, hashes, win, in_order, at = fresh(
+        docs, "_words", "_packed", "_lines", "_h", "_win", "_sorted", "_at"
+    )
     text = F.coalesce("text", F.lit(""))
-    filled = docs.withColumn("text", text).withColumn("_words", word_list(F.col("text")))
+    filled = docs.withColumn("text", text).withColumn(words, word_list(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
     counted = (
-        filled.withColumn("n_words", F.size("_words").cast("long"))
-        .withColumn("_packed", F.regexp_replace("text", f"{SPACE}+", ""))
-        .withColumn("_lines", lines)
-        .withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-        .withColumn("word_chars", F.length("_packed").cast("long"))
+        filled.withColumn("n_words", F.size(words).cast("long"))
+        .withColumn(packed, F.regexp_replace("text", f"{SPACE}+", ""))
+        .withColumn(held_lines, lines)
+        .withColumn(hashes, F.transform(words, lambda w: F.xxhash64(w)))
+        .withColumn("word_chars", F.length(packed).cast("long"))
         .withColumn(
             "n_symbols",
-            (F.length("_packed") - F.length(F.regexp_replace("_packed", SYMBOLS, ""))).cast("long"),
+            (F.length(packed) - F.length(F.regexp_replace(packed, SYMBOLS, ""))).cast("long"),
         )
-        .withColumn("n_lines", F.size("_lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .drop("_words", "_packed", "_lines")
+        .withColumn("n_lines", F.size(held_lines).cast("long"))
+        .withColumn("n_dup_lines", (F.size(held_lines) - F.size(F.array_distinct(held_lines))).cast("long"))
+        .drop(words, packed, held_lines)
     )
     last = F.col("n_words").cast("int") - WINDOW
     windows = F.when(
         last >= 0,
         F.transform(
             F.sequence(F.lit(0), last),
-            lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(WINDOW)]),
+            lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(WINDOW)]),
         ),
     )
-    echoes = F.filter("_h", lambda h, i: F.coalesce(h == F.get(F.col("_h"), i - 1), F.lit(False)))
+    echoes = F.filter(hashes, lambda h, i: F.coalesce(h == F.get(F.col(hashes), i - 1), F.lit(False)))
     counted = counted.withColumn("n_echoes", F.size(echoes).cast("long"))
-    windowed = counted.withColumn("_win", windows).drop("_h")
+    windowed = counted.withColumn(win, windows).drop(hashes)
     # only texts that hold some window twice go through the sort
     ordered = F.when(
-        F.size(F.array_distinct("_win")) < F.size("_win"),
-        F.sort_array(F.transform("_win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+        F.size(F.array_distinct(win)) < F.size(win),
+        F.sort_array(F.transform(win, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
     )
-    windowed = windowed.withColumn("_sorted", ordered).drop("_win")
-    beside = lambda i, k: F.get(F.col("_sorted"), i + k)["h"]
+    windowed = windowed.withColumn(in_order, ordered).drop(win)
+    beside = lambda i, k: F.get(F.col(in_order), i + k)["h"]
     twice = F.filter(
-        "_sorted",
+        in_order,
         lambda x, i: F.coalesce(x["h"] == beside(i, -1), F.lit(False))
         | F.coalesce(x["h"] == beside(i, 1), F.lit(False)),
     )
     places = F.sort_array(F.transform(twice, lambda x: x["i"]))
-    windowed = windowed.withColumn("_at", places).drop("_sorted")
+    windowed = windowed.withColumn(at, places).drop(in_order)
     spans = F.transform(
-        "_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), i + 1) - p, F.lit(WINDOW)))
+        at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(at), i + 1) - p, F.lit(WINDOW)))
     )
     covered = F.aggregate(spans, F.lit(0), lambda total, s: total + s)
     # the row number, never negative, keeps filters on the result from being pushed down: they
     # would repeat every array expression above
     repeated = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0)).cast("long"))
-    return windowed.withColumn("n_repeat_words", repeated).drop("_at")
+    return windowed.withColumn("n_repeat_words", repeated).drop(at)
 
 
 def base_failed() -> Column:
@@ -115,7 +120,8 @@ def base_failed() -> Column:
 def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejections per second on a sample of about ``sample_rows`` rows.
 
-    Cost is the time of a pass with the rule less that of a pass without any.
+    Cost is the median time of a pass with the rule less that of a pass without any. The
+    passes of all rules take turns, so that a slow moment does not fall on one of them.
     """
     rows = docs.count()
     if not rows or len(rules) < 2:
@@ -128,12 +134,15 @@ def order_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_RO
         found = sample.agg(F.count(F.lit(1)), F.sum(F.length("text")), F.count_if(condition)).head()
         return time.perf_counter() - start, found[2]
 
-    seconds(F.lit(False))
-    free = seconds(F.lit(False))[0]
+    tried = [F.lit(False), *(rule.rejects for rule in rules)]
+    for condition in tried:
+        seconds(condition)  # compiles the plan
+    rounds = [[seconds(condition) for condition in tried] for _ in range(PASSES)]
+    spent = [statistics.median(r[k][0] for r in rounds) for k in range(len(tried))]
     scored = []
-    for place, rule in enumerate(rules):
-        spent, rejected = seconds(rule.rejects)
-        scored.append((-rejected / max(spent - free, 1e-3), place))
+    for place in range(len(rules)):
+        rejected = rounds[0][place + 1][1]
+        scored.append((-rejected / max(spent[place + 1] - spent[0], 1e-3), place))
     return [rules[place] for _, place in sorted(scored)]
 
 

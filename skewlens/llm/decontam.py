@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skewlens.llm.words import Hasher, Words, blocks, lookup, mapped, punctuation_bytes
+from skewlens.llm.words import Hasher, Words, blocks, fresh, lookup, mapped, punctuation_bytes
 from skewlens.session import stage
 
 #: Words of a passage; windows of the search are two passages long and one apart.
@@ -516,8 +516,9 @@ def _leaks_of(found: DataFrame, bench: Benchmark) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item, unchanged."""
-    leaks = find_leaks(docs, benchmark).select(F.struct("doc_id", "text_key").alias("_leak")).distinct()
+    [leak] = fresh(docs, "_leak")
+    leaks = find_leaks(docs, benchmark).select(F.struct("doc_id", "text_key").alias(leak)).distinct()
     key = F.struct(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
     )
-    return docs.join(leaks, key == F.col("_leak"), "left_anti")
+    return docs.join(leaks, key == F.col(leak), "left_anti")

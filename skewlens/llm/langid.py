@@ -215,8 +215,9 @@ def fit(
         for (where, count), label in zip(grams(rows["text"].tolist()), labels):
             values = np.append(weighted(count, idf[where]), 1.0)
             data.append((np.append(where, grams.slots), values, label))
-        fitted = [x for k, x in enumerate(data) if k % 5 or len(data) < 50]
-        checked = [x for k, x in enumerate(data) if not k % 5]
+        only = {label: k for k, label in reversed(list(enumerate(labels)))}  # a label's first row is fitted
+        fits = [k % 5 > 0 or only[label] == k for k, label in enumerate(labels)]
+        fitted, checked = ([x for x, f in zip(data, fits) if f == side] for side in (True, False))
         weights = fit_ftrl(fitted, grams.slots, len(languages))
         logits = np.array([v @ weights[w] for w, v, _ in checked])
         temperature = calibrated(logits, np.array([label for _, _, label in checked]))

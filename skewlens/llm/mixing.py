@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewlens.functions.hashing import hash_hex, uniform_of
-from skewlens.llm.words import WORD
+from skewlens.llm.words import WORD, fresh
 from skewlens.operators.ordering import sorted_ordinals
 from skewlens.session import pin, stage
 
@@ -24,8 +24,10 @@ from skewlens.session import pin, stage
 MOST_COPIES = 3.0
 #: Documents of one source and size that are ranked together.
 RANK_ROWS = 8192
-#: Classes (source, size) that may be broadcast: under 100 bytes each, so 20 MB at most.
-BROADCAST_CLASSES = 200_000
+#: Columns of the result, beside those of the documents.
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+#: Bytes of (source, size) classes that may be broadcast: CLASS_BYTES each and the source's name.
+BROADCAST_BYTES, CLASS_BYTES = 24 << 20, 256
 
 
 def source_totals(sized: DataFrame) -> DataFrame:
@@ -167,19 +169,25 @@ def with_copies(docs: DataFrame, most: float = MOST_COPIES, seed: int = 42) -> D
     doc_id, so reruns agree. Columns of ``docs`` that clash with a result are replaced. An
     empty table gives an empty table.
     """
-    wanted = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    wanted = [c for c in docs.columns if c.lower() not in RESULTS]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(*wanted, size.alias("size"))
     slim = sized.select("doc_id", F.col("source").cast("string").alias("source"), "size")
     classes = stage(copy_classes(stage(slim, "sizes"), most, seed), "copy-classes")
-    small = classes.count() <= BROADCAST_CLASSES
+    rows, names = classes.agg(F.count(F.lit(1)), F.sum(F.octet_length("source"))).head()
+    small = CLASS_BYTES * rows + (names or 0) <= BROADCAST_BYTES
+    kind, base, cutoff = fresh(docs, "_class", "_base", "_cutoff")
     classes = classes.select(
-        F.struct("source", "size").alias("_class"), "source_size", "target", F.col("copies").alias("_base"), "cutoff"
+        F.struct("source", "size").alias(kind),
+        "source_size",
+        "target",
+        F.col("copies").alias(base),
+        F.col("cutoff").alias(cutoff),
     )
-    sized = sized.withColumn("_class", F.struct(F.col("source").cast("string").alias("source"), "size"))
-    met = sized.join(F.broadcast(classes) if small else classes, "_class")
-    more = F.when(copy_digest(seed) <= F.col("cutoff"), F.lit(1)).otherwise(F.lit(0))
-    copies = (F.col("_base") + more).cast("long")
+    sized = sized.withColumn(kind, F.struct(F.col("source").cast("string").alias("source"), "size"))
+    met = sized.join(F.broadcast(classes) if small else classes, kind)
+    more = F.when(copy_digest(seed) <= F.col(cutoff), F.lit(1)).otherwise(F.lit(0))
+    copies = (F.col(base) + more).cast("long")
     return met.withColumn("copies", copies).select(
         *wanted, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
@@ -187,5 +195,9 @@ def with_copies(docs: DataFrame, most: float = MOST_COPIES, seed: int = 42) -> D
 
 def mixed(docs: DataFrame, most: float = MOST_COPIES, seed: int = 42) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as it is taken."""
-    taken = with_copies(docs, most, seed).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    times, copy = fresh(docs, "_times", "_copy")
+    own = [c for c in docs.columns if c.lower() in RESULTS]
+    kept = docs.withColumnsRenamed(dict(zip(own, renamed := fresh(docs, *(f"_own_{c}" for c in own)))))
+    taken = with_copies(kept, most, seed).where("copies > 0").withColumnRenamed("copies", times)
+    taken = taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).drop(*RESULTS)
+    return taken.withColumnsRenamed(dict(zip(renamed, own))).select(*docs.columns)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skewlens.llm.words import fresh
 from skewlens.operators.ordering import hash_ordinals
 
 
@@ -76,27 +77,28 @@ def with_shard(docs: DataFrame, tree: Tree, key: str = "doc_id", out: str = "sha
     per_region = _nested([sum(map(sum, region)) for region in regions])
     per_rack = _nested([[sum(rack) for rack in region] for region in regions])
     k = F.col(key)
+    in_region, in_rack, in_place = fresh(docs, "_region", "_rack", "_place")
     return (
-        docs.withColumn("_region", _descend(k, "region", per_region, len(regions)))
+        docs.withColumn(in_region, _descend(k, "region", per_region, len(regions)))
         .withColumn(
-            "_rack",
+            in_rack,
             _descend(
-                k, "rack", F.get(per_rack, F.col("_region")), max(map(len, regions)), F.col("_region")
+                k, "rack", F.get(per_rack, F.col(in_region)), max(map(len, regions)), F.col(in_region)
             ),
         )
         .withColumn(
-            "_place",
+            in_place,
             _descend(
                 k,
                 "shard",
-                F.get(F.get(_nested(regions), F.col("_region")), F.col("_rack")),
+                F.get(F.get(_nested(regions), F.col(in_region)), F.col(in_rack)),
                 max(len(rack) for region in regions for rack in region),
-                F.col("_region"),
-                F.col("_rack"),
+                F.col(in_region),
+                F.col(in_rack),
             ),
         )
-        .withColumn(out, (F.get(F.get(_nested(first, int), F.col("_region")), F.col("_rack")) + F.col("_place")).cast("int"))
-        .drop("_region", "_rack", "_place")
+        .withColumn(out, (F.get(F.get(_nested(first, int), F.col(in_region)), F.col(in_rack)) + F.col(in_place)).cast("int"))
+        .drop(in_region, in_rack, in_place)
     )
 
 
@@ -118,4 +120,8 @@ def shard(docs: DataFrame, shards: int = 24, grown: bool = True) -> DataFrame:
         placed = with_shard(placed, Tree.of(shards + 1), out="grown_shard")
     else:
         placed = placed.withColumn("grown_shard", F.lit(None).cast("int"))
-    return hash_ordinals(placed, ["doc_id"], tag="slot", group=["shard"], out="slot")
+    own = [c for c in placed.columns if c.startswith("_")]  # the order has names of its own
+    kept = fresh(placed, *(f"own{c}" for c in own))
+    named = placed.withColumnsRenamed(dict(zip(own, kept)))
+    slotted = hash_ordinals(named, ["doc_id"], tag="slot", group=["shard"], out="slot")
+    return slotted.withColumnsRenamed(dict(zip(kept, own)))

@@ -206,6 +206,18 @@ def lookup(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == wanted, at, -1)
 
 
+def fresh(df, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mapped(df, keep: list[str], new: str, make, text: str = "text"):
     """Columns ``keep`` of ``df`` and the columns ``new`` (DDL) made from the texts by Arrow batches.
 

@@ -57,7 +57,7 @@ def test_capped_sources(spark):
 
 def test_hot_class_is_cut_in_buckets(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANK_ROWS", 64)
-    monkeypatch.setattr(mixing, "BROADCAST_CLASSES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
     docs = spark.range(4000).select(
         F.col("id").alias("doc_id"), F.lit("same words here").alias("text"), F.when(F.col("id") % 4 < 3, "a").otherwise("b").alias("source")
     )

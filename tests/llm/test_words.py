@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
+from skewlens.llm import decontam, mixing, quality, sharding, simhash
 from skewlens.llm.words import Hasher, Index, blocks, lookup, rolled
 
 TEXTS = ["", " a  bc\n", None, "x", "Abé  y\tz\x0b", "tail "]
@@ -53,3 +54,28 @@ def test_index():
 def test_lookup():
     assert lookup(np.array([2, 5, 9]), np.array([9, 1, 5, 10])).tolist() == [2, -1, 1, -1]
     assert lookup(np.array([], int), np.array([1])).tolist() == [-1]
+
+
+def test_columns_of_the_caller_are_kept(spark):
+    """Columns named like those an operator works with come through with their values."""
+    names = ["_h", "_words", "_lines", "_at", "_region", "_rack", "_place", "_class", "_base", "_copy", "_leak"]
+    names += ["_hash", "_slot", "_bucket", "_ahead", "_n", "_times", "_Win", "_text", "_keep", "_id"]
+    rows = [(i, f"some words of text number {i}", "s", *(f"{c}{i}" for c in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    bench = spark.createDataFrame([(1, "other words that nobody holds at all")], "item_id long, text string")
+    results = {
+        "judge": quality.judge(docs),
+        "shard": sharding.shard(docs),
+        "mixed": mixing.mixed(docs),
+        "clean": decontam.clean(docs, bench),
+        "one": simhash.one_of_each(docs),
+    }
+    for name, found in results.items():
+        for r in found.collect():
+            assert [r[c] for c in names] == [f"{c}{r['doc_id']}" for c in names], name
+
+
+def test_mix_keeps_columns_named_like_its_results(spark):
+    rows = [(i, "a b c", "s", f"x{i}", f"y{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string, _own_size string")
+    assert sorted(mixing.mixed(docs).collect()) == sorted(docs.collect())

@@ -248,9 +248,10 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFra
     ids = stage(ids, "odd-texts")
     own = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     at = lambda odd: (own[0] == odd["_id"]) & (own[1] == odd["_key"])
-    small = ids.count() <= BROADCAST_IDS
-    rest = docs.join(F.broadcast(ids) if small else ids, at(ids), "left_anti")
     repeated = ids.where("_keep")
+    if ids.count() <= BROADCAST_IDS:
+        ids, repeated = F.broadcast(ids), F.broadcast(repeated)
+    rest = docs.join(ids, at(ids), "left_anti")
     again = docs.join(repeated, at(repeated), "left_semi")
     place = "_text"
     while place in docs.columns:

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,6 +35,64 @@ def test_grams_do_not_depend_on_neighbours():
     assert together[0][1].sum() == 14
 
 
+def plain_grams(text):
+    """One to three characters from each place of the letters, other runs as one space."""
+    words, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            words, word = [*words, word], ""
+    line = " " + " ".join(words) + " " if words else ""
+    for i in range(len(line) - 1):
+        if line[i] != " ":
+            yield line[i]
+        yield line[i : i + 2]
+        if line[i + 1] != " ":
+            yield line[i : i + 3]
+
+
+def plain_slot(gram, bits):
+    most = (1 << 64) - 1
+    if len(gram) == 1:
+        h = ord(gram) * 0x9E3779B97F4A7C15
+    else:
+        h = 0
+        for c in gram:
+            h = ((h << 21) & most) ^ ord(c)
+    h = (h & most) * (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[len(gram) - 1] & most
+    h ^= h >> 29
+    return (h * 0x9E3779B97F4A7C15 & most) >> (64 - bits)
+
+
+def plain_identify(text, model, bits):
+    counts = Counter(plain_slot(g, bits) for g in plain_grams(text or ""))
+    if not counts:
+        return "und", 0.0
+    values = {s: (1 + math.log(n)) * float(model.idf[s]) for s, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in values.values()))
+    odds = []
+    for k in range(len(model.languages)):
+        z = float(model.weights[-1][k]) + sum(v / norm * float(model.weights[s][k]) for s, v in values.items())
+        odds.append(z / model.temperature)
+    shares = [math.exp(z - max(odds)) for z in odds]
+    best = max(range(len(odds)), key=lambda k: odds[k])
+    return model.languages[best], shares[best] / sum(shares)
+
+
+def test_scores_against_a_plain_pass(documents, make_docs):
+    """Every prediction against one text at a time: n-grams, TF-IDF, softmax in plain Python."""
+    bits = 12
+    model = langid.fit(documents, sample_rows=200, bits=bits)
+    odd = make_docs([None, "", "?! 12", "É", "x\U00010400y ß", "a-b_c", "word " * 4000], ids=range(10**6, 10**6 + 7))
+    every = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    found = langid.identify(every, model).collect()
+    assert len(found) == documents.count() + 7
+    for r in found:
+        name, score = plain_identify(r["text"], model, bits)
+        assert r["lang_pred"] == name and abs(r["lang_score"] - score) < 1e-5
+
+
 def test_calibration():
     r = np.random.default_rng(0)
     logits = r.normal(size=(4000, 3))

@@ -178,3 +178,45 @@ def test_classes_that_cells_do_not_help_are_searched_whole(spark, dim, prunes, m
     ids, labels = np.arange(600), np.array(["a"] * 600)
     check(knn(frame(spark, ids, labels, x), "id", "c", "v", 3, cell_rows=20).collect(), brute(ids, labels, x, 3))
     assert seen == [{"a"} if prunes else set()]
+
+
+def test_boxes_hold_their_rows_and_open_what_is_near():
+    """Many cells for little work: a row meets as many cuts as the tree is deep."""
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.integers(0, 50, 20_000), rng.random(20_000) * 100, rng.integers(0, 9, 20_000)]).astype(float)
+    boxes = neighbors.Boxes(x[::5])
+    cell = np.concatenate([c for _, c, _ in boxes.assign(x, np.arange(len(x)))])
+    sizes = np.bincount(cell, minlength=len(boxes))
+    assert len(boxes) >= 500 and sizes.max() < 400
+    found = np.unique(cell)
+    sides = [np.array([f(x[cell == c], axis=0) for c in found]) for f in (np.min, np.max)]
+    boxes.bounded(found, *sides)
+    theta = np.full(50, 2.0)
+    opened = list(boxes.open_cells(x[:50], np.arange(50), cell[:50], theta))
+    pairs = {(int(r), int(c)) for rows, cells in opened for r, c in zip(rows, cells)}
+    near = np.sqrt(((x[:50, None] - x[None]) ** 2).sum(axis=2)) <= 2.0
+    assert {(int(r), int(cell[p])) for r, p in zip(*np.nonzero(near)) if cell[p] != cell[r]} <= pairs
+    assert len(pairs) < 0.1 * 50 * len(boxes)
+
+
+def test_boxes_on_a_grid_with_ties(spark):
+    """Whole numbers: many equal values on every axis and many equal distances."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (900, 3)).astype(float) - 4.0
+    ids, labels = rng.permutation(2000)[:900], np.array(["a"] * 900)
+    check(knn(frame(spark, ids, labels, x), "id", "c", "v", 4, cell_rows=15).collect(), brute(ids, labels, x, 4))
+
+
+@pytest.mark.parametrize("crowd", [5, 100_000])
+def test_only_crowded_copies_are_salted(spark, crowd, monkeypatch):
+    """Groups of copies beyond k: the listed ids are repeated for the large ones alone."""
+    monkeypatch.setattr(neighbors, "COPY_ROWS", crowd)
+    crowded, kept = [], neighbors.pin
+    monkeypatch.setattr(
+        neighbors, "pin", lambda df, *a, name="pinned": kept(df, *a, name=name) if name != "crowded" else crowded.append(df.count()) or kept(df, *a, name=name)
+    )
+    x = np.repeat(np.arange(20.0), 8).reshape(-1, 1)
+    x[:40] = 0.0
+    ids, labels = np.arange(160), np.array(["a"] * 160)
+    check(knn(frame(spark, ids, labels, x), "id", "c", "v", 3).collect(), brute(ids, labels, x, 3))
+    assert crowded == [1 if crowd == 5 else 0]

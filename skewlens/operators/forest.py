@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -141,29 +142,51 @@ def grow(
 # ---- nodes as arrays --------------------------------------------------------------------
 
 
-class Trees:
-    """Nodes of some trees as arrays, for vectorised walks."""
+#: A tree in one row: nodes point to each other by their place in the arrays, a leaf's
+#: classes and shares start at ``first``.
+PACKED_SCHEMA = (
+    "tree int, root int, feature array<int>, threshold array<double>, left array<int>, right array<int>, "
+    "first array<int>, classes array<int>, shares array<double>, names array<string>"
+)
 
-    def __init__(self, table: pa.Table):
-        tree = table["tree"].to_numpy().astype(np.int64)
-        node = table["node"].to_pylist()
-        place = {key: i for i, key in enumerate(zip(tree.tolist(), node))}
-        point = lambda c: np.array(
-            [place[t, n] if n is not None else -1 for t, n in zip(tree.tolist(), table[c].to_pylist())], np.int64
-        )
-        self.names = np.array(node, object)
-        self.feature = table["feature"].to_numpy().astype(np.int32)
-        self.threshold = table["threshold"].to_numpy()
-        self.left, self.right = point("left"), point("right")
-        self.roots = {t: place[t, "0"] for t in sorted(set(tree.tolist()))}
-        classes = table["classes"].combine_chunks()
-        self.first = classes.offsets.to_numpy().astype(np.int64)
-        self.classes = classes.values.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.shares = table["shares"].combine_chunks().values.to_numpy(zero_copy_only=False)
-
-    def leaves(self, x: np.ndarray, root: int) -> np.ndarray:
+
+def _packed(nodes: DataFrame, named: bool) -> pa.Table:
+    """The trees of ``nodes`` as arrays; each is packed in a task of its own. Names are left
+    out unless asked for."""
+    names = [f.strip().split(" ")[0] for f in PACKED_SCHEMA.split(", ")]
+
+    def pack(key, table):
+        table = table.combine_chunks()
+        column = lambda c: pa.concat_arrays(table[c].chunks)
+        node, classes = column("node"), column("classes")
+        place = lambda c: pc.fill_null(pc.index_in(column(c), value_set=node), -1)
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(classes).to_numpy())])
+        arrays = [
+            column("feature"), column("threshold"), place("left"), place("right"), pa.array(first.astype(np.int32)),
+            classes.flatten(), column("shares").flatten(), node if named else node.slice(0, 0),
+        ]
+        root = pa.array([pc.index(node, "0").as_py()], pa.int32())
+        rows = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a) for a in arrays]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), root, *rows], names=names)
+
+    packed = nodes.groupBy("tree").applyInArrow(pack, PACKED_SCHEMA)
+    return (packed if named else packed.drop("names")).toArrow().combine_chunks()
+
+
+class Tree:
+    """Nodes of a packed tree, for vectorised walks: views of the table, no copies."""
+
+    def __init__(self, table: pa.Table, row: int):
+        view = lambda c: table[c][row].values.to_numpy(zero_copy_only=False)
+        self.root = table["root"][row].as_py()
+        self.feature, self.threshold = view("feature"), view("threshold")
+        self.left, self.right, self.first = view("left"), view("right"), view("first")
+        self.classes, self.shares = view("classes"), view("shares")
+        self.names = view("names") if "names" in table.column_names else None
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
         """Node in which each row of ``x`` ends."""
-        at = np.full(len(x), root)
+        at = np.full(len(x), self.root)
         open_ = np.flatnonzero(self.feature[at] >= 0)
         while len(open_):
             here = at[open_]
@@ -173,13 +196,18 @@ class Trees:
         return at
 
     def vote(self, x: np.ndarray, votes: np.ndarray) -> None:
-        """Add every tree's class shares to ``votes`` (rows x classes)."""
-        for root in self.roots.values():
-            at = self.leaves(x, root)
-            times = self.first[at + 1] - self.first[at]
-            within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            entry = np.repeat(self.first[at], times) + within
-            np.add.at(votes, (np.repeat(np.arange(len(x)), times), self.classes[entry]), self.shares[entry])
+        """Add the tree's class shares to ``votes`` (rows x classes)."""
+        at = self.leaves(x)
+        times = self.first[at + 1] - self.first[at]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        entry = np.repeat(self.first[at], times) + within
+        np.add.at(votes, (np.repeat(np.arange(len(x)), times), self.classes[entry]), self.shares[entry])
+
+
+def _trees(table: pa.Table) -> dict:
+    """{number: tree}, by number."""
+    numbers = table["tree"].to_numpy()
+    return {int(numbers[i]): Tree(table, int(i)) for i in np.argsort(numbers)}
 
 
 # ---- bootstrap weights --------------------------------------------------------------------
@@ -262,20 +290,21 @@ def _learned(points: DataFrame, weight: str, trees: int, levels: int, options: d
 
 def _dealt(points: DataFrame, upper: DataFrame, first: int, upto: int, seed: int, with_points: bool) -> DataFrame:
     """``(tree, leaf, _w[, _y, _x])``: every drawn point at its leaf of each tree."""
-    shared = points.sparkSession.sparkContext.broadcast(upper.where(F.col("tree").between(first, upto - 1)).toArrow())
+    packed = _packed(upper.where(F.col("tree").between(first, upto - 1)), True)
+    shared = points.sparkSession.sparkContext.broadcast(packed)
     ddl = "tree int, leaf string, _w long" + (", _y int, _x array<double>" if with_points else "")
 
     def deal(batches):
-        trees = Trees(shared.value)
+        trees = _trees(shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(pa.chunked_array([batch.column("_x")]))
             point, n = batch.column("_p").to_numpy(), batch.column("_n").to_numpy()
-            for tree, root in trees.roots.items():
+            for tree, nodes in trees.items():
                 weight = bootstrap(point, n, tree, seed)
                 rows = np.flatnonzero(weight)
-                leaf = trees.names[trees.leaves(x[rows], root)]
+                leaf = nodes.names[nodes.leaves(x[rows])]
                 columns = [
                     pa.array(np.full(len(rows), tree, np.int32)),
                     pa.array(leaf, pa.string()),
@@ -456,12 +485,12 @@ def predict(
 
 
 def _voted(rows: DataFrame, nodes: DataFrame, classes: int, first: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(nodes.toArrow())
+    shared = rows.sparkSession.sparkContext.broadcast(_packed(nodes, False))
     schema = T.StructType([f for f in rows.schema.fields if f.name != "_votes"] + [T.StructField("_votes", T.ArrayType(T.DoubleType()))])
     names = [f.name for f in schema.fields]
 
     def score(batches):
-        trees = Trees(shared.value)
+        trees = _trees(shared.value)
         for whole in batches:
             for k in range(0, whole.num_rows, SCORED_ROWS):
                 batch = whole.slice(k, SCORED_ROWS)
@@ -471,7 +500,9 @@ def _voted(rows: DataFrame, nodes: DataFrame, classes: int, first: bool) -> Data
                 votes = np.zeros((n, classes)) if first else _matrix(pa.chunked_array([batch.column("_votes")])).copy()
                 if len(known):
                     mine = np.zeros((len(known), classes))
-                    trees.vote(_matrix(pa.chunked_array([vec.take(pa.array(known))])), mine)
+                    x = _matrix(pa.chunked_array([vec.take(pa.array(known))]))
+                    for tree in trees.values():
+                        tree.vote(x, mine)
                     votes[known] += mine
                 offsets = pa.array(np.arange(0, votes.size + 1, classes, dtype=np.int32))
                 columns = [batch.column(c) for c in names[:-1]]

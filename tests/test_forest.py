@@ -81,6 +81,43 @@ def test_blocks_of_trees_give_the_same_votes(spark):
     assert sorted(whole.collect()) == sorted(cut.collect())
 
 
+def test_trees_that_score_are_views_of_arrays(spark):
+    """What a task holds of a forest is what its bytes are counted as: no object a node."""
+    import tracemalloc
+
+    df = points(spark, n=3000).withColumn("c", F.pmod(F.xxhash64("id"), F.lit(5)).cast("int"))
+    fitted = forest.fit(df, "c", "v", trees=6)
+    n = fitted.nodes.count()
+    table = forest._packed(fitted.nodes, False)
+    assert n > 6000 and table.nbytes <= forest.NODE_BYTES * n
+    tracemalloc.start()
+    trees = forest._trees(table)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(trees) == list(range(6)) and used < 4 * n  # bytes; the views cost some thousand a tree
+
+
+@pytest.mark.parametrize("local_bytes", [forest.LOCAL_BYTES, 8 * 6 * 100])
+def test_scores_match_a_plain_walk(spark, local_bytes):
+    """Also below upper levels: every row's votes, read node by node from the table."""
+    df = points(spark, n=400, classes=4)
+    fitted = forest.fit(df, "c", "v", trees=3, local_bytes=local_bytes)
+    nodes = {(r["tree"], r["node"]): r for r in fitted.nodes.collect()}
+
+    def vote(x):
+        votes = [0.0] * 4
+        for tree in range(3):
+            at = nodes[tree, "0"]
+            while at["feature"] >= 0:
+                at = nodes[tree, at["left"] if x[at["feature"]] <= at["threshold"] else at["right"]]
+            for c, share in zip(at["classes"], at["shares"]):
+                votes[c] += share
+        return votes.index(max(votes))
+
+    got = {r["id"]: r["pred"] for r in forest.predict(fitted, df, "c", "v", ["id"]).collect()}
+    assert got == {r["id"]: vote(r["v"]) for r in df.collect()}
+
+
 def test_written_and_read_back(spark):
     df = points(spark)
     fitted = forest.fit(df, "c", "v", trees=5)

@@ -326,17 +326,20 @@ def _grown(dealt: DataFrame, width: int, seed: int, least: int, levels: int | No
 
     def subtree(key, table):
         tree, leaf = key[0].as_py(), key[1].as_py()
-        table = table.combine_chunks()
         x = _matrix(table["_x"])
         y, weight = table["_y"].to_numpy(), table["_w"].to_numpy().astype(float)
         order = np.lexsort((y, *x.T[:8]))  # one order whatever the partitions
+        x = x[order]
         stream = [seed, tree, *leaf.encode()]
-        found = grow(x[order], y[order], weight[order], np.random.default_rng(stream), tried, least, levels)
+        found = grow(x, y[order], weight[order], np.random.default_rng(stream), tried, least, levels)
         name = lambda i: None if i < 0 else leaf if i == 0 else f"{leaf}/{i}"
-        rows = [(tree, name(i), f, t, name(a), name(b), c, s) for i, (f, t, a, b, c, s) in enumerate(found)]
+        column = lambda k: (n[k] for n in found)
+        values = [
+            (tree for _ in found), map(name, range(len(found))), column(0), column(1), map(name, column(2)), map(name, column(3)), column(4), column(5),
+        ]
         types = [pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64())]
         names = [f.strip().split(" ")[0] for f in NODES_SCHEMA.split(", ")]
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+        return pa.table([pa.array(v, t, size=len(found)) for v, t in zip(values, types)], names=names)
 
     return dealt.groupBy("tree", "leaf").applyInArrow(subtree, NODES_SCHEMA)
 

@@ -1,9 +1,13 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skewlens.catalog import ORACLES, QUERIES
+from skewlens.catalog.neighbors import ITEM_ID, exceeds_long
 from skewlens.operators import neighbors, smote
 from skewlens.operators.neighbors import knn
+from tests.oracle_check import compare
 
 
 def frame(spark, ids, labels, x):
@@ -220,3 +224,33 @@ def test_only_crowded_copies_are_salted(spark, crowd, monkeypatch):
     ids, labels = np.arange(160), np.array(["a"] * 160)
     check(knn(frame(spark, ids, labels, x), "id", "c", "v", 3).collect(), brute(ids, labels, x, 3))
     assert crowded == [1 if crowd == 5 else 0]
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_order_lines_with_ids_beyond_a_long(spark, data, tmp_path, sign):
+    """Some order keys as they are and some of a table 360 times sf0.1: the same SQL, computed
+    in whole numbers of 128 bits."""
+    con = duckdb.connect()
+    moved = f"{sign} * (l_orderkey + l_orderkey % 3 * 27000000)"
+    con.execute(
+        f"COPY (SELECT * REPLACE ({moved} AS l_orderkey) FROM '{data}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)"
+    )
+    con.execute(f"CREATE VIEW lineitem AS SELECT * REPLACE (l_orderkey::HUGEINT AS l_orderkey) FROM '{tmp_path}/lineitem.parquet'")
+    got = QUERIES["knn_large_class"](spark, str(tmp_path))
+    beyond, within = (got.where(f"abs(id) {op} 9223372036854775807").count() for op in (">", "<="))
+    assert beyond > 0 and within > 0
+    assert compare(got, con, ORACLES["knn_large_class"]) is None
+
+
+def test_ids_that_fit_stay_longs(spark, data):
+    assert dict(QUERIES["knn_large_class"](spark, data).dtypes)["id"] == "bigint"
+
+
+@pytest.mark.parametrize("keys, wide", [([11529215], False), ([11529216], True), ([7, -11529216], True), ([], False)])
+def test_a_step_beyond_a_long_is_foreseen(spark, keys, wide):
+    """An id just below and just above the largest long, and none at all."""
+    ddl = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"
+    lines = spark.createDataFrame([(key, 0, 0, 0) for key in keys], ddl)
+    assert exceeds_long(lines) == wide
+    if not wide:
+        assert [r[0] for r in lines.select(F.expr(ITEM_ID)).collect()] == [key * 8 * 10**11 for key in keys]
